@@ -42,18 +42,26 @@ def vertices(docs: DataFrame, shards: int) -> DataFrame:
     )
 
 
-def thresholds(asked: list, room: dict[int, float]) -> dict[int, int]:
-    """For each shard the priority below which its requests fit into its room."""
-    found = {}
-    for shard in room:
-        left, at = room[shard], 0
-        for row in sorted((r for r in asked if r["hub"] == shard), key=lambda r: r["priority"]):
-            if row["weight"] > left:
-                break
-            left -= row["weight"]
-            at = row["priority"] + 1
-        found[shard] = at
-    return found
+def thresholds(asked: list, loads: dict[int, float], cap: float) -> dict[int, int]:
+    """For each shard the priority below which it admits requests, so that no shard ends above ``cap`` because of them.
+
+    What leaves a shard makes room in it. All requests are admitted at first; then shards above the
+    cap lower their thresholds, which sends load back, until none need to.
+    """
+    below = dict.fromkeys(loads, PRIORITIES)
+    for _ in range(64):
+        now, arriving = dict(loads), dict.fromkeys(loads, 0.0)
+        for r in asked:
+            if r["priority"] < below[r["hub"]]:
+                now[r["label"]] -= r["weight"]
+                now[r["hub"]] += r["weight"]
+                arriving[r["hub"]] += r["weight"]
+        over = [s for s in loads if now[s] > cap and arriving[s] > 0]
+        if not over:
+            break
+        for s in over:
+            below[s] = int(below[s] * max(0.0, 1 - (now[s] - cap) / arriving[s]))
+    return below
 
 
 def propagated(v: DataFrame, shards: int, weight: str, rounds: int = ROUNDS) -> DataFrame:
@@ -74,12 +82,12 @@ def propagated(v: DataFrame, shards: int, weight: str, rounds: int = ROUNDS) ->
         for r in moving.groupBy("label").agg(F.sum("weight").alias("w")).collect():
             loads[r["label"]] += r["w"]
         cap = (1 + SLACK) * sum(loads.values()) / shards
-        hubs = moving.groupBy("group", "label").agg(F.sum("weight").alias("w")).groupBy("group").agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("hub"))
+        hubs = moving.groupBy("group", "label").agg(F.sum("weight").alias("w")).groupBy("group").agg(F.max_by("label", F.struct("w", F.xxhash64("group", "label"))).alias("hub"))
         ask = moving.join(hubs, "group").withColumn("priority", F.pmod(F.xxhash64("group", "first", "chunk"), F.lit(PRIORITIES)).cast("int"))
-        asked = ask.filter("label != hub").groupBy("hub", "priority").agg(F.sum("weight").alias("weight")).collect()
+        asked = ask.filter("label != hub").groupBy("label", "hub", "priority").agg(F.sum("weight").alias("weight")).collect()
         if not asked:
             break
-        admitted = thresholds(asked, {s: cap - loads[s] for s in range(shards)})
+        admitted = thresholds(asked, loads, cap)
         below = F.element_at(F.create_map(*[F.lit(x) for pair in admitted.items() for x in pair]), F.col("hub"))
         moving = checkpointed(ask.withColumn("label", F.when(F.col("priority") < below, F.col("hub")).otherwise(F.col("label"))).select(*units.columns))
     return moving.unionByName(alone).select("group", "first", "chunk", "label")

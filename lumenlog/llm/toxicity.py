@@ -32,18 +32,44 @@ MASKED = re.compile(rb"[a-z0-9@$!*.\-_]*[a-z][a-z0-9@$!*.\-_]*[0-9@$!*.\-_][a-z0
 SPACED = re.compile(rb"(?<![a-z])(?:[a-z][ .\-_]){3,}[a-z](?![a-z])")
 WORD = re.compile(rb"[a-z\x80-\xff']+")
 NEAR = 5
-NAMES = ("words", "strong", "strong_density", "weak", "weak_density", "you", "you_density", "near", "masked", "spaced", "capitals", "loud", "marks", "strong_kinds", "burst")
+NAMES = ("words", "strong", "strong_density", "weak", "weak_density", "you", "you_density", "near", "masked", "spaced", "capitals", "loud", "marks", "strong_kinds", "burst", "learned", "learned_density", "learned_kinds")
 
-#: The most labelled rows that the trees and the calibration learn from; beyond it a hash of doc_id picks them.
+#: Bytes of the beginnings of words that may enter the learned lexicon, beside whole words.
+STEMS = (4, 5, 6, 7)
+#: A learned entry needs this log-likelihood ratio against the base rate and this share of toxic rows.
+LEAST_EVIDENCE, LEAST_SHARE = 10.0, 0.6
+#: The most labelled rows that the lexicon, the trees and the calibration learn from; beyond it a hash of doc_id picks them.
 MOST_ROWS = 40_000
 TREES, DEPTH, RATE, BINS, LEAST_LEAF = 40, 3, 0.2, 32, 10
 THRESHOLD = 0.3
 
 
-def statistics(data: bytes) -> list[float]:
+def entries(words: set[bytes]) -> set[bytes]:
+    """What a text's words can add to the learned lexicon: whole words and, marked by a star, beginnings."""
+    return {w for w in words if len(w) > 2} | {w[:k] + b"*" for k in STEMS for w in words if len(w) >= k}
+
+
+def evidence(toxic: int, clean: int, base: float) -> float:
+    """Log-likelihood ratio of an entry's rows having their own toxic share instead of the base rate."""
+    n = toxic + clean
+    part = lambda x, p: x * math.log(x / (n * p)) if x else 0.0
+    return part(toxic, base) + part(clean, 1 - base)
+
+
+def statistics(data: bytes, learned: frozenset[bytes] = frozenset()) -> list[float]:
     """The features of one text, in the order of NAMES."""
     low = data.lower()
     words = WORD.findall(low)
+    hits = 0
+    kinds: set[bytes] = set()
+    if learned:
+        known: dict[bytes, bool] = {}
+        for w in words:
+            if (hit := known.get(w)) is None:
+                hit = known[w] = w in learned or w[:4] + b"*" in learned or w[:5] + b"*" in learned or w[:6] + b"*" in learned or w[:7] + b"*" in learned
+            if hit:
+                hits += 1
+                kinds.add(w)
     k = len(words)
     strong = [i for i, w in enumerate(words) if w in STRONG]
     weak = sum(w in WEAK for w in words)
@@ -67,7 +93,7 @@ def statistics(data: bytes) -> list[float]:
     burst = max((sum(a <= b < a + 40 for b in strong[i : i + 20]) for i, a in enumerate(strong)), default=0)
     return [
         math.log1p(k), float(len(strong)), len(strong) / max(k, 1), float(weak), weak / max(k, 1), float(len(you)), len(you) / max(k, 1), float(near), float(masked), float(spaced),
-        capitals / letters, data.count(b"!") / n, (data.count(b"?") + data.count(b"!")) / n, float(len({words[i] for i in strong})), float(burst),
+        capitals / letters, data.count(b"!") / n, (data.count(b"?") + data.count(b"!")) / n, float(len({words[i] for i in strong})), float(burst), float(hits), hits / max(k, 1), float(len(kinds)),
     ]
 
 
@@ -184,27 +210,56 @@ def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> Boosted:
 SCHEMA = StructType([StructField("doc_id", LongType()), StructField("x", ArrayType(DoubleType()))])
 
 
-def featured(docs: DataFrame) -> DataFrame:
-    return map_rows(documents(docs), SCHEMA, lambda batch: {"doc_id": batch.column("doc_id"), "x": [statistics(t) for t in raw_texts(batch)]})
+def featured(docs: DataFrame, learned: frozenset[bytes]) -> DataFrame:
+    return map_rows(documents(docs), SCHEMA, lambda batch: {"doc_id": batch.column("doc_id"), "x": [statistics(t, learned) for t in raw_texts(batch)]})
+
+
+def learn_lexicon(rows: DataFrame) -> frozenset[bytes]:
+    """Entries over-represented in the toxic rows of ``rows`` (text, y), counted by document.
+
+    ``rows`` is bounded by the caller, and so is what comes back.
+    """
+
+    def count(batches):
+        held: dict[bytes, list[int]] = {}
+        for batch in batches:
+            for data, y in zip(raw_texts(batch), batch.column("y").to_pylist(), strict=True):
+                for e in entries(set(WORD.findall(data.lower()))):
+                    held.setdefault(e, [0, 0])[y] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array([v[1] for v in held.values()], pa.int64()), pa.array([v[0] for v in held.values()], pa.int64())], names=["entry", "toxic", "clean"])
+
+    totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not totals.get(1) or not totals.get(0):
+        return frozenset()
+    base = totals[1] / (totals[0] + totals[1])
+    counted = rows.select("text", F.col("y").cast("long").alias("y")).mapInArrow(count, "entry binary, toxic long, clean long")
+    summed = counted.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    kept = summed.filter((F.col("toxic") >= 3) & (F.col("toxic") / (F.col("toxic") + F.col("clean")) >= LEAST_SHARE)).collect()
+    return frozenset(bytes(r["entry"]) for r in kept if evidence(r["toxic"], r["clean"], base) >= LEAST_EVIDENCE)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, held: int = 2, folds: int = 4, threshold: float = THRESHOLD, most_rows: int = MOST_ROWS) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: more toxic) and predicted for every document.
 
     Learns from at most ``most_rows`` labelled rows outside the held-out fold, picked by a hash of
-    doc_id; every fourth of them calibrates. Only the text gives a score's inputs. Null and empty
-    texts get the score of an empty text; null labels and labels other than 0 and 1 are passed over.
+    doc_id. Three fifths of them extend the fixed lexicon by words and beginnings of words, the rest
+    grow the trees and calibrate them, so that the trees see honest hit counts. Only the text gives a
+    score's inputs. Null and empty texts get the score of an empty text; null labels and labels other
+    than 0 and 1 are passed over.
     """
-    features = stored(featured(docs), "toxicity")
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").alias("y")).filter("y in (0, 1)").filter(crc_remainder("doc_id", folds) != held)
-    rows = features.join(marks, "doc_id").withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(most_rows).select("h", "x", "y").collect()
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").alias("y")).filter("doc_id is not null and y in (0, 1)").filter(crc_remainder("doc_id", folds) != held)
+    picked = stored(marks.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))).orderBy("h", "doc_id").limit(most_rows), "toxicity-rows")
+    own = F.broadcast(picked)  # most_rows rows at most
+    learned = learn_lexicon(documents(docs).join(own.filter("h % 5 < 3"), "doc_id").select("text", "y"))
+    features = stored(featured(docs, learned), "toxicity")
+    rows = features.join(F.broadcast(picked.filter("h % 5 >= 3")), "doc_id").orderBy("h", "doc_id").limit(most_rows).select("h", "x", "y").collect()
     x = np.array([r["x"] for r in rows], dtype=float).reshape(-1, len(NAMES))
-    model = fit(x, np.array([r["y"] for r in rows], dtype=float), np.array([r["h"] % 4 == 0 for r in rows], dtype=bool))
+    model = fit(x, np.array([r["y"] for r in rows], dtype=float), np.array([r["h"] // 5 % 3 == 0 for r in rows], dtype=bool))
 
     def score(batches):
         for batch in batches:
-            own = np.array(batch.column("x").to_pylist(), dtype=float).reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(own))], names=["doc_id", "score"])
+            x = np.array(batch.column("x").to_pylist(), dtype=float).reshape(-1, len(NAMES))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(x))], names=["doc_id", "score"])
 
     scored = features.mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", (crc_remainder("doc_id", folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
