@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, quality, secrets, sharding, toxicity
+from . import jaccard_join, licenses, packing, quality, secrets, sharding, toxicity
 from .common import table
 
 
@@ -18,6 +18,14 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
@@ -31,7 +39,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_sharding, op4_license_scan, op7_secret_scan, op8_quality, op9_toxicity)
+    own = (op1_sharding, op4_license_scan, op5_ngram_jaccard_join, op6_best_fit_packing, op7_secret_scan, op8_quality, op9_toxicity)
     return {f.__name__: f for f in own}
 
 
