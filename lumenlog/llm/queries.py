@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, licenses, packing, quality, secrets, sharding, toxicity
+from . import decontaminate, jaccard_join, licenses, packing, quality, secrets, sharding, toxicity
 from .common import table
 
 
@@ -38,8 +38,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_sharding, op4_license_scan, op5_ngram_jaccard_join, op6_best_fit_packing, op7_secret_scan, op8_quality, op9_toxicity)
+    own = (op1_sharding, op4_license_scan, op5_ngram_jaccard_join, op6_best_fit_packing, op7_secret_scan, op8_quality, op9_toxicity, op10_decontamination)
     return {f.__name__: f for f in own}
 
 
