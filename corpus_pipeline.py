@@ -20,7 +20,13 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each class of near copies."""
     copies = stored(jaccard_join.jaccard_classes(docs).filter("component_id < doc_id").select(F.col("doc_id").alias("_copy")).distinct(), "copies")
-    return docs.join(copies, F.col("doc_id") == F.col("_copy"), "left_anti").dropDuplicates(["doc_id"])
+    kept = docs.join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
+    # Rows that repeat a doc_id are rare: only they are shuffled.
+    again = stored(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")), "repeated")
+    if again.isEmpty():
+        return kept
+    on = F.col("doc_id") == F.col("_again")
+    return kept.join(again, on, "left_anti").unionByName(kept.join(again, on, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
