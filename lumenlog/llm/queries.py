@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, jaccard_join, licenses, packing, quality, secrets, sharding, toxicity
+from . import chat, decontaminate, jaccard_join, licenses, media, packing, quality, secrets, sharding, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_media(media.media_documents(table(spark, sf_dir, "documents")))
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_digest(spark, table(spark, sf_dir, "conversations"))
 
@@ -47,7 +51,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_sharding, op3_chat_formatting, op4_license_scan, op5_ngram_jaccard_join, op6_best_fit_packing, op7_secret_scan, op8_quality, op9_toxicity, op10_decontamination)
+    own = (op1_sharding, op2_media_columns, op3_chat_formatting, op4_license_scan, op5_ngram_jaccard_join, op6_best_fit_packing, op7_secret_scan, op8_quality, op9_toxicity, op10_decontamination)
     return {f.__name__: f for f in own}
 
 
