@@ -8,9 +8,13 @@ through a tree: partners of one set arrive in lexicographic order, which is the
 their trie, so a partner starts from the overlap its predecessor had at their common path, and a
 subtree is left as soon as the lengths that remain cannot reach the overlap needed.
 
+A set that links with anything shares at least the threshold's part of its shingles with it, so a set
+with fewer shingles that occur elsewhere is put aside before sets meet.
+
 Only links between different sets matter for classes, and a link inside one class adds nothing. So a
-first round compares each set with the partner it meets most often, and a second round compares every
-pair that met and is not in one class yet.
+first round compares each set with the partner it meets most often, the next ones with a few random
+partners in other classes, and the last round compares every pair that met and is not in one class yet:
+however large a group of near copies is, its classes have mostly merged by then.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import checkpointed, chunks, documents, stored
 
@@ -37,6 +41,8 @@ FILTER_BITS = 28
 COUNT_ROWS = 2_000_000
 #: Rows of doc_ids that are broadcast at most; more are joined by shuffling.
 BROADCAST_ROWS = 2_000_000
+#: Random partners of a set in each of the rounds before the last.
+PARTNERS = (2, 4, 8)
 #: Partners of one set beyond which they are dealt out by salt.
 MOST_PARTNERS, SALTS = 256, 64
 BLOCK = 64
@@ -238,25 +244,43 @@ def counted(docs: DataFrame, total: int) -> tuple[Order, np.ndarray]:
     return Order(cells[top][order], places[order], shift), table
 
 
-def prefixes(docs: DataFrame, order, table) -> DataFrame:
-    """token, doc_id, n, place: what the prefixes hold, without shingles that occur once. ``order`` and ``table`` are broadcast variables."""
+def repeated(keys: np.ndarray, filled: np.ndarray) -> np.ndarray:
+    """Which order keys may occur in more than one set. Frequent ones, beyond 2**63, do."""
+    rare = keys < np.uint64(1 << 63)
+    cell = np.where(rare, keys >> np.uint64(63 - FILTER_BITS), np.uint64(0)).astype(np.int64)
+    return ~rare | ((filled[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def survivors(docs: DataFrame, order, table) -> DataFrame:
+    """doc_id, n and the ordered set (big-endian keys) of documents that can link at all. ``order`` and ``table`` are broadcast variables."""
 
     def run(batches):
         keys_of, filled = order.value, table.value
         for batch in batches:
             for part in chunks(batch, most=CHUNK):
-                tokens, ids, sizes, places = [], [], [], []
+                rows = []
                 for doc, s in zip(part.column("doc_id").to_pylist(), sets_of(part), strict=True):
-                    n = len(s)
-                    if not n:
-                        continue
-                    keys = keys_of.keys(s)[: prefix_length(n)]
-                    # Order keys of frequent shingles are beyond 2**63 and stay; the filter is for the rest.
-                    cell = (keys >> np.uint64(63 - FILTER_BITS)).astype(np.int64)
-                    rare = keys < np.uint64(1 << 63)
-                    cell[~rare] = 0
-                    keep = ~rare | ((filled[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1).astype(bool)
-                    at = np.flatnonzero(keep)
+                    if len(s):
+                        keys = keys_of.keys(s)
+                        if int(repeated(keys, filled).sum()) * PART >= SIMILAR * len(s):
+                            rows.append((doc, len(s), keys.astype(">u8").tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "n", "keys"])
+
+    return docs.mapInArrow(run, "doc_id long, n int, keys binary")
+
+
+def prefixes(sets: DataFrame, table) -> DataFrame:
+    """token, doc_id, n, place: what the prefixes hold, without shingles that occur once."""
+
+    def run(batches):
+        filled = table.value
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                tokens, ids, sizes, places = [], [], [], []
+                for doc, n, data in zip(*(part.column(c).to_pylist() for c in ("doc_id", "n", "keys")), strict=True):
+                    keys = np.frombuffer(data, ">u8")[: prefix_length(n)].astype(np.uint64)
+                    at = np.flatnonzero(repeated(keys, filled))
                     tokens.append(keys[at].view(np.int64))
                     places.append(at)
                     ids.append(np.full(len(at), doc))
@@ -265,7 +289,7 @@ def prefixes(docs: DataFrame, order, table) -> DataFrame:
                     cat = np.concatenate
                     yield pa.RecordBatch.from_arrays([pa.array(cat(tokens), pa.int64()), pa.array(cat(ids), pa.int64()), pa.array(cat(sizes), pa.int32()), pa.array(cat(places), pa.int32())], names=["token", "doc_id", "n", "place"])
 
-    return docs.mapInArrow(run, "token long, doc_id long, n int, place int")
+    return sets.mapInArrow(run, "token long, doc_id long, n int, place int")
 
 
 def partitions_for(rows: int, docs: DataFrame) -> int:
@@ -320,9 +344,9 @@ def crossing(postings: DataFrame) -> DataFrame:
             return
         token, doc, n, place, label = columns
         first, last = groups(token)
-        mixed_groups = np.flatnonzero(np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first))
+        apart = np.flatnonzero(np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first))
         left, right, held = [], [], 0
-        for g in mixed_groups.tolist():
+        for g in apart.tolist():
             a, b = int(first[g]), int(last[g])
             size, rest = n[a:b].astype(np.int64), (n[a:b] - place[a:b]).astype(np.int64)
             reach = np.searchsorted(size, PART * size // SIMILAR, side="right")
@@ -334,19 +358,63 @@ def crossing(postings: DataFrame) -> DataFrame:
                     left.append(np.full(len(ok), doc[a + i]))
                     right.append(doc[a:b][j][ok])
                     held += len(ok)
-            if held > 200_000:
-                yield distinct_pairs(left, right)
-                left, right, held = [], [], 0
+            if held > 2_000_000:
+                left, right = ([x] for x in distinct_pairs(left, right))
+                held = len(left[0])
+                if held > 1_000_000:
+                    yield pair_rows(left[0], right[0])
+                    left, right, held = [], [], 0
         if held:
-            yield distinct_pairs(left, right)
+            yield pair_rows(*distinct_pairs(left, right))
 
     return postings.mapInArrow(run, "a long, b long")
 
 
-def distinct_pairs(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
+def sampled(postings: DataFrame, partners: int, seed: int) -> DataFrame:
+    """a, b: for each set up to ``partners`` random partners that it met in another class, within reach of its size."""
+
+    def run(batches):
+        if (columns := gathered(batches)) is None:
+            return
+        token, doc, n, place, label = columns
+        first, last = groups(token)
+        apart = np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first)
+        keep = np.flatnonzero(np.repeat(apart, last - first))
+        if not len(keep):
+            return
+        start, end = np.repeat(first, last - first)[keep], np.repeat(last, last - first)[keep]
+        # Seeded by the rows, so that a task that runs again draws the same.
+        r = np.random.default_rng([seed, len(token), int(abs(int(token[0])) & 0x7FFFFFFF)])
+        left, right = [], []
+        for _ in range(partners):
+            other = start + (r.random(len(keep)) * (end - start)).astype(np.int64)
+            small, large = np.minimum(n[keep], n[other]).astype(np.int64), np.maximum(n[keep], n[other]).astype(np.int64)
+            ok = (label[keep] != label[other]) & (PART * small >= SIMILAR * large)
+            left.append(doc[keep][ok])
+            right.append(doc[other][ok])
+        a, b = distinct_pairs(left, right)
+        # A few of each set's pairs are enough for one round.
+        order = r.permutation(len(a))
+        a, b = a[order], b[order]
+        sort = np.argsort(a, kind="stable")
+        begins, ends = groups(a[sort]) if len(a) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        place_in = np.arange(len(a)) - np.repeat(begins, ends - begins)
+        chosen = sort[place_in < partners]
+        yield pair_rows(a[chosen], b[chosen])
+
+    pairs = postings.mapInArrow(run, "a long, b long").distinct()
+    draw = F.row_number().over(W.partitionBy("a").orderBy(F.xxhash64("a", "b", F.lit(seed))))
+    return pairs.withColumn("draw", draw).filter(F.col("draw") <= partners).select("a", "b")
+
+
+def distinct_pairs(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     x, y = np.concatenate(left), np.concatenate(right)
     both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], names=["a", "b"])
+    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+
+
+def pair_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 class Walk:
@@ -378,39 +446,30 @@ class Walk:
         return overlap >= need
 
 
-def verified(docs: DataFrame, pairs: DataFrame, order) -> DataFrame:
-    """a, b: the pairs that reach the threshold. Sets of the documents in pairs are made again and meet by the pair's first set."""
-    spark = docs.sparkSession
+def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b: the pairs that reach the threshold. ``sets``: doc_id and keys; partners meet by the pair's first set."""
     crowded = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > MOST_PARTNERS).select("a", F.lit(1).alias("crowded"))
     salted = stored(pairs.join(crowded, "a", "left").select("a", "b", F.when(F.col("crowded").isNotNull(), F.pmod(F.xxhash64("b"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt")), "pairs")
     heads = salted.select("a", "salt").distinct().select(F.col("a").alias("doc_id"), "a", "salt", F.lit(0).alias("role"))
-    want = stored(heads.unionByName(salted.select(F.col("b").alias("doc_id"), "a", "salt", F.lit(1).alias("role"))), "wanted")
-    rows = want.count()
-
-    def make(batches):
-        keys_of = order.value
-        for batch in batches:
-            for part in chunks(batch, most=CHUNK):
-                data = [keys_of.keys(s).astype(">u8").tobytes() for s in sets_of(part)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(data, pa.binary())], names=["doc_id", "keys"])
-
-    sets = only(docs, want.select("doc_id").distinct(), rows).mapInArrow(make, "doc_id long, keys binary")
-    met_sets = sets.join(F.broadcast(want) if rows <= BROADCAST_ROWS else want, "doc_id").select("a", "salt", "role", "doc_id", "keys")
+    want = heads.unionByName(salted.select(F.col("b").alias("doc_id"), "a", "salt", F.lit(1).alias("role")))
+    met_sets = sets.join(want, "doc_id").select("a", "salt", "role", "doc_id", "keys")
 
     def walk(batches):
         now, steps = None, None
         for batch in batches:
             left, right = [], []
-            for a, salt, role, doc, keys in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                own = np.frombuffer(keys, ">u8").astype(np.uint64)
-                if not role:
-                    now, steps = (a, salt), Walk(own)
-                elif now == (a, salt) and steps.linked(own):
-                    left.append(a)
-                    right.append(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-
-    parts = partitions_for(0, docs)
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                for a, salt, role, doc, keys in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True):
+                    own = np.frombuffer(keys, ">u8").astype(np.uint64)
+                    if not role:
+                        now, steps = (a, salt), Walk(own)
+                    elif now == (a, salt) and steps.linked(own):
+                        left.append(a)
+                        right.append(doc)
+            yield pair_rows(np.array(left, np.int64), np.array(right, np.int64))
+
+    parts = partitions_for(0, sets)
     return met_sets.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "role", "keys", "doc_id").mapInArrow(walk, "a long, b long")
 
 
@@ -450,16 +509,24 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     distinct = only(own, ids, totals["rows"])
     order, table = counted(distinct, totals["shingles"] or 0)
     order, table = spark.sparkContext.broadcast(order), spark.sparkContext.broadcast(table)
-    parts = partitions_for((totals["shingles"] or 0) // 5, docs)
-    meetings = stored(met(prefixes(distinct, order, table).repartition(parts, "token")), "meetings")
+    sets = stored(survivors(distinct, order, table), "sets")
+    shared = sets.agg(F.sum("n")).first()[0] or 0
+    parts = partitions_for(shared // 5, docs)
+    meetings = stored(met(prefixes(sets, table).repartition(parts, "token")), "meetings")
 
     best = meetings.filter("leader != doc_id").groupBy("doc_id", "leader").agg(F.count(F.lit(1)).alias("m")).groupBy("doc_id").agg(F.max_by("leader", F.struct("m", -F.col("leader"))).alias("leader"))
-    first = stored(verified(own, best.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")), order), "links")
-    labels = classes(first)
-    left = meetings.join(labels, "doc_id", "left").select("token", "doc_id", "n", "place", F.coalesce("class", "doc_id").alias("class")).repartition(parts, "token")
-    pairs = stored(crossing(left), "crossing").distinct()
-    second = stored(verified(own, pairs, order), "links")
-    joined = stored(classes(first.unionByName(second)), "classes")
+    links = stored(verified(sets, best.select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))), "links")
+    labels = classes(links)
+    for k, partners in enumerate([*PARTNERS, None]):
+        apart = meetings.join(labels, "doc_id", "left").select("token", "doc_id", "n", "place", F.coalesce("class", "doc_id").alias("class")).repartition(parts, "token")
+        pairs = stored((crossing(apart) if partners is None else sampled(apart, partners, k)).distinct(), "candidates")
+        if pairs.isEmpty():
+            break
+        found = stored(verified(sets, pairs), "links")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = classes(links)
+    joined = stored(labels, "classes")
 
     named = stored(vertices.join(joined, vertices["vertex"] == joined["doc_id"], "left").select("one", "two", "n_shingles", F.coalesce("class", "vertex").alias("component")), "components")
     return known.join(named, ["one", "two", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
