@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .regexes import strip
+from .regexes import bound, strip
 
 PRIVATE_NAT = r"^(?:172\.(?:1[6-9]|2\d|3[01])\.|127\.)"
 IPV4 = r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\z"
@@ -15,11 +15,13 @@ def clean_transport_address(raw: Column) -> Column:
 
     A bare IPv6 address is kept whole: only a value with a single colon loses a port.
     """
-    t = F.regexp_replace(strip(raw), r"(?s)^.*?://", "")
-    bracket = F.regexp_extract(t, r"^\[([^\]]+)\]", 1)
-    port = F.when(t.rlike(r"^[^:]+:\d{1,5}\z"), F.regexp_replace(t, r":\d{1,5}\z", "")).otherwise(t)
-    out = F.when(bracket != "", bracket).when(t.startswith("[") & ~t.contains("]"), t).when(port.contains("/"), F.lit(None)).otherwise(port)
-    return F.nullif(out, F.lit(""))
+
+    def cleaned(t: Column) -> Column:
+        bracket = F.regexp_extract(t, r"^\[([^\]]+)\]", 1)
+        port = F.when(t.rlike(r"^[^:]+:\d{1,5}\z"), F.regexp_replace(t, r":\d{1,5}\z", "")).otherwise(t)
+        return F.when(bracket != "", bracket).when(t.startswith("[") & ~t.contains("]"), t).when(port.contains("/"), F.lit(None)).otherwise(port)
+
+    return bound(bound(F.regexp_replace(strip(raw), r"(?s)^.*?://", ""), cleaned), lambda out: F.nullif(out, F.lit("")))
 
 
 def is_plausible_host(value: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from .regexes import is_valid, sub
 
@@ -40,7 +41,7 @@ def redact(c: Column, extra: Iterable[str] = (), enabled: bool = True) -> Column
     return c
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _redact_tree(texts: pd.Series) -> pd.Series:
     import re
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -30,6 +31,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+\z", "")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def escape_regex(c: Column, slash: bool = False) -> Column:
     """Escapes what is special in a pattern; ``slash`` escapes / as well."""
     return F.regexp_replace(c, SPECIAL.replace(r"\\])", r"\\/])") if slash else SPECIAL, r"\\$1")

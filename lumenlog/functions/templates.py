@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .regexes import like, strip, sub
+from .regexes import bound, like, strip, sub
 
 #: What is variable in a message, in the order of replacement.
 STEPS = (
@@ -39,9 +39,13 @@ def text_at(v: Column, *keys: str) -> Column:
 
 def unwrapped(c: Column) -> Column:
     """The message inside JSON log records, up to three levels deep."""
+
+    def inner(text: Column) -> Column:
+        record = F.when(F.length(text) <= MOST_JSON, json_object(text))
+        return F.coalesce(bound(record, lambda v: text_at(v, "msg", "message", "text")), text)
+
     for _ in range(DEPTH):
-        inner = text_at(F.when(F.length(c) <= MOST_JSON, json_object(c)), "msg", "message", "text")
-        c = F.coalesce(inner, c)
+        c = bound(c, inner)
     return c
 
 

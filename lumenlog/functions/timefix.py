@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .regexes import bound
+
 
 def epoch_timestamp(n: Column) -> Column:
     """A number as seconds, milliseconds, microseconds or nanoseconds since 1970, by its size."""
-    d = n.cast("decimal(38,9)")
-    micros = F.when(n > 1e18, d / 1000).when(n > 1e15, d).when(n > 1e12, d * 1000).otherwise(d * 1_000_000)
-    return F.timestamp_micros(F.floor(micros).cast("long"))
+
+    def scaled(n: Column) -> Column:
+        d = n.cast("decimal(38,9)")
+        return F.when(n > 1e18, d / 1000).when(n > 1e15, d).when(n > 1e12, d * 1000).otherwise(d * 1_000_000)
+
+    return F.timestamp_micros(F.floor(bound(n, scaled)).cast("long"))
 
 
 def resolved(text: Column, number: Column, now: Column) -> Column:

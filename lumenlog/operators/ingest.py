@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import addresses, masking, severity as sev, templates, timefix
-from ..functions.regexes import strip
+from ..functions.regexes import bound, strip
 from . import events as ev, routing
 
 #: Nested paths and the flat field that each fills, in order.
@@ -61,19 +61,16 @@ def parsed(records: DataFrame, column: str = "record") -> DataFrame:
 
 def message_of(v: Column) -> Column:
     """message, short_message, msg or body: the first that is there; it must be a non-blank string."""
-    out = flat_field(v, "message")
-    for key in ("short_message", "msg", "body"):
-        out = F.when(out.isNotNull(), out).otherwise(F.when(kind_of(v, key) == "STRING", at(v, key)))
-    return F.when(strip(out) != "", strip(out))
+    first = F.coalesce(flat_field(v, "message"), *[F.when(kind_of(v, key) == "STRING", at(v, key)) for key in ("short_message", "msg", "body")])
+    return bound(strip(first), lambda text: F.when(text != "", text))
 
 
-def severity_of(v: Column, message: Column) -> Column:
-    """Text fields, then syslog numbers, OpenTelemetry numbers, PRI, and the level inside a JSON message."""
+def severity_of(v: Column, inner: Column) -> Column:
+    """Text fields, then syslog numbers, OpenTelemetry numbers, PRI, and the level in ``inner``, a JSON message as VARIANT."""
     text = F.coalesce(F.nullif(strip(flat_field(v, "severity")), F.lit("")), *[F.when(kind_of(v, k) == "STRING", F.nullif(strip(at(v, k)), F.lit(""))) for k in ("level", "syslog_severity", "severity_text")])
     number = F.coalesce(number_field(v, "severity"), number_field(v, "level"))
     otel = at(v, "severity_number", "double")
     pri = at(v, "pri", "double")
-    inner = templates.json_object(message)
     keys = ("level", "severity", "loglevel", "lvl")
     logger = F.coalesce(*[F.when(kind_of(inner, k).rlike(r"^(BIGINT|DOUBLE|DECIMAL)"), sev.logger_severity(at(inner, k, "double"))).when(kind_of(inner, k) == "STRING", sev.canonical(at(inner, k))) for k in keys])
     return F.coalesce(sev.canonical(text), F.when(number.isNotNull(), sev.severity_name(number)), F.when(otel >= 1, sev.otel_severity(otel)), F.when(pri >= 0, sev.pri_severity(pri)), logger)
@@ -94,10 +91,10 @@ def normalized(records: DataFrame, now: Column, column: str = "record", enrich:
 
     Records without a message are dropped. Other columns of ``records`` stay.
     """
-    df = parsed(records, column)
-    v = F.col("v")
-    message = message_of(v)
-    inner = templates.text_at(templates.json_object(message), "msg", "message", "text")
+    v, message = F.col("v"), F.col("_full")
+    # Columns of their own are worked out once, though many fields read them.
+    df = parsed(records, column).withColumn("_full", message_of(v)).withColumn("_json", bound(message, templates.json_object))
+    inner = templates.text_at(F.col("_json"), "msg", "message", "text")
     when = F.coalesce(flat_field(v, "timestamp"), at(v, "time"))
     number = F.coalesce(number_field(v, "timestamp"), number_field(v, "time"), number_field(v, "@timestamp"))
     pri = at(v, "pri", "double")
@@ -106,7 +103,7 @@ def normalized(records: DataFrame, now: Column, column: str = "record", enrich:
     df = df.select(
         *[c for c in records.columns if c != column],
         timefix.resolved(F.when(number.isNull(), when), number, now).alias("timestamp"),
-        message.alias("_full"), F.coalesce(inner, message).alias("message"), severity_of(v, message).alias("_header"),
+        message.alias("_full"), F.coalesce(inner, message).alias("message"), severity_of(v, F.col("_json")).alias("_header"),
         host.alias("_host"), address.alias("source_ip"), F.coalesce(flat_field(v, "service", objects_count), text_field(v, "service_name", "application")).alias("service"),
         F.coalesce(flat_field(v, "facility"), text_field(v, "syslog_facility"), F.when(pri >= 0, sev.pri_facility(pri))).alias("facility"),
         F.coalesce(flat_field(v, "program"), text_field(v, "app_name", "appname", "ident", "mnemonic")).alias("program"),

@@ -6,6 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.regexes import is_valid
 
@@ -36,7 +37,7 @@ def escape(text: str) -> str:
     return ESCAPED.sub(r"\\\g<0>", text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normal_pattern(messages: pd.Series) -> pd.Series:
     """An anchored pattern for messages like this one: variable parts by character classes, the rest literally."""
     rules = [(re.compile(p, re.A), by) for p, by in VARIABLE]

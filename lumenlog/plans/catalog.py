@@ -124,7 +124,7 @@ def template_dedup(v: Views) -> DataFrame:
     return us(scoring.extract_templates(v.log_events).select("pattern_hash", "system_id", "template_text", "n", "first_seen", "last_seen", "representative"), "first_seen", "last_seen")
 
 
-@query(r"SELECT doc_id, regexp_replace(text, '(token\s*[=:]\s*)(\"[^\"]*\"|\S+)', '\1***REDACTED***', 'gi') AS redacted FROM documents WHERE regexp_matches(text, 'token\s*[=:]', 'i') AND NOT regexp_matches(text, '(password|passwd|secret|key|credentials?|authorization)\s*[=:]|://', 'i')".replace('\\"', '"'))
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '(token\s*[=:]\s*)(\"[^\"]*\"|''[^'']*'')', '\1***REDACTED***', 'gi'), '(token\s*[=:]\s*)\S+', '\1***REDACTED***', 'gi') AS redacted FROM documents WHERE regexp_matches(text, 'token\s*[=:]', 'i') AND NOT regexp_matches(text, '(password|passwd|secret|key|credentials?|authorization)\s*[=:]|://', 'i')".replace('\\"', '"'))
 def redact_secrets(v: Views) -> DataFrame:
     d = v.table("documents").filter(F.col("text").rlike(r"(?i)token\s*[=:]") & ~F.col("text").rlike(r"(?i)(password|passwd|secret|key|credentials?|authorization)\s*[=:]|://"))
     return d.select("doc_id", masking.redact(F.col("text")).alias("redacted"))
@@ -356,7 +356,7 @@ def rule_scoring(v: Views) -> DataFrame:
 # Windows and effective scores
 
 
-@query("SELECT system_id, us // 3600000000 * 3600000000 + 1800000000 + CASE WHEN us % 3600000000 < 1800000000 THEN -3600000000 ELSE 0 END AS from_ts_us FROM log_events WHERE us >= 1704067200000000 + 1800000000 GROUP BY 1, 2", "log_events")
+@query("SELECT system_id, us // 3600000000 * 3600000000 + 1800000000 + CASE WHEN us % 3600000000 < 1800000000 THEN -3600000000 ELSE 0 END AS from_ts_us FROM log_events WHERE us >= 1704067200000000 + 1800000000 GROUP BY 1, 2 HAVING from_ts_us + 3600000000 <= 1706659200000000", "log_events")
 def tumbling_windows(v: Views) -> DataFrame:
     anchor = v.systems.select("system_id", F.timestamp_micros(F.lit(1_704_067_200_000_000 + 1_800_000_000)).alias("to_ts"))
     return us(wi.tumbling(v.log_events, anchor, v.now, 60).select("system_id", "from_ts"), "from_ts")
