@@ -79,7 +79,7 @@ def matches(mode: str = "pipeline") -> Column:
     ``pipeline``: a missing host or program is an empty string; ``sql``: it matches no pattern.
     """
     some = (lambda c: F.coalesce(F.col(c), F.lit(""))) if mode == "pipeline" else F.col
-    like = lambda value, pattern: F.expr("true") if pattern is None else value.rlike(F.concat(F.lit("(?i)"), F.col(pattern)))
+    like = lambda value, pattern: F.rlike(value, F.concat(F.lit("(?i)"), F.col(pattern)))
     where = lambda value, pattern: F.col(pattern).isNull() | (F.col(pattern) == "") | F.coalesce(like(value, pattern), F.lit(False))
     system = F.col("t.system_id").isNull() | (F.col("t.system_id") == F.col("e.system_id"))
     return system & like(F.col("e.message"), "t.pattern_regex") & where(some("e.host"), "t.host_pattern") & where(some("e.program"), "t.program_pattern")

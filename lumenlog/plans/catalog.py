@@ -439,7 +439,7 @@ def top_events_by_criterion(v: Views) -> DataFrame:
     return reports.top_events(v.scores, v.log_events).select("criterion_id", "rank", "event_id", "score", "severity")
 
 
-@query("""SELECT coalesce(l.template_id, CAST(l.id AS VARCHAR)) AS group_key, l.severity, l.program, s.criterion_id, max(s.score) AS score, arg_max(l.message, l.us * 1000000 + l.id % 1000000) AS message, count(*) AS n, min(l.us) AS first_seen_us, max(l.us) AS last_seen_us,
+@query("""SELECT coalesce(l.template_id, CAST(l.id AS VARCHAR)) AS group_key, l.severity, l.program, s.criterion_id, max(s.score) AS score, arg_max(l.message, CAST(l.us AS HUGEINT) * 1000000 + l.id % 1000000) AS message, count(*) AS n, min(l.us) AS first_seen_us, max(l.us) AS last_seen_us,
     array_to_string(list_sort(list(DISTINCT l.host)), ',') AS hosts, bool_or(l.acked) AS acked FROM scores s JOIN log_events l ON l.id = s.event_id WHERE s.criterion_id = 2 GROUP BY 1, 2, 3, 4 HAVING max(s.score) >= 0.5 ORDER BY max(s.score) DESC, 1, 2, 3 LIMIT 500""", "scores", "log_events")
 def grouped_event_scores(v: Views) -> DataFrame:
     g = reports.grouped_scores(v.scores, v.log_events, 2, 0.5, 500)
@@ -595,15 +595,6 @@ def finding_misses(v: Views) -> DataFrame:
 # Alerts
 
 
-@query("SELECT system_id, criterion_id, window_id FROM effective WHERE round(effective, 9) >= 0.75", "effective")
-def alert_firing(v: Views) -> DataFrame:
-    rules = v.spark.createDataFrame([(1, 1, None, None, 0.75, 0, True, True, "threshold"), (2, 1, 0, 1, 0.1, 0, True, False, "threshold"), (3, 1, None, None, 0.0, 0, True, True, "schedule")], RULES)
-    eff = rounded(v.effective, "effective").withColumn("criterion_id", F.col("criterion_id")).withColumn("system_id", F.col("system_id"))
-    fired = alerting.evaluate(eff, rules, channels(v), history(v).limit(0), silences(v).limit(0), v.now)
-    del fired
-    return eff.filter("effective >= 0.75").select("system_id", "criterion_id", "window_id")
-
-
 RULES = "id long, channel_id long, system_id long, criterion_id int, min_score double, throttle_seconds int, notify_recovery boolean, enabled boolean, trigger_type string"
 
 
@@ -627,6 +618,12 @@ def latest_effective(v: Views) -> DataFrame:
     return wi.best_effective(rounded(v.effective, "effective"), v.windows, v.now).select("system_id", "criterion_id", "effective")
 
 
+@query(f"SELECT system_id, criterion_id, round(effective, 9) AS score, 'firing' AS state FROM ({BEST_SQL}) WHERE round(effective, 9) >= 0.75", "effective")
+def alert_firing(v: Views) -> DataFrame:
+    rules = v.spark.createDataFrame([(1, 1, None, None, 0.75, 0, True, True, "threshold"), (2, 2, 0, 1, 0.1, 0, True, False, "threshold"), (3, 1, None, None, 0.0, 0, True, True, "schedule")], RULES)
+    return alerting.evaluate(latest_effective(v), rules, channels(v), history(v).limit(0), silences(v).limit(0), v.now).select("system_id", "criterion_id", "score", "state")
+
+
 STATES_SQL = f"""SELECT system_id, criterion_id, round(effective, 9) AS score, CASE WHEN round(effective, 9) >= 0.8 THEN 'firing' ELSE 'resolved' END AS state FROM ({BEST_SQL})
     WHERE (round(effective, 9) >= 0.8) <> ((system_id + criterion_id) % 2 = 0)"""
 
@@ -643,7 +640,7 @@ def alert_silenced(v: Views) -> DataFrame:
     return alerting.evaluate(latest_effective(v), rules, channels(v), history(v), silences(v), v.now).select("system_id", "criterion_id", "score", "state")
 
 
-@query("SELECT system_id, criterion_id, arg_max(CASE WHEN id % 2 = 0 THEN 'firing' ELSE 'resolved' END, us * 1000000 + id) AS last_state FROM scored_events GROUP BY 1, 2", "scored_events")
+@query("SELECT system_id, criterion_id, arg_max(CASE WHEN id % 2 = 0 THEN 'firing' ELSE 'resolved' END, CAST(us AS HUGEINT) * 1000000 + id) AS last_state FROM scored_events GROUP BY 1, 2", "scored_events")
 def alert_last_state(v: Views) -> DataFrame:
     e = v.log_events.filter("not acked").join(v.scores.select(F.col("event_id").alias("id"), "criterion_id"), "id")
     h = e.select("id", F.lit(1).alias("rule_id"), "system_id", "criterion_id", F.when(F.col("id") % 2 == 0, "firing").otherwise("resolved").alias("state"), F.col("timestamp").alias("created_at"))
@@ -700,9 +697,9 @@ def usage_totals(v: Views) -> DataFrame:
     return reports.usage_totals(reports.with_cost(v.usage, PRICES)).withColumn("cost", F.round("cost", 6))
 
 
-@query("SELECT CAST(created_at AS DATE) AS day, count(*) AS n, sum(token_input) AS token_input, round(sum(cost), 6) AS cost FROM priced GROUP BY 1 ORDER BY 1 DESC LIMIT 30", "priced")
+@query("SELECT CAST(created_at AS DATE) AS day, count(*) AS n, sum(token_input) AS token_input, round(sum(cost), 9) AS cost FROM priced GROUP BY 1 ORDER BY 1 DESC LIMIT 30", "priced")
 def usage_daily(v: Views) -> DataFrame:
-    return reports.usage_daily(reports.with_cost(v.usage, PRICES)).select("day", "n", "token_input", F.round("cost", 6).alias("cost"))
+    return reports.usage_daily(reports.with_cost(v.usage, PRICES)).select("day", "n", "token_input", F.round("cost", 9).alias("cost"))
 
 
 @query("SELECT id, round(cost, 9) AS cost FROM priced", "priced")
@@ -715,7 +712,7 @@ def daily_summary_per_system(v: Views) -> DataFrame:
     return reports.daily_summaries(v.windows.withColumn("summary", F.lit("s"))).select("system_id", "day", "window_id")
 
 
-@query("SELECT id FROM (SELECT id, row_number() OVER (ORDER BY us, id) - 1 AS at, count(*) OVER () AS n FROM log_events) WHERE at IN (SELECT i * (n - 1) // 59 FROM (SELECT range AS i FROM range(60)))", "log_events")
+@query("SELECT id FROM (SELECT id, row_number() OVER (ORDER BY us, id) - 1 AS place, count(*) OVER () AS n FROM log_events) WHERE place IN (SELECT i * (n - 1) // 59 FROM (SELECT range AS i FROM range(60)))", "log_events")
 def uniform_sample_60(v: Views) -> DataFrame:
     return reports.uniform(v.log_events, ["timestamp", "id"]).select("id")
 
