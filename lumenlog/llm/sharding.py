@@ -4,8 +4,9 @@ Documents are vertices; documents with equal texts are linked. A group of copies
 one hub rather than pair by pair, so a group of n copies has n edges. Labels (target shards) move
 along the edges for a few rounds under capacity quotas: a round counts each group's labels, the hub
 takes the most frequent one, and members in other shards ask to move there. A shard admits requests up to
-the room it has left. What the quotas leave uneven is levelled at the end by a global order: documents
-sorted by shard and group are cut at equal counts (or bytes), which parts at most one group per cut.
+the room it has left. At the end every group stands whole at its hub, and what that leaves uneven is levelled
+by a global order: documents sorted by shard and group are cut at equal counts (or bytes), which parts only
+the groups at the cuts.
 """
 
 from __future__ import annotations
@@ -64,6 +65,11 @@ def thresholds(asked: list, loads: dict[int, float], cap: float) -> dict[int, in
     return below
 
 
+def hubs_of(moving: DataFrame) -> DataFrame:
+    """group and its hub's label: the one with the greatest weight among the members."""
+    return moving.groupBy("group", "label").agg(F.sum("weight").alias("w")).groupBy("group").agg(F.max_by("label", F.struct("w", F.xxhash64("group", "label"))).alias("hub"))
+
+
 def propagated(v: DataFrame, shards: int, weight: str, rounds: int = ROUNDS) -> DataFrame:
     """group, first, chunk and the label they end with.
 
@@ -82,27 +88,27 @@ def propagated(v: DataFrame, shards: int, weight: str, rounds: int = ROUNDS) ->
         for r in moving.groupBy("label").agg(F.sum("weight").alias("w")).collect():
             loads[r["label"]] += r["w"]
         cap = (1 + SLACK) * sum(loads.values()) / shards
-        hubs = moving.groupBy("group", "label").agg(F.sum("weight").alias("w")).groupBy("group").agg(F.max_by("label", F.struct("w", F.xxhash64("group", "label"))).alias("hub"))
-        ask = moving.join(hubs, "group").withColumn("priority", F.pmod(F.xxhash64("group", "first", "chunk"), F.lit(PRIORITIES)).cast("int"))
+        ask = moving.join(hubs_of(moving), "group").withColumn("priority", F.pmod(F.xxhash64("group", "first", "chunk"), F.lit(PRIORITIES)).cast("int"))
         asked = ask.filter("label != hub").groupBy("label", "hub", "priority").agg(F.sum("weight").alias("weight")).collect()
         if not asked:
             break
         admitted = thresholds(asked, loads, cap)
         below = F.element_at(F.create_map(*[F.lit(x) for pair in admitted.items() for x in pair]), F.col("hub"))
         moving = checkpointed(ask.withColumn("label", F.when(F.col("priority") < below, F.col("hub")).otherwise(F.col("label"))).select(*units.columns))
-    return moving.unionByName(alone).select("group", "first", "chunk", "label")
+    whole = moving.join(hubs_of(moving), "group").withColumn("label", F.col("hub")).drop("hub")
+    return whole.unionByName(alone).select("group", "first", "chunk", "label")
 
 
 def ranked(labelled: DataFrame, rows: int) -> DataFrame:
-    """Adds ``rank`` and ``before`` (bytes before) in the order of label, range of groups, chunk, group, doc_id.
+    """Adds ``rank`` and ``before`` (bytes before) in the order of label, range of groups, unit, group, doc_id.
 
-    Rows are put in order inside buckets of about RANK_ROWS rows; a large group's chunks are buckets
+    Rows are put in order inside buckets of about RANK_ROWS rows; a large group's units are buckets
     of their own. The buckets' sums, about one row for each RANK_ROWS rows, give the offsets.
     """
     ranges = max(1, -(-rows // RANK_ROWS))
     at = F.floor((F.col("group").cast("double") / F.lit(float(2**64)) + 0.5) * ranges).cast("int")
     large = F.col("members") > RANK_ROWS // 4
-    dealt = labelled.withColumn("range", F.least(F.greatest(at, F.lit(0)), F.lit(ranges - 1))).withColumn("part", F.when(large, F.col("chunk") + 1).otherwise(0))
+    dealt = labelled.withColumn("range", F.least(F.greatest(at, F.lit(0)), F.lit(ranges - 1))).withColumn("part", F.when(large, F.col("first") * CHUNKS + F.col("chunk") + 1).otherwise(0))
     keys = ["label", "range", "part"]
     sums = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b"))
     ahead = W.orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)
