@@ -74,7 +74,8 @@ def deduplicated(new: DataFrame, open_findings: DataFrame, threshold: float = 0.
     New findings of a window and open ones are capped, so a system's rows are few.
     """
     a = fingerprinted(new).select("system_id", "seq", "severity", "criterion_slug", "tokens", "fingerprint")
-    b = fingerprinted(open_findings.filter("status = 'open'")).select("system_id", "id", "severity", "criterion_slug", "tokens", "fingerprint")
+    b = fingerprinted(open_findings.filter("status = 'open'")).select("system_id", "id", F.col("severity").alias("open_severity"), F.col("criterion_slug").alias("open_slug"), "tokens", "fingerprint")
+    # Both sides may come from one table: columns of the same name would be taken for one another.
 
     def greedy(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rank = lambda s: sev.FINDING_RANKS.get(s, 1)
@@ -115,21 +116,21 @@ def deduplicated(new: DataFrame, open_findings: DataFrame, threshold: float = 0.
         taken: set[int] = set()
         fresh = []
         for r in batch:
-            match = next((o for o in opened if o["fingerprint"] == r["fingerprint"] and agrees(r["criterion_slug"], o["criterion_slug"])), None)
+            match = next((o for o in opened if o["fingerprint"] == r["fingerprint"] and agrees(r["criterion_slug"], o["open_slug"])), None)
             if match is not None and match["id"] in taken:
                 match = None
             if match is None and n >= 3:
                 scores = [cosine(vector(r["tokens"]), v) for v in vectors]
                 best = max(range(n), key=lambda i: (scores[i], -i))
-                if scores[best] >= threshold and scores[best] > 0 and agrees(r["criterion_slug"], opened[best]["criterion_slug"]) and opened[best]["id"] not in taken:
+                if scores[best] >= threshold and scores[best] > 0 and agrees(r["criterion_slug"], opened[best]["open_slug"]) and opened[best]["id"] not in taken:
                     match = opened[best]
             if match is None:
-                match = next((o for o in opened if o["id"] not in taken and agrees(r["criterion_slug"], o["criterion_slug"]) and alike(r["tokens"], o["tokens"]) >= threshold), None)
+                match = next((o for o in opened if o["id"] not in taken and agrees(r["criterion_slug"], o["open_slug"]) and alike(r["tokens"], o["tokens"]) >= threshold), None)
             if match is None:
                 fresh.append(r)
             else:
                 taken.add(match["id"])
-                out.append((r["seq"], "update", match["id"], r["severity"] if rank(r["severity"]) > rank(match["severity"]) else None))
+                out.append((r["seq"], "update", match["id"], r["severity"] if rank(r["severity"]) > rank(match["open_severity"]) else None))
         for i, r in enumerate(sorted(fresh, key=lambda r: -rank(r["severity"])) if len(fresh) > most_new else fresh):
             out.append((r["seq"], "insert" if i < most_new else "capped", None, None))
         return pd.DataFrame([(key[0], *o) for o in out], columns=["system_id", "seq", "action", "open_id", "escalated"]).astype({"open_id": "Int64"})
