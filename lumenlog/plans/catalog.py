@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import addresses, masking, severity as sev, similarity as sim, templates as tpl, timefix
-from ..operators import alerting, discovery as di, events as ev, findings as fi, ingest as ing, meta, multiline, normal, reports, routing, scoring, windows as wi
+from ..operators import alerting, discovery as di, events as ev, findings as fi, ingest as ing, meta, multiline, normal, pairs, reports, routing, scoring, windows as wi
 from ..schema import CRITERIA
 from .views import NOW_US, PRICES, Views, with_views
 
@@ -543,6 +543,13 @@ def jaccard_pairs(v: Views) -> DataFrame:
     return fi.jaccard_pairs(f, f).filter("a_id < b_id").withColumn("jaccard", F.round("jaccard", 9)).filter("jaccard >= 0.3")
 
 
+@query()
+def jaccard_pairs_whole(v: Views) -> DataFrame:
+    """``jaccard_pairs`` of all findings, whatever their ids and characters; SQL would compare every pair of rows."""
+    found = pairs.similar(pairs.token_terms(fi.fingerprinted(v.whole_findings)), None, 0.3 - 1e-9)
+    return found.select("system_id", "a_id", "b_id", F.round("similarity", 9).alias("jaccard")).filter("jaccard >= 0.3")
+
+
 @query()
 def tfidf_pairs(v: Views) -> DataFrame:
     f = fi.fingerprinted(v.findings.filter("status = 'open'"))

@@ -78,11 +78,16 @@ class Views:
 
     @cached_property
     def findings(self) -> DataFrame:
+        """Findings with the first 300 characters of their texts, as the SQL of this view has them."""
+        return self.whole_findings.withColumn("text", F.substring("text", 1, 300))
+
+    @cached_property
+    def whole_findings(self) -> DataFrame:
         d, i = self.table("documents"), F.col("doc_id")
         at = F.timestamp_micros(F.lit(1_704_067_200_000_000) + i * 60_000_000)
         severity = F.when(i % 5 == 0, "critical").when(i % 5 == 1, "high").when(i % 5 == 2, "medium").when(i % 5 == 3, "low").otherwise("info")
         return d.select(
-            i.alias("id"), (i % 5).alias("system_id"), F.substring("text", 1, 300).alias("text"), severity.alias("severity"), F.concat(F.lit("c"), (i % 3).cast("string")).alias("criterion_slug"),
+            i.alias("id"), (i % 5).alias("system_id"), "text", severity.alias("severity"), F.concat(F.lit("c"), (i % 3).cast("string")).alias("criterion_slug"),
             F.when(i % 3 == 0, "resolved").when(i % 7 == 1, "acknowledged").otherwise("open").alias("status"), at.alias("created_at"), F.when(i % 7 != 0, at).alias("last_seen_at"), (i % 4 + 1).alias("occurrence_count"),
         )
 
