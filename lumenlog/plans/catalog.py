@@ -534,6 +534,12 @@ def finding_fingerprint(v: Views) -> DataFrame:
     return v.findings.filter(~F.col("text").rlike(r"[0-9a-f]{8}-[0-9a-f]{4}-|\[|[^\x00-\x7F]")).select("id", sim.fingerprint(F.col("text")).alias("fingerprint"))
 
 
+@query()
+def finding_fingerprint_whole(v: Views) -> DataFrame:
+    """``finding_fingerprint`` of whole texts of any characters."""
+    return v.whole_findings.select("id", sim.fingerprint(F.col("text")).alias("fingerprint"))
+
+
 PAIRS = f"tok AS (SELECT id, system_id, list_distinct({TOKENS}) AS tokens FROM findings WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]|\\[') AND id < 1000)"
 
 
@@ -552,8 +558,9 @@ def jaccard_pairs_whole(v: Views) -> DataFrame:
 
 @query()
 def tfidf_pairs(v: Views) -> DataFrame:
-    f = fi.fingerprinted(v.findings.filter("status = 'open'"))
-    return fi.cosine_pairs(f, f, 0.5).filter("a_id < b_id")
+    f = fi.fingerprinted(v.whole_findings.filter("status = 'open'")).select("system_id", "id", "tokens")
+    found = pairs.similar(pairs.weighted_terms(fi.weighted(f, fi.idf(f))), None, 0.5, weighted=True)
+    return found.withColumnRenamed("similarity", "cosine")
 
 
 @query("SELECT id, n_alike FROM (SELECT id, count(*) OVER w AS n_alike, row_number() OVER (PARTITION BY system_id, criterion_slug, lower(substring(text, 1, 60)) ORDER BY created_us, id) AS rn FROM findings WINDOW w AS (PARTITION BY system_id, criterion_slug, lower(substring(text, 1, 60)))) WHERE rn = 1", "findings")
@@ -573,8 +580,8 @@ def findings_by_severity_pivot(v: Views) -> DataFrame:
 
 @query()
 def finding_deduplication(v: Views) -> DataFrame:
-    new = v.findings.filter("status = 'resolved'").withColumn("seq", F.col("id"))
-    return fi.deduplicated(new, v.findings)
+    new = v.whole_findings.filter("status = 'resolved'").withColumn("seq", F.col("id"))
+    return fi.deduplicated(new, v.whole_findings)
 
 
 @query(f"SELECT system_id, id FROM findings WHERE status = 'open' AND EXISTS (SELECT 1 FROM (VALUES (1)) x WHERE len(list_filter(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) >= 4)), lambda w: list_contains(string_split_regex(lower(text), '[^a-z0-9]+'), w))) > 0)", "findings")
@@ -583,6 +590,13 @@ def overlap_ratio_matches(v: Views) -> DataFrame:
     return fi.acknowledged_by(v.findings, said).select("system_id", "id")
 
 
+@query()
+def overlap_ratio_matches_whole(v: Views) -> DataFrame:
+    """``overlap_ratio_matches`` of whole texts."""
+    said = v.whole_findings.select("system_id", F.col("text").alias("message"))
+    return fi.acknowledged_by(v.whole_findings, said).select("system_id", "id")
+
+
 @query("SELECT status, count(*) AS n, round(avg(occurrence_count), 9) AS avg_occurrences, max(occurrence_count) AS max_occurrences FROM findings GROUP BY status", "findings")
 def finding_stats(v: Views) -> DataFrame:
     return rounded(reports.finding_stats(v.findings), "avg_occurrences")
@@ -748,6 +762,12 @@ def csv_escape(v: Views) -> DataFrame:
     return v.table("documents").filter(~F.col("text").rlike(r"^[=+@\-]")).select("doc_id", sim.csv_field(F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("="), t)).otherwise(t)).alias("field"))
 
 
+@query()
+def csv_escape_whole(v: Views) -> DataFrame:
+    """``csv_escape`` of whole texts as they are, those that begin like a formula too."""
+    return v.table("documents").select("doc_id", sim.csv_field(F.col("text")).alias("field"))
+
+
 @query("SELECT id, system_id, us FROM (SELECT id, system_id, us FROM log_events WHERE id % 2 = 0 UNION ALL SELECT id, system_id, us FROM log_events WHERE id % 2 = 1) ORDER BY us, id LIMIT 500", "log_events")
 def union_sources_by_ts(v: Views) -> DataFrame:
     a, b = v.log_events.filter("id % 2 = 0"), v.log_events.filter("id % 2 = 1")
