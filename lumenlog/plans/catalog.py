@@ -130,6 +130,12 @@ def redact_secrets(v: Views) -> DataFrame:
     return d.select("doc_id", masking.redact(F.col("text")).alias("redacted"))
 
 
+@query()
+def redact_secrets_whole(v: Views) -> DataFrame:
+    """``redact_secrets`` of every text by every rule."""
+    return v.table("documents").select("doc_id", masking.redact(F.col("text")).alias("redacted"))
+
+
 MASKS = {
     "ipv4": (r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)(?:/\d{1,2})?\b", "<IPv4>", "g"), "ipv6": (r"\b(?:[0-9a-fA-F]{1,4}:){2,7}[0-9a-fA-F]{1,4}\b", "<IPv6>", "g"),
     "email": (r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", "<EMAIL>", "g"), "phone": (r"(?:\+?\d{1,3}[\s.-]?)?\(?\d{2,4}\)?[\s.-]?\d{3,4}[\s.-]?\d{3,4}\b", "<PHONE>", "g"),
@@ -182,6 +188,13 @@ def pri_decode(v: Views) -> DataFrame:
     return v.table("events").filter((F.col("event_id") % 250) % 8 == F.col("event_id") % 8).select(F.col("event_id").alias("id"), sev.pri_severity(pri).alias("severity"), shown.alias("facility"))
 
 
+@query()
+def pri_decode_whole(v: Views) -> DataFrame:
+    """``pri_decode`` of every event, facilities by their own names."""
+    pri = F.col("event_id") % 250
+    return v.table("events").select(F.col("event_id").alias("id"), sev.pri_severity(pri).alias("severity"), sev.pri_facility(pri).alias("facility"))
+
+
 @query("SELECT event_id AS id, CASE WHEN event_id % 24 + 1 <= 8 THEN 'debug' WHEN event_id % 24 + 1 <= 12 THEN 'info' WHEN event_id % 24 + 1 <= 16 THEN 'warning' WHEN event_id % 24 + 1 <= 20 THEN 'error' ELSE 'critical' END AS severity FROM events")
 def otel_number(v: Views) -> DataFrame:
     return v.table("events").select(F.col("event_id").alias("id"), sev.otel_severity(F.col("event_id") % 24 + 1).alias("severity"))
@@ -260,6 +273,12 @@ def orphan_fragments(v: Views) -> DataFrame:
     return d.select("id", F.when(others & (F.length(F.trim("sample")) >= 5), F.lit(False)).otherwise(words).alias("fragment"))
 
 
+@query()
+def orphan_fragments_whole(v: Views) -> DataFrame:
+    """``orphan_fragments`` of whole texts, by the operator's own answer."""
+    return v.table("documents").select(F.col("doc_id").alias("id"), tpl.is_orphan_fragment(F.col("text")).alias("fragment"))
+
+
 @query()
 def normal_patterns(v: Views) -> DataFrame:
     return v.log_events.select("id", normal.normal_pattern("message").alias("pattern"), normal.literal_pattern(F.col("host")).alias("host_pattern"))
