@@ -38,8 +38,8 @@ def vocabulary_path() -> str:
 def encoder(path: str):
     """The byte-level BPE of a tokenizers file, run by tiktoken: the same ids, several times faster.
 
-    The file's vocabulary lists merged tokens in merge order, so its ids serve as ranks. Strings of
-    special tokens are ordinary text.
+    The file's vocabulary lists merged tokens in merge order, so its ids serve as ranks. Its added
+    tokens are special tokens here: ``encode_ordinary`` splits their strings, ``ids_of`` does not.
     """
     import json
 
@@ -47,11 +47,22 @@ def encoder(path: str):
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        vocabulary = json.load(f)["model"]["vocab"]
+        file = json.load(f)
+    vocabulary, added = file["model"]["vocab"], {t["content"]: t["id"] for t in file["added_tokens"]}
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in file["added_tokens"]):
+        raise ValueError("added tokens that take more than their own string are not supported")
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
     ranks = {bytes(shown[c] for c in token): i for token, i in vocabulary.items() if all(c in shown for c in token) and not token.startswith("<|")}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+
+
+def ids_of(path: str):
+    """Ids of a text as tokenizers gives them without add_special_tokens: an added token's string is its id."""
+    own = encoder(path)
+    marks = tuple(own.special_tokens_set)
+    # Texts without a mark, nearly all, need no search for special tokens.
+    return lambda text: own.encode(text, allowed_special="all") if any(m in text for m in marks) else own.encode_ordinary(text)
 
 
 def pieces_of(ids: list[int], capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -66,7 +77,7 @@ def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
     """doc_id, piece, start, length, ids_crc32 of every piece: a narrow step over whole texts."""
 
     def run(batches):
-        encode = encoder(path).encode_ordinary
+        encode = ids_of(path)
         for batch in batches:
             for part in chunks(batch, most=CHUNK_BYTES // 4):
                 rows: list[list] = [[], [], [], [], []]
@@ -217,16 +228,16 @@ def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
         bins.append((contents, n))
         for s, k in pattern.items():
             rest[s] -= k * n
-    # Patterns that leave room are not better than best fit: their pieces go back.
-    room = 0
-    final = []
+    # The LP's patterns with what they leave packed best fit, the same with only its full patterns, or best fit alone: the fewest sequences win.
+    full, loose = [], Counter(rest)
     for contents, n in bins:
-        if capacity - sum(contents) > room:
-            for s in contents:
-                rest[s] += n
+        if sum(contents) == capacity:
+            full.append((contents, n))
         else:
-            final.append((contents, n))
-    final += best_fit({s: n for s, n in rest.items() if n}, capacity)
+            for s in contents:
+                loose[s] += n
+    fit = lambda left: best_fit({s: n for s, n in left.items() if n}, capacity)
+    final = min((full + fit(loose), bins + fit(rest), fit(histogram)), key=lambda plan: sum(n for _, n in plan))
     next_rank: Counter = Counter()
     rows, sequence = [], 0
     for contents, n in final:
