@@ -520,8 +520,8 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     for k, partners in enumerate([*PARTNERS, None]):
         apart = meetings.join(labels, "doc_id", "left").select("token", "doc_id", "n", "place", F.coalesce("class", "doc_id").alias("class")).repartition(parts, "token")
         pairs = stored((crossing(apart) if partners is None else sampled(apart, partners, k)).distinct(), "candidates")
-        if pairs.isEmpty():
-            break
+        if pairs.isEmpty():  # a draw may miss; the last round leaves nothing out
+            continue
         found = stored(verified(sets, pairs), "links")
         if not found.isEmpty():
             links = links.unionByName(found)
