@@ -86,7 +86,7 @@ def statistics(data: bytes, learned: frozenset[bytes] = frozenset()) -> list[flo
             masked += (bare in STRONG or bare in WEAK) and m.translate(None, b".-_") != bare
     for m in SPACED.findall(low):
         bare = m.translate(None, b" .-_")
-        spaced += any(w in bare for w in STRONG if len(w) > 3) if len(bare) < 200 else 0
+        spaced += any(w in bare for w in STRONG if len(w) > 3)
     n = max(len(data), 1)
     letters = max(n - len(data.translate(None, bytes(range(65, 91)) + bytes(range(97, 123)))), 1)
     capitals = n - len(data.translate(None, bytes(range(65, 91)))) if data else 0
