@@ -1,51 +1,46 @@
-"""N-gram Jaccard join by a prefix tree over globally ordered shingle sets.
-
-A document's set holds its distinct word shingles as 63-bit hashes. All sets are put in one global
-order: shingles by hash, the most frequent ones last, by frequency. Any such order gives exact
-results; this one makes few candidates. Two sets that reach the threshold share a shingle among the
-first few of each (the prefix), so prefixes meet by shingle; the sets that meet are then compared
-through a tree: partners of one set arrive in lexicographic order, which is the depth-first order of
-their trie, so a partner starts from the overlap its predecessor had at their common path, and a
-subtree is left as soon as the lengths that remain cannot reach the overlap needed.
-
-A set that links with anything shares at least the threshold's part of its shingles with it, so a set
-with fewer shingles that occur elsewhere is put aside before sets meet.
-
-Only links between different sets matter for classes, and a link inside one class adds nothing. So a
-first round compares each set with the partner it meets most often, the next ones with a few random
-partners in other classes, and the last round compares every pair that met and is not in one class yet:
-however large a group of near copies is, its classes have mostly merged by then.
+"""N-gram Jaccard join by prefix trees over globally ordered shingle sets.
+
+A document's set holds its distinct word shingles. Shingles are counted over all different sets, and every
+set is put in one global order: rarest first. Two sets that reach the threshold share a shingle among the
+first few of each (the prefix), and all but few of a set's shingles must occur in other sets, so a set
+where they don't is put aside before sets meet.
+
+Sets that share a prefix shingle meet in one group. Their ordered sets from that shingle on form a trie: in
+lexicographic order, neighbours' common prefixes are its inner nodes. Each set walks the trie of its group
+depth-first. A sequence that follows another shares the overlap counted up to their branch, and is left as
+soon as the lengths that remain cannot reach the overlap needed. Pairs that are connected already are passed
+over and a found link unites at once, so a group of n sets gives at most n - 1 links.
+
+Before that, each set is compared with the one leader it meets most often, which merges most copies;
+shingles whose sets are all in one class by then need no trie, and groups with the same members need one.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import checkpointed, chunks, documents, stored
 
 WORDS = 5
 #: Linked if PART * intersection >= SIMILAR * union.
 SIMILAR, PART = 80, 100
-#: Shingles that are ordered by frequency; the rest are ordered by hash. A bound on what is broadcast; it changes no result.
-FREQUENT = 1 << 16
-#: Bits of the filter of shingles that occur more than once, as a power of two. Fixed in size; it changes no result.
-FILTER_BITS = 28
-#: Shingles that one task counts.
+#: Bits by which a shingle is known once sets are counted: a pair of sets of 1,000 shingles is misjudged with a chance below 1e-8.
+ID_BITS = 48
+#: Shingles that one task counts; more input makes more ranges.
 COUNT_ROWS = 2_000_000
-#: Rows of doc_ids that are broadcast at most; more are joined by shuffling.
-BROADCAST_ROWS = 2_000_000
-#: Random partners of a set in each of the rounds before the last.
-PARTNERS = (2, 4, 8)
-#: Partners of one set beyond which they are dealt out by salt.
-MOST_PARTNERS, SALTS = 256, 64
-BLOCK = 64
+#: A shingle is common if it stands in this part of all documents. Common ones, at most MOST_COMMON, are broadcast, so that no task counts their places.
+COMMON_PART, MOST_COMMON = 1024, 1 << 16
+#: Counts above this are one level of the order.
+MOST_LEVEL = (1 << 15) - 2
+#: Sets that one trie holds at most, beside as many that walk it; larger groups are split into blocks.
+BLOCK_SETS = 1024
+STEP = 64
 CHUNK = 2 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -118,6 +113,10 @@ def sets_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     return shingle_sets(data, offsets - offsets[0])
 
+def first_of_runs(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+
 
 def needed(a: int, b: int) -> int:
     """The least intersection with which sets of a and b shingles are linked."""
@@ -129,404 +128,361 @@ def prefix_length(n):
     return n - -(-SIMILAR * n // PART) + 1
 
 
-@dataclass(frozen=True)
-class Order:
-    """The global order: 63-bit hashes of the most frequent shingles, sorted, with their places at the end."""
-
-    cells: np.ndarray
-    places: np.ndarray
-    shift: int
-
-    def keys(self, tokens: np.ndarray) -> np.ndarray:
-        """Order keys, ascending: the hash itself, or for frequent shingles a place above all hashes."""
-        if not len(self.cells) or not len(tokens):
-            return tokens
-        cells = tokens >> np.uint64(self.shift)
-        at = np.minimum(np.searchsorted(self.cells, cells), len(self.cells) - 1)
-        hot = self.cells[at] == cells
-        if not hot.any():
-            return tokens
-        # A cell may hold more than one shingle: the hash's low bits tell them apart.
-        low = tokens & np.uint64((1 << self.shift) - 1)
-        moved = np.uint64(1 << 63) | (self.places[at] << np.uint64(self.shift)) | low
-        return np.sort(np.where(hot, moved, tokens))
+def signature(s: np.ndarray) -> int:
+    """63 bits that stand for a set: documents with one signature are one vertex."""
+    return int(mixed(s).sum(dtype=np.uint64) >> np.uint64(1))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and a 126-bit signature of the set: a narrow step."""
+    """doc_id, n_shingles and vertex (the set's signature) of every document: a narrow step.
+
+    Rows with ``common`` set are no documents: they say that the shingle ``vertex`` stands in ``n_shingles``
+    documents of one piece of the table, if that is many of the piece's.
+    """
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch, most=CHUNK):
-                n, one, two = [], [], []
-                for s in sets_of(part):
-                    n.append(len(s))
-                    one.append(int(mixed(s).sum(dtype=np.uint64) >> np.uint64(1)))
-                    two.append(int(mixed(s ^ BASE).sum(dtype=np.uint64) >> np.uint64(1)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["doc_id", "n_shingles", "one", "two"])
-
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, one long, two long")
+                sets = list(sets_of(part))
+                n = [len(s) for s in sets]
+                yield rows_of(part.column("doc_id"), n, [signature(s) for s in sets], [False] * len(sets))
+                tokens = np.sort(np.concatenate(sets), kind="stable")
+                first = first_of_runs(tokens)
+                counts = np.diff(np.append(first, len(tokens)))
+                many = np.flatnonzero(counts >= max(16, len(sets) // (COMMON_PART // 4)))
+                if len(many):
+                    yield rows_of(pa.nulls(len(many), pa.int64()), counts[many], tokens[first[many]].astype(np.int64), [True] * len(many))
 
+    def rows_of(doc, n, vertex, common):
+        return pa.RecordBatch.from_arrays([doc, pa.array(n, pa.int64()), pa.array(vertex, pa.int64()), pa.array(common, pa.bool_())], names=["doc_id", "n_shingles", "vertex", "common"])
 
-def only(docs: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
-    """The documents whose doc_id is in ``ids``; the ids are broadcast if they are few enough."""
-    return docs.join(F.broadcast(ids) if rows <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, vertex long, common boolean")
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Sorted 32-bit numbers as compressed differences, byte plane by byte plane."""
-    steps = np.diff(values, prepend=np.uint32(0)).astype("<u4")
-    return zlib.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+def planes(values: np.ndarray, width: int) -> bytes:
+    """Numbers of ``width`` bytes, compressed byte plane by byte plane."""
+    return zlib.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes(), 1)
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+def from_planes(data: bytes, width: int) -> np.ndarray:
+    flat = np.frombuffer(zlib.decompress(data), np.uint8).reshape(width, -1)
+    out = np.zeros((flat.shape[1], 8), np.uint8)
+    out[:, :width] = flat.T
+    return out.view("<u8").ravel()
 
 
-def counted(docs: DataFrame, total: int) -> tuple[Order, np.ndarray]:
-    """Counts all shingles of ``docs``: the order of the most frequent, and the filter of those that occur more than once.
+def pack(key: int, tokens: np.ndarray, who: np.ndarray, vertex: np.ndarray, n: np.ndarray) -> tuple:
+    """A row of places of shingles, in the order of tokens; ``who`` points into vertex and n."""
+    used, who = np.unique(who, return_inverse=True)
+    return key, planes(np.diff(tokens, prepend=np.uint64(0)), 8), planes(who, 4), vertex[used].astype("<u8").tobytes(), n[used].astype("<u4").tobytes()
 
-    Tasks send sorted 32-bit pieces of hashes by range; a range's counts are made in one task. Ranges
-    are as many as the shingles ask for; what comes back to the driver is fixed in size.
-    """
-    bits = max(4, min(FILTER_BITS - 10, (max(1, total // COUNT_ROWS)).bit_length()))
-    ranges, shift = 1 << bits, 63 - bits - 32
-    own_bits = FILTER_BITS - bits
-    most = 4 * FREQUENT // ranges + 1024
-
-    def send(batches):
-        held: list[np.ndarray] = []
-        size = 0
 
-        def flush():
-            tokens = np.sort(np.concatenate(held))
-            edges = np.searchsorted(tokens, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(63 - bits))
-            rows = [(r, packed((tokens[a:b] >> np.uint64(shift)).astype(np.uint32))) for r, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["range", "data"])
+def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens, vertices and sizes of all places in packed rows."""
+    tokens, vertices, sizes = [], [], []
+    for steps, who, vertex, n in zip(*(table.column(c) for c in PACKED[1:]), strict=True):
+        at = from_planes(who.as_py(), 4).astype(np.int64)
+        tokens.append(np.cumsum(from_planes(steps.as_py(), 8), dtype=np.uint64))
+        vertices.append(np.frombuffer(vertex.as_py(), "<u8")[at])
+        sizes.append(np.frombuffer(n.as_py(), "<u4")[at])
+    return np.concatenate(tokens), np.concatenate(vertices), np.concatenate(sizes)
 
-        for batch in batches:
-            for part in chunks(batch, most=CHUNK):
-                for s in sets_of(part):
-                    held.append(s)
-                    size += len(s)
-                if size > COUNT_ROWS * 2:
-                    yield flush()
-                    held, size = [], 0
-        if size:
-            yield flush()
-
-    def receive(key, group):
-        values = np.sort(np.concatenate([unpacked(x.as_py()) for x in group.column("data")]))
-        first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-        counts = np.diff(np.append(first, len(values)))
-        own = values[first]
-        many = counts > 1
-        filled = np.zeros(1 << own_bits, bool)
-        filled[own[many] >> np.uint32(32 - own_bits)] = True
-        hot = np.flatnonzero(counts >= 8)
-        hot = hot[np.argsort(-counts[hot], kind="stable")[:most]]
-        r = key[0].as_py()
-        cells = (np.uint64(r) << np.uint64(32)) | own[hot].astype(np.uint64)
-        return pa.table({"range": pa.array([r], pa.int32()), "filled": pa.array([np.packbits(filled).tobytes()], pa.binary()), "cells": pa.array([cells.tobytes()], pa.binary()), "counts": pa.array([counts[hot].astype("<i8").tobytes()], pa.binary())})
-
-    rows = docs.mapInArrow(send, "range int, data binary").groupBy("range").applyInArrow(receive, "range int, filled binary, cells binary, counts binary").collect()
-    table = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    width = (1 << own_bits) // 8
-    for r in rows:
-        table[r["range"] * width : (r["range"] + 1) * width] = np.frombuffer(r["filled"], np.uint8)
-    cells = np.concatenate([np.frombuffer(r["cells"], np.uint64) for r in rows] or [np.zeros(0, np.uint64)])
-    counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in rows] or [np.zeros(0, np.int64)])
-    top = np.lexsort((cells, -counts))[:FREQUENT]
-    # The most frequent comes last.
-    places = np.arange(len(top), 0, -1).astype(np.uint64)
-    order = np.argsort(cells[top])
-    return Order(cells[top][order], places[order], shift), table
-
-
-def repeated(keys: np.ndarray, filled: np.ndarray) -> np.ndarray:
-    """Which order keys may occur in more than one set. Frequent ones, beyond 2**63, do."""
-    rare = keys < np.uint64(1 << 63)
-    cell = np.where(rare, keys >> np.uint64(63 - FILTER_BITS), np.uint64(0)).astype(np.int64)
-    return ~rare | ((filled[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1).astype(bool)
-
-
-def survivors(docs: DataFrame, order, table) -> DataFrame:
-    """doc_id, n and the ordered set (big-endian keys) of documents that can link at all. ``order`` and ``table`` are broadcast variables."""
 
-    def run(batches):
-        keys_of, filled = order.value, table.value
-        for batch in batches:
-            for part in chunks(batch, most=CHUNK):
-                rows = []
-                for doc, s in zip(part.column("doc_id").to_pylist(), sets_of(part), strict=True):
-                    if len(s):
-                        keys = keys_of.keys(s)
-                        if int(repeated(keys, filled).sum()) * PART >= SIMILAR * len(s):
-                            rows.append((doc, len(s), keys.astype(">u8").tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "n", "keys"])
+PACKED = ("key", "steps", "who", "vertices", "sizes")
+PACKED_SCHEMA = "key int, steps binary, who binary, vertices binary, sizes binary"
+PACKED_TYPES = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
 
-    return docs.mapInArrow(run, "doc_id long, n int, keys binary")
 
+def packed_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(PACKED_TYPES)], names=PACKED)
 
-def prefixes(sets: DataFrame, table) -> DataFrame:
-    """token, doc_id, n, place: what the prefixes hold, without shingles that occur once."""
 
-    def run(batches):
-        filled = table.value
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                tokens, ids, sizes, places = [], [], [], []
-                for doc, n, data in zip(*(part.column(c).to_pylist() for c in ("doc_id", "n", "keys")), strict=True):
-                    keys = np.frombuffer(data, ">u8")[: prefix_length(n)].astype(np.uint64)
-                    at = np.flatnonzero(repeated(keys, filled))
-                    tokens.append(keys[at].view(np.int64))
-                    places.append(at)
-                    ids.append(np.full(len(at), doc))
-                    sizes.append(np.full(len(at), n))
-                if tokens:
-                    cat = np.concatenate
-                    yield pa.RecordBatch.from_arrays([pa.array(cat(tokens), pa.int64()), pa.array(cat(ids), pa.int64()), pa.array(cat(sizes), pa.int32()), pa.array(cat(places), pa.int32())], names=["token", "doc_id", "n", "place"])
-
-    return sets.mapInArrow(run, "token long, doc_id long, n int, place int")
-
-
-def partitions_for(rows: int, docs: DataFrame) -> int:
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // COUNT_ROWS)
-
-
-def gathered(batches) -> tuple[np.ndarray, ...] | None:
-    """All rows of a partition as columns, sorted by token, size and doc_id; partitions hold about COUNT_ROWS rows."""
-    rows = [b for b in batches if b.num_rows]
-    if not rows:
-        return None
-    table = pa.Table.from_batches(rows)
-    columns = [table.column(i).to_numpy() for i in range(table.num_columns)]
-    order = np.lexsort((columns[1], columns[2], columns[0]))
-    return tuple(c[order] for c in columns)
-
-
-def groups(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-    return first, np.append(first[1:], len(tokens))
+def ordered_sets(docs: DataFrame, total: int, common: np.ndarray) -> DataFrame:
+    """vertex, n, keys: the sets that can link at all, with their shared shingles in the global order.
 
+    ``common``: the most common shingles, sorted by how common they are. The others are sent by range to be
+    counted, each set once for a piece of the table, and those in more than one set go on to their sets. A key is the
+    count (15 bits) and the shingle (48 bits); common shingles come last. Keys are big-endian, so they sort
+    as bytes do. Shingles of one set only take no part: they precede all others and match none.
+    """
+    ranges = max(1, -(-total // COUNT_ROWS))
+    bits = max(0, (ranges - 1).bit_length())
+    ranges = 1 << bits
+    own_bits = np.uint64(ID_BITS - bits)
+    sorted_common = np.argsort(common)
+    place_of = np.arange(len(common), dtype=np.uint64)[sorted_common]
+    tokens_of = common[sorted_common]
 
-def met(postings: DataFrame) -> DataFrame:
-    """Postings of tokens in more than one prefix, each with the smallest set of its token within reach as ``leader`` (itself for the first)."""
+    def send(batches):
+        held: list[tuple[np.ndarray, int]] = []
+        seen: set[int] = set()
+        size = 0
 
-    def run(batches):
-        if (columns := gathered(batches)) is None:
-            return
-        token, doc, n, place = columns
-        a, b = groups(token)
-        keep = np.repeat(b - a > 1, b - a)
-        leader = doc.copy()
-        pairs = np.flatnonzero(b - a == 2)
-        near = PART * n[a[pairs]].astype(np.int64) >= SIMILAR * n[a[pairs] + 1].astype(np.int64)
-        leader[a[pairs][near] + 1] = doc[a[pairs][near]]
-        for g in np.flatnonzero(b - a > 2).tolist():
-            i, end = int(a[g]), int(b[g])
-            while i < end:
-                k = i + int(np.searchsorted(n[i:end], PART * int(n[i]) // SIMILAR, side="right"))
-                leader[i:k] = doc[i]
-                i = k
-        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (token, doc, n, place, leader)], names=["token", "doc_id", "n", "place", "leader"])
-
-    return postings.mapInArrow(run, "token long, doc_id long, n int, place int, leader long")
-
-
-def crossing(postings: DataFrame) -> DataFrame:
-    """a, b: pairs that met on a token, are in different classes (``class``) and can reach the overlap by their sizes and places."""
+        def flush():
+            tokens = np.concatenate([s for s, _ in held])
+            who = np.repeat(np.arange(len(held)), [len(s) for s, _ in held])
+            vertex, n = np.array([v for _, v in held], np.uint64), np.array([len(s) for s, _ in held], np.uint32)
+            if len(tokens_of):
+                at = np.minimum(np.searchsorted(tokens_of, tokens), len(tokens_of) - 1)
+                hot = tokens_of[at] == tokens
+                # Common shingles need no counting: they go to their sets' bucket, numbered from -1 down.
+                key, own = place_of[at[hot]], who[hot]
+                bucket = (mixed(vertex)[own] & np.uint64(ranges - 1)).astype(np.int64)
+                order = np.lexsort((own, key, bucket))
+                key, own, bucket = key[order], own[order], bucket[order]
+                first = first_of_runs(bucket)
+                yield packed_batch([pack(-1 - int(bucket[a]), key[a:b], own[a:b], vertex, n) for a, b in zip(first, np.append(first[1:], len(bucket)), strict=True)])
+                tokens, who = tokens[~hot], who[~hot]
+            tokens = tokens >> np.uint64(63 - ID_BITS)
+            order = np.argsort(tokens)
+            tokens, who = tokens[order], who[order]
+            edges = np.searchsorted(tokens, np.arange(ranges + 1, dtype=np.uint64) << own_bits)
+            yield packed_batch([pack(r, tokens[a:b], who[a:b], vertex, n) for r, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a])
 
-    def run(batches):
-        if (columns := gathered(batches)) is None:
-            return
-        token, doc, n, place, label = columns
-        first, last = groups(token)
-        apart = np.flatnonzero(np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first))
-        left, right, held = [], [], 0
-        for g in apart.tolist():
-            a, b = int(first[g]), int(last[g])
-            size, rest = n[a:b].astype(np.int64), (n[a:b] - place[a:b]).astype(np.int64)
-            reach = np.searchsorted(size, PART * size // SIMILAR, side="right")
-            for i in range(b - a - 1):
-                j = slice(i + 1, int(reach[i]))
-                need = -(-SIMILAR * (size[i] + size[j]) // (PART + SIMILAR))
-                ok = np.flatnonzero((label[a + i] != label[a:b][j]) & (np.minimum(rest[i], rest[j]) >= need))
-                if len(ok):
-                    left.append(np.full(len(ok), doc[a + i]))
-                    right.append(doc[a:b][j][ok])
-                    held += len(ok)
-            if held > 2_000_000:
-                left, right = ([x] for x in distinct_pairs(left, right))
-                held = len(left[0])
-                if held > 1_000_000:
-                    yield pair_rows(left[0], right[0])
-                    left, right, held = [], [], 0
+        for batch in batches:
+            for part in chunks(batch, most=CHUNK):
+                for s in sets_of(part):
+                    if len(s) and (own := signature(s)) not in seen:
+                        seen.add(own)
+                        held.append((s, own))
+                        size += len(s)
+                if size > COUNT_ROWS:
+                    yield from flush()
+                    held, size, seen = [], 0, set()
         if held:
-            yield pair_rows(*distinct_pairs(left, right))
+            yield from flush()
 
-    return postings.mapInArrow(run, "a long, b long")
-
-
-def sampled(postings: DataFrame, partners: int, seed: int) -> DataFrame:
-    """a, b: for each set up to ``partners`` random partners that it met in another class, within reach of its size."""
+    def count(key, group):
+        token, vertex, n = unpack(group)
+        if (r := key[0].as_py()) < 0:
+            bucket = np.full(len(token), -1 - r)
+            ordered = (np.uint64(MOST_LEVEL + 1) << np.uint64(ID_BITS)) | token
+        else:
+            order = np.lexsort((vertex, token))
+            token, vertex, n = token[order], vertex[order], n[order]
+            other = np.concatenate([[True], (token[1:] != token[:-1]) | (vertex[1:] != vertex[:-1])])
+            token, vertex, n = token[other], vertex[other], n[other]
+            first = first_of_runs(token)
+            counts = np.repeat(np.diff(np.append(first, len(token))), np.diff(np.append(first, len(token))))
+            token, vertex, n, counts = (x[counts > 1] for x in (token, vertex, n, counts))
+            ordered = (np.minimum(counts, MOST_LEVEL).astype(np.uint64) << np.uint64(ID_BITS)) | token
+            bucket = (mixed(vertex) & np.uint64(ranges - 1)).astype(np.int64)
+        order = np.lexsort((ordered, bucket))
+        ordered, vertex, n, bucket = ordered[order], vertex[order], n[order], bucket[order]
+        names, first_at, who = np.unique(vertex, return_index=True, return_inverse=True)
+        first = first_of_runs(bucket)
+        rows = [pack(int(bucket[a]), ordered[a:b], who[a:b], names, n[first_at]) for a, b in zip(first, np.append(first[1:], len(bucket)), strict=True)] if len(first) else []
+        return pa.Table.from_batches([packed_batch(rows)])
+
+    def gather(key, group):
+        ordered, vertex, n = unpack(group)
+        order = np.lexsort((ordered, vertex))
+        ordered, vertex, n = ordered[order], vertex[order], n[order]
+        other = np.concatenate([[True], (ordered[1:] != ordered[:-1]) | (vertex[1:] != vertex[:-1])])
+        ordered, vertex, n = ordered[other], vertex[other], n[other]
+        first = first_of_runs(vertex)
+        last = np.append(first[1:], len(vertex))
+        able = (last - first) * PART >= SIMILAR * n[first].astype(np.int64)
+        data = ordered.astype(">u8")
+        keys = [data[a:b].tobytes() for a, b in zip(first[able], last[able], strict=True)]
+        return pa.table({"vertex": pa.array(vertex[first[able]].astype(np.int64)), "n": pa.array(n[first[able]].astype(np.int32)), "keys": pa.array(keys, pa.binary())})
+
+    places = docs.mapInArrow(send, PACKED_SCHEMA).groupBy("key").applyInArrow(count, PACKED_SCHEMA)
+    return places.groupBy("key").applyInArrow(gather, "vertex long, n int, keys binary")
+
+
+def postings(sets: DataFrame) -> DataFrame:
+    """token, vertex, n, place: the shared shingles in the prefix of each set, with their place among its shared ones."""
 
     def run(batches):
-        if (columns := gathered(batches)) is None:
-            return
-        token, doc, n, place, label = columns
-        first, last = groups(token)
-        apart = np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first)
-        keep = np.flatnonzero(np.repeat(apart, last - first))
-        if not len(keep):
-            return
-        start, end = np.repeat(first, last - first)[keep], np.repeat(last, last - first)[keep]
-        # Seeded by the rows, so that a task that runs again draws the same.
-        r = np.random.default_rng([seed, len(token), int(abs(int(token[0])) & 0x7FFFFFFF)])
-        left, right = [], []
-        for _ in range(partners):
-            other = start + (r.random(len(keep)) * (end - start)).astype(np.int64)
-            small, large = np.minimum(n[keep], n[other]).astype(np.int64), np.maximum(n[keep], n[other]).astype(np.int64)
-            ok = (label[keep] != label[other]) & (PART * small >= SIMILAR * large)
-            left.append(doc[keep][ok])
-            right.append(doc[other][ok])
-        a, b = distinct_pairs(left, right)
-        # A few of each set's pairs are enough for one round.
-        order = r.permutation(len(a))
-        a, b = a[order], b[order]
-        sort = np.argsort(a, kind="stable")
-        begins, ends = groups(a[sort]) if len(a) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        place_in = np.arange(len(a)) - np.repeat(begins, ends - begins)
-        chosen = sort[place_in < partners]
-        yield pair_rows(a[chosen], b[chosen])
-
-    pairs = postings.mapInArrow(run, "a long, b long").distinct()
-    draw = F.row_number().over(W.partitionBy("a").orderBy(F.xxhash64("a", "b", F.lit(seed))))
-    return pairs.withColumn("draw", draw).filter(F.col("draw") <= partners).select("a", "b")
-
-
-def distinct_pairs(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    x, y = np.concatenate(left), np.concatenate(right)
-    both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
-
-
-def pair_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-class Walk:
-    """One set's walk through the tree of its partners, which arrive in depth-first order."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys
-        self.path = keys[:0]
-        self.overlaps = np.zeros(0, np.int64)
-
-    def linked(self, other: np.ndarray) -> bool:
-        own, n, m = self.keys, len(self.keys), len(other)
-        need = needed(n, m)
-        known = min(len(self.overlaps), m)
-        differs = np.flatnonzero(self.path[:known] != other[:known])
-        depth = int(differs[0]) if len(differs) else known
-        parts = [self.overlaps[:depth]]
-        overlap = int(self.overlaps[depth - 1]) if depth else 0
-        while depth < m:
-            passed = int(np.searchsorted(own, other[depth - 1], side="right")) if depth else 0
-            if overlap + min(m - depth, n - passed) < need:
-                break
-            block = other[depth : depth + BLOCK]
-            at = np.minimum(np.searchsorted(own, block), n - 1)
-            sums = overlap + np.cumsum(own[at] == block)
-            parts.append(sums)
-            overlap, depth = int(sums[-1]), depth + len(block)
-        self.path, self.overlaps = other, np.concatenate(parts)
-        return overlap >= need
-
-
-def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b: the pairs that reach the threshold. ``sets``: doc_id and keys; partners meet by the pair's first set."""
-    crowded = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > MOST_PARTNERS).select("a", F.lit(1).alias("crowded"))
-    salted = stored(pairs.join(crowded, "a", "left").select("a", "b", F.when(F.col("crowded").isNotNull(), F.pmod(F.xxhash64("b"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt")), "pairs")
-    heads = salted.select("a", "salt").distinct().select(F.col("a").alias("doc_id"), "a", "salt", F.lit(0).alias("role"))
-    want = heads.unionByName(salted.select(F.col("b").alias("doc_id"), "a", "salt", F.lit(1).alias("role")))
-    met_sets = sets.join(want, "doc_id").select("a", "salt", "role", "doc_id", "keys")
-
-    def walk(batches):
-        now, steps = None, None
         for batch in batches:
-            left, right = [], []
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                for a, salt, role, doc, keys in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True):
-                    own = np.frombuffer(keys, ">u8").astype(np.uint64)
-                    if not role:
-                        now, steps = (a, salt), Walk(own)
-                    elif now == (a, salt) and steps.linked(own):
-                        left.append(a)
-                        right.append(doc)
-            yield pair_rows(np.array(left, np.int64), np.array(right, np.int64))
-
-    parts = partitions_for(0, sets)
-    return met_sets.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "role", "keys", "doc_id").mapInArrow(walk, "a long, b long")
+                tokens, sizes, lengths = [], [], []
+                for n, data in zip(part.column("n").to_pylist(), part.column("keys").to_pylist(), strict=True):
+                    keys = np.frombuffer(data, ">u8")
+                    # The n - len(keys) shingles that are not shared come first.
+                    keys = keys[: max(0, prefix_length(n) - (n - len(keys)))]
+                    tokens.append(keys.astype(np.int64))
+                    sizes.append(n)
+                    lengths.append(len(keys))
+                if tokens:
+                    each = lambda x, t: pa.array(np.repeat(np.array(x), lengths), t)  # noqa: E731, B023
+                    place = np.concatenate([np.arange(k) for k in lengths])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens), pa.int64()), each(part.column("vertex").to_pylist(), pa.int64()), each(sizes, pa.int32()), pa.array(place, pa.int32())], names=["token", "vertex", "n", "place"])
+
+    return sets.mapInArrow(run, "token long, vertex long, n int, place int")
+
+
+class Trie:
+    """Ordered sets in lexicographic order, which is the depth-first order of their trie; ``common[j]`` is the depth of the branch between j - 1 and j."""
+
+    def __init__(self, keys: list[bytes], sizes: list[int]):
+        self.order = sorted(range(len(keys)), key=keys.__getitem__)
+        self.keys = [np.frombuffer(keys[i], ">u8").astype(np.uint64) for i in self.order]
+        self.sizes = np.array([sizes[i] for i in self.order], np.int64)
+        self.rest = np.array([len(k) for k in self.keys], np.int64)
+        self.common = np.zeros(len(keys), np.int64)
+        for j in range(1, len(keys)):
+            a, b = self.keys[j - 1], self.keys[j]
+            m = min(len(a), len(b))
+            differs = np.flatnonzero(a[:m] != b[:m])
+            self.common[j] = differs[0] if len(differs) else m
+
+    def walk(self, own: np.ndarray, n: int, among: np.ndarray) -> Iterator[int]:
+        """Those of ``among`` (places in the trie, ascending) that are linked with the set ``own`` of n shingles."""
+        overlaps = np.zeros(0, np.int64)  # along the path of the sequence walked last
+        before = -1
+        for j in among.tolist():
+            shared = int(self.common[before + 1 : j + 1].min()) if before >= 0 else 0
+            overlaps = overlaps[:shared]
+            before, depth = j, len(overlaps)
+            other, m = self.keys[j], int(self.rest[j])
+            need = needed(n, int(self.sizes[j]))
+            overlap = int(overlaps[-1]) if depth else 0
+            parts = [overlaps]
+            while depth < m:
+                passed = int(np.searchsorted(own, other[depth - 1], side="right")) if depth else 0
+                if overlap + min(m - depth, len(own) - passed) < need:
+                    break
+                block = other[depth : depth + STEP]
+                at = np.minimum(np.searchsorted(own, block), len(own) - 1)
+                sums = overlap + np.cumsum(own[at] == block)
+                parts.append(sums)
+                overlap, depth = int(sums[-1]), depth + len(block)
+            overlaps = np.concatenate(parts)
+            if overlap >= need:
+                yield j
+
+
+def links_of(table: pa.Table, leader: int | None = None) -> pa.Table:
+    """a, b: links between sets of one group that connect classes, at most one for each set.
+
+    ``table``: vertex, n, keys, class and side. Sets of one class are not compared, nor are sets of one side above 0.
+    With a ``leader`` only that set walks the trie.
+    """
+    vertex = table.column("vertex").to_numpy()
+    trie = Trie(table.column("keys").to_pylist(), table.column("n").to_pylist())
+    vertex, label, side = (x[trie.order] for x in (vertex, table.column("class").to_numpy(), table.column("side").to_numpy()))
+    label = label.copy()
+    a, b = [], []
+    probes = range(len(vertex)) if leader is None else np.flatnonzero(vertex == leader).tolist()
+    for i in probes:
+        n, rest = int(trie.sizes[i]), int(trie.rest[i])
+        near = (PART * np.minimum(trie.sizes, n) >= SIMILAR * np.maximum(trie.sizes, n)) & (label != label[i]) & ((side == 0) | (side != side[i]))
+        near &= np.minimum(trie.rest, rest) >= -(-SIMILAR * (trie.sizes + n) // (PART + SIMILAR))
+        if leader is None:
+            near[: i + 1] = False
+        done: set[int] = set()
+        for j in trie.walk(trie.keys[i], n, np.flatnonzero(near)):
+            if (other := int(label[j])) not in done or leader is not None:
+                a.append(vertex[i])
+                b.append(vertex[j])
+                done.add(other)
+        for other in done:
+            label[label == other] = label[i]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+GROUP = ("vertex", "n", "keys", "class", "side")
+
+
+def led(met: DataFrame, sets: DataFrame, seed: int) -> DataFrame:
+    """a, b: the links of each set with the leader that it meets on most shingles.
+
+    A shingle has a leader for each range of sizes: the smallest set, or in later rounds a random one. Sets
+    follow a leader in another class. A leader with many followers walks their tries in several tasks.
+    """
+    size = F.floor(F.log("n") / float(np.log(PART / SIMILAR))).cast("int")
+    rank = F.col("n").cast("long") if not seed else F.xxhash64("vertex", F.lit(seed))
+    own = met.withColumn("size", size)
+    leaders = own.groupBy("token", "size").agg(F.min(F.struct(rank.alias("rank"), "vertex", "class")).alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("token", "size", F.col("first.vertex").alias("leader"), F.col("first.class").alias("over"))
+    follow = own.join(leaders, ["token", "size"]).filter(F.col("class") != F.col("over")).groupBy("vertex", "leader").agg(F.count(F.lit(1)).alias("m"))
+    pairs = stored(follow.groupBy("vertex").agg(F.max_by("leader", F.struct("m", F.xxhash64("leader", F.lit(seed)))).alias("leader")), "followers")
+    many = pairs.groupBy("leader").agg(F.expr(f"cast((count(1) - 1) div {BLOCK_SETS} + 1 as int)").alias("blocks"))
+    dealt = pairs.join(many, "leader").select("leader", "vertex", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int").alias("block"))
+    heads = many.select("leader", F.col("leader").alias("vertex"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    # For the walk followers are sets of classes of their own, whatever they follow.
+    group = dealt.unionByName(heads).join(sets, "vertex").select("leader", "block", "vertex", "n", "keys", F.col("vertex").alias("class"), F.lit(0).alias("side"))
+    return group.groupBy("leader", "block").applyInArrow(lambda key, table: links_of(table, key[0].as_py()), "a long, b long")
+
+
+def joined(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: links that connect all classes whose sets are linked and meet on a shingle.
+
+    Shingles with sets of one class only need nothing, and of shingles with the same members the first does.
+    A group of more than BLOCK_SETS sets is split: members of its largest class into blocks, the others into
+    blocks, and each block of the one meets each of the other, as do the blocks of the others among themselves.
+    """
+    by_class = met.groupBy("token", "class").agg(F.count(F.lit(1)).alias("c"), F.expr("bit_xor(xxhash64(vertex))").alias("x"), F.expr("bit_xor(xxhash64(vertex, 1))").alias("y"))
+    by_token = by_class.groupBy("token").agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("k"), F.max(F.struct("c", "class")).alias("most"), F.expr("bit_xor(x)").alias("x"), F.expr("bit_xor(y)").alias("y")).filter("k > 1")
+    first = by_token.groupBy("m", "x", "y").agg(F.min(F.struct("token", "most")).alias("first")).select("m", "first.token", F.col("first.most.c").alias("c"), F.col("first.most.class").alias("major"))
+    blocks = lambda e: F.expr(f"cast((({e}) - 1) div {BLOCK_SETS} + 1 as int)")
+    open_groups = stored(first.select("token", "m", "major", blocks("c").alias("b1"), blocks("m - c").alias("b2")), "open")
+    own = met.join(open_groups, "token")
+    deal = F.expr(
+        f"""case when m <= {BLOCK_SETS} then array(named_struct('i', 0, 'j', 0, 'side', 0))
+        when class = major then transform(sequence(0, b2 - 1), q -> named_struct('i', cast(pmod(xxhash64(vertex), b1) as int), 'j', q, 'side', 1))
+        else concat(
+            transform(sequence(0, b1 - 1), p -> named_struct('i', p, 'j', cast(pmod(xxhash64(vertex), b2) as int), 'side', 2)),
+            transform(sequence(0, b2 - 1), q -> named_struct('i', -1 - least(q, cast(pmod(xxhash64(vertex), b2) as int)), 'j', greatest(q, cast(pmod(xxhash64(vertex), b2) as int)), 'side', 0))) end"""
+    )
+    dealt = own.select("token", "vertex", "class", "place", F.explode(deal).alias("to")).select("token", "to.i", "to.j", "vertex", "class", "to.side", "place")
+    group = dealt.join(sets, "vertex").select("token", "i", "j", "vertex", "n", F.expr("substring(keys, place * 8 + 1)").alias("keys"), "class", "side")
+    return group.groupBy("token", "i", "j").applyInArrow(lambda _, table: links_of(table), "a long, b long")
 
 
 def classes(links: DataFrame) -> DataFrame:
-    """doc_id and class (the smallest doc_id it is connected with) of all documents in ``links`` (a, b).
+    """vertex and class (the smallest vertex it is connected with) of all vertices in ``links`` (a, b).
 
     Rounds of taking the smallest label among neighbours, then the label's own label. Each round
     aggregates before it shuffles, and is checkpointed.
     """
     both = checkpointed(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("b"), F.first("a")).alias("class")))
+    labels = checkpointed(both.groupBy(F.col("a").alias("vertex")).agg(F.least(F.min("b"), F.first("a")).alias("class")))
     while True:
-        near = both.join(labels.withColumnRenamed("doc_id", "b"), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("class").alias("near"))
-        lower = labels.join(near, "doc_id").select("doc_id", "class", F.least("class", "near").alias("next"))
-        jump = labels.select(F.col("doc_id").alias("next"), F.col("class").alias("far"))
-        moved = checkpointed(lower.join(jump, "next", "left").select("doc_id", F.least("next", "far").alias("next"), "class"))
-        changed = moved.filter("next < class").limit(1).count()
-        labels = moved.select("doc_id", F.col("next").alias("class"))
+        near = both.join(labels.withColumnRenamed("vertex", "b"), "b").groupBy(F.col("a").alias("vertex")).agg(F.min("class").alias("near"))
+        lower = labels.join(near, "vertex").select("vertex", "class", F.least("class", "near").alias("next"))
+        jump = labels.select(F.col("vertex").alias("next"), F.col("class").alias("far"))
+        moved = checkpointed(lower.join(jump, "next", "left").select("vertex", F.least("next", "far").alias("next"), "class"))
+        changed = not moved.filter("next < class").isEmpty()
+        labels = moved.select("vertex", F.col("next").alias("class"))
         if not changed:
             return labels
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document.
+    """doc_id, n_shingles, component_id of every row.
 
     Two documents are linked if 100 * intersection >= 80 * union of their 5-word shingle sets
     (ASCII letters lower-cased; words are runs of anything but ASCII white space). component_id is the
     smallest doc_id a document reaches by links, itself included. Null, empty and blank texts have empty
-    sets and stand alone. Equal sets are one vertex, so copies are never paired. Other columns are ignored.
+    sets and stand alone with their own doc_id. Equal sets are one vertex, so copies are never paired. Rows that
+    repeat a doc_id keep a row each and link by their own texts. A null doc_id is never the smallest: the component is null
+    only where all its ids are. An empty table gives no rows. Texts of any length are read whole; other columns are ignored.
     """
     own = documents(docs)
-    spark = docs.sparkSession
-    known = stored(signatures(own), "signatures")
-    vertices = stored(known.filter("n_shingles > 0").groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("vertex")), "vertices")
-    totals = vertices.agg(F.count(F.lit(1)).alias("rows"), F.sum("n_shingles").alias("shingles")).first()
-    ids = vertices.select(F.col("vertex").alias("doc_id"))
-    distinct = only(own, ids, totals["rows"])
-    order, table = counted(distinct, totals["shingles"] or 0)
-    order, table = spark.sparkContext.broadcast(order), spark.sparkContext.broadcast(table)
-    sets = stored(survivors(distinct, order, table), "sets")
-    shared = sets.agg(F.sum("n")).first()[0] or 0
-    parts = partitions_for(shared // 5, docs)
-    meetings = stored(met(prefixes(sets, table).repartition(parts, "token")), "meetings")
-
-    best = meetings.filter("leader != doc_id").groupBy("doc_id", "leader").agg(F.count(F.lit(1)).alias("m")).groupBy("doc_id").agg(F.max_by("leader", F.struct("m", -F.col("leader"))).alias("leader"))
-    links = stored(verified(sets, best.select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))), "links")
-    labels = classes(links)
-    for k, partners in enumerate([*PARTNERS, None]):
-        apart = meetings.join(labels, "doc_id", "left").select("token", "doc_id", "n", "place", F.coalesce("class", "doc_id").alias("class")).repartition(parts, "token")
-        pairs = stored((crossing(apart) if partners is None else sampled(apart, partners, k)).distinct(), "candidates")
-        if pairs.isEmpty():  # a draw may miss; the last round leaves nothing out
-            continue
-        found = stored(verified(sets, pairs), "links")
+    rows = stored(signatures(own), "signatures")
+    known = rows.filter("not common").drop("common")
+    totals = known.agg(F.count(F.lit(1)).alias("rows"), F.sum("n_shingles").alias("shingles")).first()
+    often = rows.filter("common").groupBy("vertex").agg(F.sum("n_shingles").alias("c")).filter(F.col("c") >= max(16, totals["rows"] // COMMON_PART))
+    common = [r["vertex"] for r in often.orderBy(F.desc("c"), "vertex").limit(MOST_COMMON).collect()][::-1]  # MOST_COMMON at most
+    sets = stored(ordered_sets(own, totals["shingles"] or 0, np.array(common, np.uint64)), "sets")
+    met = stored(postings(sets), "postings")
+
+    links, labels = None, None
+    for found_by in (lambda m: led(m, sets, 0), lambda m: led(m, sets, 1), lambda m: joined(m, sets)):
+        in_class = met.withColumn("class", F.col("vertex")) if labels is None else met.join(labels, "vertex", "left").withColumn("class", F.coalesce("class", "vertex"))
+        found = stored(found_by(in_class), "links")
         if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = classes(links)
-    joined = stored(labels, "classes")
-
-    named = stored(vertices.join(joined, vertices["vertex"] == joined["doc_id"], "left").select("one", "two", "n_shingles", F.coalesce("class", "vertex").alias("component")), "components")
-    return known.join(named, ["one", "two", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+            links = found if links is None else links.unionByName(found)
+            labels = stored(classes(links), "classes")
+    if labels is None:
+        labels = known.select("vertex", F.col("vertex").alias("class")).limit(0)
+
+    # One row for each vertex, whatever the copies; a set's smallest id, then its class's.
+    smallest = known.filter("n_shingles > 0").groupBy("vertex").agg(F.min("doc_id").alias("doc_id"))
+    in_class = smallest.join(labels, "vertex", "left").select("vertex", "doc_id", F.coalesce("class", "vertex").alias("class"))
+    least = in_class.groupBy("class").agg(F.min("doc_id").alias("component"))
+    named = in_class.join(least, "class").select("vertex", "component")
+    return known.join(named, "vertex", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
