@@ -5,14 +5,14 @@ set is put in one global order: rarest first. Two sets that reach the threshold
 first few of each (the prefix), and all but few of a set's shingles must occur in other sets, so a set
 where they don't is put aside before sets meet.
 
-Sets that share a prefix shingle meet in one group. Their ordered sets from that shingle on form a trie: in
+Sets that share a prefix shingle meet in one group. The ordered sets of a group form a trie: in
 lexicographic order, neighbours' common prefixes are its inner nodes. Each set walks the trie of its group
 depth-first. A sequence that follows another shares the overlap counted up to their branch, and is left as
 soon as the lengths that remain cannot reach the overlap needed. Pairs that are connected already are passed
 over and a found link unites at once, so a group of n sets gives at most n - 1 links.
 
 Before that, each set is compared with the one leader it meets most often, which merges most copies;
-shingles whose sets are all in one class by then need no trie, and groups with the same members need one.
+shingles whose sets are all in one class by then need no trie, and groups with the same smallest set share one.
 """
 
 from __future__ import annotations
@@ -292,13 +292,13 @@ def ordered_sets(docs: DataFrame, total: int, common: np.ndarray) -> DataFrame:
 
 
 def postings(sets: DataFrame) -> DataFrame:
-    """token, vertex, n, place: the shared shingles in the prefix of each set, with their place among its shared ones."""
+    """token, vertex, n, rest: the shared shingles in the prefix of each set, and how many of its shared ones follow, itself included."""
 
     def run(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                tokens, sizes, lengths = [], [], []
+                tokens, sizes, lengths, rest = [], [], [], []
                 for n, data in zip(part.column("n").to_pylist(), part.column("keys").to_pylist(), strict=True):
                     keys = np.frombuffer(data, ">u8")
                     # The n - len(keys) shingles that are not shared come first.
@@ -306,12 +306,12 @@ def postings(sets: DataFrame) -> DataFrame:
                     tokens.append(keys.astype(np.int64))
                     sizes.append(n)
                     lengths.append(len(keys))
+                    rest.append(len(data) // 8 - np.arange(len(keys)))
                 if tokens:
                     each = lambda x, t: pa.array(np.repeat(np.array(x), lengths), t)  # noqa: E731, B023
-                    place = np.concatenate([np.arange(k) for k in lengths])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens), pa.int64()), each(part.column("vertex").to_pylist(), pa.int64()), each(sizes, pa.int32()), pa.array(place, pa.int32())], names=["token", "vertex", "n", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens), pa.int64()), each(part.column("vertex").to_pylist(), pa.int64()), each(sizes, pa.int32()), pa.array(np.concatenate(rest), pa.int32())], names=["token", "vertex", "n", "rest"])
 
-    return sets.mapInArrow(run, "token long, vertex long, n int, place int")
+    return sets.mapInArrow(run, "token long, vertex long, n int, rest int")
 
 
 class Trie:
@@ -384,9 +384,6 @@ def links_of(table: pa.Table, leader: int | None = None) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-GROUP = ("vertex", "n", "keys", "class", "side")
-
-
 def led(met: DataFrame, sets: DataFrame, seed: int) -> DataFrame:
     """a, b: the links of each set with the leader that it meets on most shingles.
 
@@ -410,16 +407,21 @@ def led(met: DataFrame, sets: DataFrame, seed: int) -> DataFrame:
 def joined(met: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b: links that connect all classes whose sets are linked and meet on a shingle.
 
-    Shingles with sets of one class only need nothing, and of shingles with the same members the first does.
-    A group of more than BLOCK_SETS sets is split: members of its largest class into blocks, the others into
+    Shingles with sets of one class only need nothing. The others are bundled by their smallest vertex, and
+    a bundle's sets form one trie, so a set is sent once however many shingles it meets the same sets on.
+    A bundle of more than BLOCK_SETS sets is split: members of its largest class into blocks, the others into
     blocks, and each block of the one meets each of the other, as do the blocks of the others among themselves.
     """
-    by_class = met.groupBy("token", "class").agg(F.count(F.lit(1)).alias("c"), F.expr("bit_xor(xxhash64(vertex))").alias("x"), F.expr("bit_xor(xxhash64(vertex, 1))").alias("y"))
-    by_token = by_class.groupBy("token").agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("k"), F.max(F.struct("c", "class")).alias("most"), F.expr("bit_xor(x)").alias("x"), F.expr("bit_xor(y)").alias("y")).filter("k > 1")
-    first = by_token.groupBy("m", "x", "y").agg(F.min(F.struct("token", "most")).alias("first")).select("m", "first.token", F.col("first.most.c").alias("c"), F.col("first.most.class").alias("major"))
+    # A partner of a set has 0.8 times its size at least, and at this place a set reaches partners up to 2.25 * rest - n.
+    most = (F.col("rest") * (PART + SIMILAR) / SIMILAR - F.col("n")).cast("double")
+    least = met.groupBy("token").agg(F.min("n").alias("least"))
+    able = met.join(least, "token").filter(most >= F.col("least")).select("token", "vertex", "class")
+    by_class = able.groupBy("token", "class").agg(F.min("vertex").alias("v"))
+    open_tokens = by_class.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("v").alias("bundle")).filter("k > 1").select("token", "bundle")
+    members = stored(able.join(open_tokens, "token").select("bundle", "vertex", "class").distinct(), "bundles")
+    by_bundle = members.groupBy("bundle", "class").agg(F.count(F.lit(1)).alias("c")).groupBy("bundle").agg(F.sum("c").alias("m"), F.max(F.struct("c", "class")).alias("most"))
     blocks = lambda e: F.expr(f"cast((({e}) - 1) div {BLOCK_SETS} + 1 as int)")
-    open_groups = stored(first.select("token", "m", "major", blocks("c").alias("b1"), blocks("m - c").alias("b2")), "open")
-    own = met.join(open_groups, "token")
+    sizes = by_bundle.select("bundle", "m", F.col("most.class").alias("major"), blocks("most.c").alias("b1"), blocks("m - most.c").alias("b2"))
     deal = F.expr(
         f"""case when m <= {BLOCK_SETS} then array(named_struct('i', 0, 'j', 0, 'side', 0))
         when class = major then transform(sequence(0, b2 - 1), q -> named_struct('i', cast(pmod(xxhash64(vertex), b1) as int), 'j', q, 'side', 1))
@@ -427,9 +429,9 @@ def joined(met: DataFrame, sets: DataFrame) -> DataFrame:
             transform(sequence(0, b1 - 1), p -> named_struct('i', p, 'j', cast(pmod(xxhash64(vertex), b2) as int), 'side', 2)),
             transform(sequence(0, b2 - 1), q -> named_struct('i', -1 - least(q, cast(pmod(xxhash64(vertex), b2) as int)), 'j', greatest(q, cast(pmod(xxhash64(vertex), b2) as int)), 'side', 0))) end"""
     )
-    dealt = own.select("token", "vertex", "class", "place", F.explode(deal).alias("to")).select("token", "to.i", "to.j", "vertex", "class", "to.side", "place")
-    group = dealt.join(sets, "vertex").select("token", "i", "j", "vertex", "n", F.expr("substring(keys, place * 8 + 1)").alias("keys"), "class", "side")
-    return group.groupBy("token", "i", "j").applyInArrow(lambda _, table: links_of(table), "a long, b long")
+    dealt = members.join(sizes, "bundle").select("bundle", "vertex", "class", F.explode(deal).alias("to")).select("bundle", "to.i", "to.j", "vertex", "class", "to.side")
+    group = dealt.join(sets, "vertex").select("bundle", "i", "j", "vertex", "n", "keys", "class", "side")
+    return group.groupBy("bundle", "i", "j").applyInArrow(lambda _, table: links_of(table), "a long, b long")
 
 
 def classes(links: DataFrame) -> DataFrame:
