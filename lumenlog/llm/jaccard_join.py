@@ -32,14 +32,16 @@ WORDS = 5
 SIMILAR, PART = 80, 100
 #: Bits by which a shingle is known once sets are counted: a pair of sets of 1,000 shingles is misjudged with a chance below 1e-8.
 ID_BITS = 48
-#: Shingles that one task counts; more input makes more ranges.
-COUNT_ROWS = 2_000_000
+#: Shingles that one task counts, and half of which it sends at once; more input makes more ranges.
+COUNT_ROWS = 4_000_000
 #: A shingle is common if it stands in this part of all documents. Common ones, at most MOST_COMMON, are broadcast, so that no task counts their places.
 COMMON_PART, MOST_COMMON = 1024, 1 << 16
 #: Counts above this are one level of the order.
 MOST_LEVEL = (1 << 15) - 2
 #: Sets that one trie holds at most, beside as many that walk it; larger groups are split into blocks.
 BLOCK_SETS = 1024
+#: Rows of ids up to which they are broadcast to the sets; more are joined by shuffling.
+BROADCAST_ROWS = 500_000
 STEP = 64
 CHUNK = 2 << 20
 
@@ -171,20 +173,20 @@ def from_planes(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def pack(key: int, tokens: np.ndarray, who: np.ndarray, vertex: np.ndarray, n: np.ndarray) -> tuple:
+def pack(key: int, tokens: np.ndarray, who: np.ndarray, vertex: np.ndarray, n: np.ndarray | None = None) -> tuple:
     """A row of places of shingles, in the order of tokens; ``who`` points into vertex and n."""
     used, who = np.unique(who, return_inverse=True)
-    return key, planes(np.diff(tokens, prepend=np.uint64(0)), 8), planes(who, 4), vertex[used].astype("<u8").tobytes(), n[used].astype("<u4").tobytes()
+    return key, planes(np.diff(tokens, prepend=np.uint64(0)), 8), planes(who, 4), vertex[used].astype("<u8").tobytes(), b"" if n is None else n[used].astype("<u4").tobytes()
 
 
 def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens, vertices and sizes of all places in packed rows."""
+    """Tokens, vertices and sizes (0 if not given) of all places in packed rows."""
     tokens, vertices, sizes = [], [], []
     for steps, who, vertex, n in zip(*(table.column(c) for c in PACKED[1:]), strict=True):
         at = from_planes(who.as_py(), 4).astype(np.int64)
         tokens.append(np.cumsum(from_planes(steps.as_py(), 8), dtype=np.uint64))
         vertices.append(np.frombuffer(vertex.as_py(), "<u8")[at])
-        sizes.append(np.frombuffer(n.as_py(), "<u4")[at])
+        sizes.append(np.frombuffer(n.as_py(), "<u4")[at] if len(n.as_py()) else np.zeros(len(at), np.uint32))
     return np.concatenate(tokens), np.concatenate(vertices), np.concatenate(sizes)
 
 
@@ -222,22 +224,23 @@ def ordered_sets(docs: DataFrame, total: int, common: np.ndarray) -> DataFrame:
             tokens = np.concatenate([s for s, _ in held])
             who = np.repeat(np.arange(len(held)), [len(s) for s, _ in held])
             vertex, n = np.array([v for _, v in held], np.uint64), np.array([len(s) for s, _ in held], np.uint32)
+            # Common shingles need no counting: they go to their sets' bucket, numbered from -1 down, and so does an end mark for each set.
+            key, own = np.full(len(held), len(tokens_of), np.uint64), np.arange(len(held))
             if len(tokens_of):
                 at = np.minimum(np.searchsorted(tokens_of, tokens), len(tokens_of) - 1)
                 hot = tokens_of[at] == tokens
-                # Common shingles need no counting: they go to their sets' bucket, numbered from -1 down.
-                key, own = place_of[at[hot]], who[hot]
-                bucket = (mixed(vertex)[own] & np.uint64(ranges - 1)).astype(np.int64)
-                order = np.lexsort((own, key, bucket))
-                key, own, bucket = key[order], own[order], bucket[order]
-                first = first_of_runs(bucket)
-                yield packed_batch([pack(-1 - int(bucket[a]), key[a:b], own[a:b], vertex, n) for a, b in zip(first, np.append(first[1:], len(bucket)), strict=True)])
+                key, own = np.concatenate([key, place_of[at[hot]]]), np.concatenate([own, who[hot]])
                 tokens, who = tokens[~hot], who[~hot]
+            bucket = (mixed(vertex)[own] & np.uint64(ranges - 1)).astype(np.int64)
+            order = np.lexsort((own, key, bucket))
+            key, own, bucket = key[order], own[order], bucket[order]
+            first = first_of_runs(bucket)
+            yield packed_batch([pack(-1 - int(bucket[a]), key[a:b], own[a:b], vertex, n) for a, b in zip(first, np.append(first[1:], len(bucket)), strict=True)])
             tokens = tokens >> np.uint64(63 - ID_BITS)
             order = np.argsort(tokens)
             tokens, who = tokens[order], who[order]
             edges = np.searchsorted(tokens, np.arange(ranges + 1, dtype=np.uint64) << own_bits)
-            yield packed_batch([pack(r, tokens[a:b], who[a:b], vertex, n) for r, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a])
+            yield packed_batch([pack(r, tokens[a:b], who[a:b], vertex) for r, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a])
 
         for batch in batches:
             for part in chunks(batch, most=CHUNK):
@@ -246,7 +249,7 @@ def ordered_sets(docs: DataFrame, total: int, common: np.ndarray) -> DataFrame:
                         seen.add(own)
                         held.append((s, own))
                         size += len(s)
-                if size > COUNT_ROWS:
+                if size > COUNT_ROWS // 2:
                     yield from flush()
                     held, size, seen = [], 0, set()
         if held:
@@ -259,19 +262,20 @@ def ordered_sets(docs: DataFrame, total: int, common: np.ndarray) -> DataFrame:
             ordered = (np.uint64(MOST_LEVEL + 1) << np.uint64(ID_BITS)) | token
         else:
             order = np.lexsort((vertex, token))
-            token, vertex, n = token[order], vertex[order], n[order]
+            token, vertex = token[order], vertex[order]
             other = np.concatenate([[True], (token[1:] != token[:-1]) | (vertex[1:] != vertex[:-1])])
-            token, vertex, n = token[other], vertex[other], n[other]
+            token, vertex = token[other], vertex[other]
             first = first_of_runs(token)
             counts = np.repeat(np.diff(np.append(first, len(token))), np.diff(np.append(first, len(token))))
-            token, vertex, n, counts = (x[counts > 1] for x in (token, vertex, n, counts))
+            token, vertex, counts, n = token[counts > 1], vertex[counts > 1], counts[counts > 1], None
             ordered = (np.minimum(counts, MOST_LEVEL).astype(np.uint64) << np.uint64(ID_BITS)) | token
             bucket = (mixed(vertex) & np.uint64(ranges - 1)).astype(np.int64)
         order = np.lexsort((ordered, bucket))
-        ordered, vertex, n, bucket = ordered[order], vertex[order], n[order], bucket[order]
-        names, first_at, who = np.unique(vertex, return_index=True, return_inverse=True)
+        ordered, bucket = ordered[order], bucket[order]
+        names, first_at, who = np.unique(vertex[order], return_index=True, return_inverse=True)
+        n = None if n is None else n[order][first_at]
         first = first_of_runs(bucket)
-        rows = [pack(int(bucket[a]), ordered[a:b], who[a:b], names, n[first_at]) for a, b in zip(first, np.append(first[1:], len(bucket)), strict=True)] if len(first) else []
+        rows = [pack(int(bucket[a]), ordered[a:b], who[a:b], names, n) for a, b in zip(first, np.append(first[1:], len(bucket)), strict=True)] if len(first) else []
         return pa.Table.from_batches([packed_batch(rows)])
 
     def gather(key, group):
@@ -281,11 +285,12 @@ def ordered_sets(docs: DataFrame, total: int, common: np.ndarray) -> DataFrame:
         other = np.concatenate([[True], (ordered[1:] != ordered[:-1]) | (vertex[1:] != vertex[:-1])])
         ordered, vertex, n = ordered[other], vertex[other], n[other]
         first = first_of_runs(vertex)
-        last = np.append(first[1:], len(vertex))
-        able = (last - first) * PART >= SIMILAR * n[first].astype(np.int64)
+        last = np.append(first[1:], len(vertex)) - 1  # the end mark, which carries the size
+        n = n[last]
+        able = (last - first) * PART >= SIMILAR * n.astype(np.int64)
         data = ordered.astype(">u8")
         keys = [data[a:b].tobytes() for a, b in zip(first[able], last[able], strict=True)]
-        return pa.table({"vertex": pa.array(vertex[first[able]].astype(np.int64)), "n": pa.array(n[first[able]].astype(np.int32)), "keys": pa.array(keys, pa.binary())})
+        return pa.table({"vertex": pa.array(vertex[first[able]].astype(np.int64)), "n": pa.array(n[able].astype(np.int32)), "keys": pa.array(keys, pa.binary())})
 
     places = docs.mapInArrow(send, PACKED_SCHEMA).groupBy("key").applyInArrow(count, PACKED_SCHEMA)
     return places.groupBy("key").applyInArrow(gather, "vertex long, n int, keys binary")
@@ -384,6 +389,11 @@ def links_of(table: pa.Table, leader: int | None = None) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def of_sets(members: DataFrame, rows: int, sets: DataFrame) -> DataFrame:
+    """``members`` with their sets' sizes and keys; ``rows`` bounds how many there are."""
+    return sets.join(F.broadcast(members) if rows <= BROADCAST_ROWS else members, "vertex")
+
+
 def led(met: DataFrame, sets: DataFrame, seed: int) -> DataFrame:
     """a, b: the links of each set with the leader that it meets on most shingles.
 
@@ -398,9 +408,10 @@ def led(met: DataFrame, sets: DataFrame, seed: int) -> DataFrame:
     pairs = stored(follow.groupBy("vertex").agg(F.max_by("leader", F.struct("m", F.xxhash64("leader", F.lit(seed)))).alias("leader")), "followers")
     many = pairs.groupBy("leader").agg(F.expr(f"cast((count(1) - 1) div {BLOCK_SETS} + 1 as int)").alias("blocks"))
     dealt = pairs.join(many, "leader").select("leader", "vertex", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int").alias("block"))
+    rows = pairs.count()
     heads = many.select("leader", F.col("leader").alias("vertex"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     # For the walk followers are sets of classes of their own, whatever they follow.
-    group = dealt.unionByName(heads).join(sets, "vertex").select("leader", "block", "vertex", "n", "keys", F.col("vertex").alias("class"), F.lit(0).alias("side"))
+    group = of_sets(dealt.unionByName(heads), 2 * rows, sets).select("leader", "block", "vertex", "n", "keys", F.col("vertex").alias("class"), F.lit(0).alias("side"))
     return group.groupBy("leader", "block").applyInArrow(lambda key, table: links_of(table, key[0].as_py()), "a long, b long")
 
 
@@ -429,8 +440,8 @@ def joined(met: DataFrame, sets: DataFrame) -> DataFrame:
             transform(sequence(0, b1 - 1), p -> named_struct('i', p, 'j', cast(pmod(xxhash64(vertex), b2) as int), 'side', 2)),
             transform(sequence(0, b2 - 1), q -> named_struct('i', -1 - least(q, cast(pmod(xxhash64(vertex), b2) as int)), 'j', greatest(q, cast(pmod(xxhash64(vertex), b2) as int)), 'side', 0))) end"""
     )
-    dealt = members.join(sizes, "bundle").select("bundle", "vertex", "class", F.explode(deal).alias("to")).select("bundle", "to.i", "to.j", "vertex", "class", "to.side")
-    group = dealt.join(sets, "vertex").select("bundle", "i", "j", "vertex", "n", "keys", "class", "side")
+    dealt = stored(members.join(sizes, "bundle").select("bundle", "vertex", "class", F.explode(deal).alias("to")).select("bundle", "to.i", "to.j", "vertex", "class", "to.side"), "dealt")
+    group = of_sets(dealt, dealt.count(), sets).select("bundle", "i", "j", "vertex", "n", "keys", "class", "side")
     return group.groupBy("bundle", "i", "j").applyInArrow(lambda _, table: links_of(table), "a long, b long")
 
 
