@@ -1,23 +1,31 @@
 """Benchmark decontamination in DataFrame operations only.
 
-Windows of each item's size are taken from the documents wherever a shingle of the item occurs, lined
-up so that the shingle keeps its place in the item; a window without such a shingle has similarity 0.
-Each window gets a 64-bit SimHash of its weighted shingles. The fingerprint is cut into one block more
-than the radius, so two fingerprints within the radius agree on a block at least (pigeonhole): windows
-meet items on equal blocks, pairs beyond the radius go, and the exact weighted similarity of the
-shingles decides the rest.
+Windows with the words of an item slide over every document. A window that reaches the similarity holds a
+least number of shingles that occur in the benchmark, and moving a window right up to the next such
+shingle never lowers its similarity, so the windows looked at are those that begin with such a shingle and
+hold enough of them, and a document's last one. No window that could be the best of an item is left out.
+
+Each window gets a 63-bit SimHash of its shingles. The fingerprint is cut into blocks so that two
+fingerprints within the radius differ by one bit at most in one block (pigeonhole): items enter
+the index with each block's value and its one-bit neighbours, windows meet them on equal values, pairs beyond
+the radius go, and the exact weighted similarity of the shingles decides the rest.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import documents, stored
 
 WORDS = 5
 SIMILARITY = 0.8
-#: Expected distance at a similarity of 0.8 is 9.7 of 64 bits with a deviation of 2.9; the radius is 3.2 deviations above.
+BITS = 63
+#: At a similarity of 0.8 fingerprints of 63 bits differ by 9.6 on average with a deviation of 2.9; the radius is 3.2 deviations above.
 RADIUS = 19
+#: Bits added up at once: three counts of 21 bits in one number, for windows of up to 2 million shingles.
+LANES, LANE = 3, 21
 #: Rows up to which a side is broadcast; a larger one is joined by shuffling.
 BROADCAST_ROWS = 500_000
 
@@ -34,31 +42,59 @@ def shingles(w: Column, k: int) -> Column:
 
 
 def simhash(grams: Column) -> Column:
-    """64 bits, each the sign of the sum of that bit over the shingles; a shingle that occurs n times weighs n."""
-    bit = lambda h, b: F.shiftrightunsigned(h, b).bitwiseAND(F.lit(1).cast("long"))
+    """63 bits, each set if it is set in most of the shingles; a shingle that occurs n times weighs n."""
+    mask = F.lit(sum(1 << (LANE * i) for i in range(LANES))).cast("long")
+    bits = lambda j: lambda total, h: total + F.shiftrightunsigned(h, j).bitwiseAND(mask)
+    sums = [F.aggregate(grams, F.lit(0).cast("long"), bits(j)) for j in range(LANE)]
+    lane = F.lit((1 << LANE) - 1).cast("long")
+    found = F.lit(0).cast("long")
+    for j, s in enumerate(sums):
+        for i in range(LANES):
+            count = F.shiftright(s, LANE * i).bitwiseAND(lane)
+            found = found + F.when(count * 2 > F.size(grams), F.lit(1 << (LANE * i + j)).cast("long")).otherwise(F.lit(0).cast("long"))
+    return found
+
+
+def cuts(radius: int = RADIUS) -> list[tuple[int, int]]:
+    """(first bit, bits) of the blocks: half as many as the radius, so that one of them differs by one bit at most."""
+    n = (radius + 2) // 2
+    edges = [BITS * i // n for i in range(n + 1)]
+    return [(a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
-    def one(b: int) -> Column:
-        sums = F.aggregate(grams, F.lit(0).cast("long"), lambda a, h: a + bit(h, b) * 2 - 1)
-        return F.when(sums > 0, F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
 
-    out = one(0)
-    for b in range(1, 64):
-        out = out.bitwiseOR(one(b))
-    return out
+def cut(fingerprint: Column, first: int, bits: int) -> Column:
+    return F.shiftrightunsigned(fingerprint, first).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
 
 
 def blocks(fingerprint: Column, radius: int = RADIUS) -> Column:
-    """(block, value) for each of radius + 1 blocks."""
-    n = radius + 1
-    edges = [64 * i // n for i in range(n + 1)]
-    cut = lambda a, b: F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long"))
-    return F.array(*[F.struct(F.lit(i).alias("block"), cut(edges[i], edges[i + 1]).alias("value")) for i in range(n)])
+    """(block, value) for each block."""
+    return F.array(*[F.struct(F.lit(i).alias("block"), cut(fingerprint, a, n).alias("value")) for i, (a, n) in enumerate(cuts(radius))])
+
+
+def neighbours(fingerprint: Column, radius: int = RADIUS) -> Column:
+    """(block, value) for each block, and for each value that differs by one bit."""
+    near = [(i, a, n, flip) for i, (a, n) in enumerate(cuts(radius)) for flip in [0, *(1 << b for b in range(n))]]
+    return F.array(*[F.struct(F.lit(i).alias("block"), cut(fingerprint, a, n).bitwiseXOR(F.lit(flip).cast("long")).alias("value")) for i, a, n, flip in near])
+
+
+def first_block(differing: Column, radius: int = RADIUS) -> Column:
+    """The first block with one differing bit at most; a pair meets once, there."""
+    found = F.lit(None).cast("int")
+    for i, (a, n) in reversed(list(enumerate(cuts(radius)))):
+        found = F.when(F.bit_count(cut(differing, a, n)) <= 1, F.lit(i)).otherwise(found)
+    return found
+
+
+def numbered(grams: Column) -> Column:
+    """The shingles, those that occur again told apart by their number, as a set."""
+    ordered = F.array_sort(grams)
+    apart = F.transform(ordered, lambda g, i: F.xxhash64(g, i + 1 - F.call_function("array_position", ordered, g)))
+    return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.transform(grams, lambda g: F.xxhash64(g, F.lit(0).cast("long")))).otherwise(apart)
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """Weighted Jaccard: shared occurrences over all occurrences."""
-    times = lambda grams, s: F.size(F.filter(grams, lambda x: x == s))
-    shared = F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, s: acc + F.least(times(a, s), times(b, s)))
+    """Weighted Jaccard of two numbered lists of shingles: shared occurrences over all occurrences."""
+    shared = F.size(F.array_intersect(a, b))
     return shared / F.greatest(F.size(a) + F.size(b) - shared, F.lit(1))
 
 
@@ -66,60 +102,83 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """doc_id, item_id, start_word, n_words, distance and similarity of the best window of each item in each document.
-
-    Only pairs that reach the similarity are returned. Items and documents without words (null, empty,
-    signs only) and rows without an id are passed over; repeated rows count once; items of fewer than five
-    words are compared by their whole sequence. Other columns are ignored.
-    """
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """item_id, variant (the shingles' hash), n_words, k, numbered shingles and fingerprint; shorter items are one shingle of all their words."""
     item = benchmark.select(F.col("item_id").alias("item_id"), words(F.col("text")).alias("w")).filter("item_id is not null and size(w) > 0")
-    item = item.withColumn("k", F.least(F.size("w"), F.lit(WORDS))).dropDuplicates(["item_id", "w"])
-    sizes = [r["k"] for r in item.select("k").distinct().collect()]  # 1 to WORDS
-    by_size = [item.filter(F.col("k") == k).select("item_id", "k", F.size("w").alias("n_words"), shingles(F.col("w"), k).alias("own")) for k in sizes]
-    if not by_size:
-        by_size = [item.select("item_id", "k", F.size("w").alias("n_words"), F.array().cast("array<bigint>").alias("own"))]
-    items = by_size[0]
-    for more in by_size[1:]:
-        items = items.unionByName(more)
-    items = stored(items.withColumn("print", simhash(F.col("own"))).withColumn("variant", F.xxhash64("own")), "items")
-    n_items = items.count()
+    item = item.withColumn("k", F.least(F.size("w"), F.lit(WORDS)))
+    grams = reduce(lambda rest, k: F.when(F.col("k") == k, shingles(F.col("w"), k)).otherwise(rest), range(WORDS - 1, 0, -1), shingles(F.col("w"), WORDS))
+    own = item.select("item_id", "k", F.size("w").alias("n_words"), grams.alias("grams")).withColumn("variant", F.xxhash64("grams", "n_words"))
+    return own.dropDuplicates(["item_id", "variant"]).withColumn("print", simhash(F.col("grams"))).withColumn("own", numbered(F.col("grams")))
+
 
-    text = documents(docs).filter("doc_id is not null").select("doc_id", words(F.col("text")).alias("w"))
-    anchors = items.select("item_id", "variant", "n_words", "k", F.posexplode("own").alias("place", "gram"))
-    anchor_rows = n_items and anchors.count()
-    found = None
-    for k in sizes or [WORDS]:
-        grams = text.select("doc_id", F.size("w").alias("size"), F.posexplode(shingles(F.col("w"), k)).alias("at", "gram"))
-        hits = grams.join(small(anchors.filter(F.col("k") == k), anchor_rows), "gram")
-        own = hits.select("doc_id", "item_id", "variant", F.greatest(F.lit(0), F.least(F.col("at") - F.col("place"), F.col("size") - F.col("n_words"))).alias("start")).distinct()
-        found = own if found is None else found.unionByName(own)
-    starts = stored(found, "windows")
-
-    ids = starts.select("doc_id").distinct()
+def found_leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """doc_id, text_hash, item_id, start_word, n_words, distance and similarity of the best window of each item in each text."""
+    items = stored(benchmark_items(benchmark), "items")
+    n_items = items.count()
+    marks = items.select("k", "n_words", F.explode("grams").alias("gram")).distinct()
+    marks = stored(marks, "marks")
+    n_marks = marks.count()
+    sizes = [r["k"] for r in items.select("k").distinct().collect()] or [WORDS]  # 1 to WORDS
+
+    text = documents(docs).select("doc_id", F.xxhash64("text", F.length("text")).alias("text_hash"), words(F.col("text")).alias("w"))
+    key = ["doc_id", "text_hash"]
+    hits = []
+    for k in sizes:
+        grams = text.select(*key, F.size("w").alias("size"), F.posexplode(shingles(F.col("w"), k)).alias("at", "gram"))
+        hits.append(grams.join(small(marks.filter(F.col("k") == k), n_marks), "gram").select(*key, "size", "k", "n_words", "at"))
+    places = reduce(DataFrame.unionByName, hits).groupBy(*key, "size", "k", "n_words").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    # Shingles in an item and in a window, the shared ones that the similarity takes, and where the last window begins.
+    own, window = F.expr("n_words - k + 1"), F.expr("least(n_words, size) - k + 1")
+    need = F.greatest(F.ceil(F.lit(similar / (1 + similar)) * (own + window) - F.lit(1e-6)).cast("int"), F.lit(1))
+    held = places.select("*", window.alias("m"), need.alias("need"), F.expr("greatest(0, size - n_words)").alias("last")).filter("size(at) >= need")
+    starts = F.expr("transform(filter(sequence(0, size(at) - need), i -> at[i] <= last and at[i + need - 1] - at[i] < m), i -> at[i])")
+    end = F.when(F.expr("at[size(at) - need] >= last"), F.array("last")).otherwise(F.array().cast("array<int>"))
+    starts = F.array_distinct(F.concat(starts, end))
+    wanted = stored(held.select(*key, "k", "n_words", "m", F.explode(starts).alias("start")), "windows")
+
+    ids = wanted.select(*key).distinct()
     n_ids = ids.count()
-    again = text.join(small(ids, n_ids), "doc_id", "left_semi")
-    at = starts.join(small(items, n_items), ["item_id", "variant"])
-    parts = []
-    for k in sizes or [WORDS]:
-        # The words of a document with hits meet its windows by doc_id; only the window's words go on.
-        window = again.join(at.filter(F.col("k") == k), "doc_id").select("doc_id", "item_id", "variant", "start", "n_words", "own", F.slice("w", F.col("start") + 1, F.col("n_words")).alias("w"))
-        parts.append(window.select("doc_id", "item_id", "variant", "start", "n_words", "own", shingles(F.col("w"), k).alias("grams")))
-    windows = parts[0]
-    for more in parts[1:]:
-        windows = windows.unionByName(more)
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
+    again = text.join(small(ids, n_ids), same(text, ids), "left_semi").dropDuplicates(key)
+    per_doc = wanted.groupBy(*key).agg(F.collect_list(F.struct("k", "n_words", "m", "start")).alias("at"))
+    grams = again.select("*", *[shingles(F.col("w"), k).alias(f"g{k}") for k in sizes])
+    met = grams.join(per_doc, same(grams, per_doc)).select(grams["doc_id"], grams["text_hash"], *[f"g{k}" for k in sizes], F.explode("at").alias("at"))
+    of_size = reduce(lambda rest, k: F.when(F.col("at.k") == k, F.col(f"g{k}")).otherwise(rest), sizes[1:], F.col(f"g{sizes[0]}"))
+    windows = met.select(*key, "at.k", "at.n_words", "at.m", "at.start", F.slice(of_size, F.col("at.start") + 1, F.col("at.m")).alias("grams"))
     prints = windows.withColumn("print", simhash(F.col("grams")))
+
     left = prints.select("*", F.explode(blocks(F.col("print"), radius)).alias("cut")).select("*", "cut.block", "cut.value").drop("cut")
-    right = items.select("item_id", "variant", F.col("print").alias("item_print"), F.explode(blocks(F.col("print"), radius)).alias("cut")).select("item_id", "variant", "item_print", "cut.block", "cut.value")
-    near = left.join(small(right, n_items * (radius + 1)), ["item_id", "variant", "block", "value"])
-    near = near.withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))).filter(F.col("distance") <= radius)
-    pairs = near.groupBy("doc_id", "item_id", "variant", "start").agg(F.first("n_words").alias("n_words"), F.first("distance").alias("distance"), F.first("own").alias("own"), F.first("grams").alias("grams"))
-    judged = pairs.withColumn("similarity", similarity(F.col("own"), F.col("grams"))).filter(F.col("similarity") >= similar)
-    best = judged.groupBy("doc_id", "item_id").agg(F.max_by(F.struct(F.col("start").alias("start_word"), "n_words", "distance", "similarity"), F.struct("similarity", -F.col("start"))).alias("best"))
-    return best.select("doc_id", "item_id", "best.start_word", "best.n_words", "best.distance", "best.similarity")
+    index = items.select("item_id", "variant", "k", "n_words", F.col("print").alias("item_print"), F.explode(neighbours(F.col("print"), radius)).alias("cut"))
+    index = index.select("item_id", "variant", "k", "n_words", "item_print", "cut.block", "cut.value")
+    near = left.join(small(index, n_items * len(cuts(radius)) * 9), ["k", "n_words", "block", "value"])
+    differing = F.col("print").bitwiseXOR(F.col("item_print"))
+    near = near.withColumn("distance", F.bit_count(differing)).filter((F.col("distance") <= radius) & (first_block(differing, radius) == F.col("block")))
+    pairs = near.drop("block", "value", "print", "item_print").join(small(items.select("item_id", "variant", "own"), n_items), ["item_id", "variant"])
+    judged = pairs.withColumn("similarity", similarity(F.col("own"), numbered(F.col("grams")))).filter(F.col("similarity") >= similar)
+    best = F.max_by(F.struct(F.col("start").alias("start_word"), F.expr("m + k - 1").alias("n_words"), "distance", "similarity"), F.struct("similarity", -F.col("start")))
+    return judged.groupBy(*key, "item_id").agg(best.alias("best")).select(*key, "item_id", "best.*")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """doc_id, item_id, start_word, n_words, distance and similarity of the best window of each item in each document.
+
+    Only pairs that reach the similarity are returned; of equally similar windows the first that begins
+    with a shingle of the benchmark counts. A document shorter than an item is one window, and n_words is what
+    the window holds. Items and documents without words (null, empty, signs only) and items without
+    an id give nothing; a null doc_id is a document of its own; repeated rows count once, rows that
+    repeat a doc_id with other texts are searched each, and the best window of them all is returned. Items of
+    fewer than five words are compared by their whole sequence. Texts of any length are searched whole. An empty
+    table on either side gives no rows. Other columns are ignored.
+
+    A pair that reaches the similarity but whose fingerprints differ by more than the radius is lost. The
+    tests measure the share found.
+    """
+    best = F.max_by(F.struct("start_word", "n_words", "distance", "similarity"), F.struct("similarity", -F.col("start_word"), "text_hash"))
+    return found_leaks(docs, benchmark, similar, radius).groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; all columns stay."""
-    found = stored(leaks(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return docs.join(small(found, found.count()), F.col("doc_id").cast("long") == F.col("_leak"), "left_anti")
+    """``docs`` without the rows whose text holds a benchmark item; all columns stay, and so do null and empty texts."""
+    found = stored(found_leaks(docs, benchmark).select(F.col("text_hash").alias("_leak")).distinct(), "leaks")
+    text = F.col("text").cast("string")
+    return docs.join(small(found, found.count()), F.xxhash64(text, F.length(text)) == F.col("_leak"), "left_anti")
