@@ -28,10 +28,13 @@ STRONG = frozenset(w.encode() for words in LEXICON.values() for w in words.split
 YOU = frozenset(w.encode() for words in SECOND.values() for w in words.split())
 #: Signs that stand for letters.
 LEET = bytes.maketrans(b"013457@$!", b"oieastasi")
-MASKED = re.compile(rb"[a-z0-9@$!*.\-_]*[a-z][a-z0-9@$!*.\-_]*[0-9@$!*.\-_][a-z0-9@$!*.\-_]*[a-z]")
+SIGNS = b"0123456789@$!*.-_"
+RUN = re.compile(rb"[a-z0-9@$!*.\-_]+")
 SPACED = re.compile(rb"(?<![a-z])(?:[a-z][ .\-_]){3,}[a-z](?![a-z])")
 WORD = re.compile(rb"[a-z\x80-\xff']+")
 NEAR = 5
+#: Words among which strong ones make a burst.
+BURST = 40
 NAMES = ("words", "strong", "strong_density", "weak", "weak_density", "you", "you_density", "near", "masked", "spaced", "capitals", "loud", "marks", "strong_kinds", "burst", "learned", "learned_density", "learned_kinds")
 
 #: Bytes of the beginnings of words that may enter the learned lexicon, beside whole words.
@@ -81,7 +84,11 @@ def statistics(data: bytes, learned: frozenset[bytes] = frozenset()) -> list[flo
         near += j < len(you) and you[j] <= i + NEAR
     masked = spaced = 0
     if low.translate(None, b"013457@$!*") != low:
-        for m in MASKED.findall(low):
+        for m in RUN.findall(low):
+            # Up to its last letter a run is looked at once, however long it is.
+            m = m.rstrip(SIGNS)
+            if len(m.lstrip(SIGNS).translate(None, SIGNS)) == len(m.lstrip(SIGNS)):
+                continue
             bare = m.translate(LEET).translate(None, b".-_*")
             masked += (bare in STRONG or bare in WEAK) and m.translate(None, b".-_") != bare
     for m in SPACED.findall(low):
@@ -90,7 +97,11 @@ def statistics(data: bytes, learned: frozenset[bytes] = frozenset()) -> list[flo
     n = max(len(data), 1)
     letters = max(n - len(data.translate(None, bytes(range(65, 91)) + bytes(range(97, 123)))), 1)
     capitals = n - len(data.translate(None, bytes(range(65, 91)))) if data else 0
-    burst = max((sum(a <= b < a + 40 for b in strong[i : i + 20]) for i, a in enumerate(strong)), default=0)
+    burst = j = 0
+    for i, at in enumerate(strong):
+        while strong[j] <= at - BURST:
+            j += 1
+        burst = max(burst, i - j + 1)
     return [
         math.log1p(k), float(len(strong)), len(strong) / max(k, 1), float(weak), weak / max(k, 1), float(len(you)), len(you) / max(k, 1), float(near), float(masked), float(spaced),
         capitals / letters, data.count(b"!") / n, (data.count(b"?") + data.count(b"!")) / n, float(len({words[i] for i in strong})), float(burst), float(hits), hits / max(k, 1), float(len(kinds)),
