@@ -23,7 +23,14 @@ from .common import CHUNK_BYTES, chunks, documents, stored, texts
 
 CAPACITY = 2048
 END = 0
-ROUNDS = 400
+#: Rounds of the multiplicative weights, patterns used in each, and how near to the best price they must be.
+ROUNDS, PATTERNS, NEAR_BEST = 400, 256, 0.02
+#: The rate at which weights fall with the share covered.
+RATE = 1.0
+#: A pattern priced lower than this below the best dual's full price is not rounded, and this share of the others is left to best fit, which fills gaps with it.
+TIGHT, RESERVE = 1e-9, 0.1
+#: A size with fewer pieces left leaves the pricing.
+LEAST_LEFT = 0.5
 #: Rows of one length that a task puts in order.
 RANK_ROWS = 50_000
 
@@ -93,72 +100,94 @@ def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
     return documents(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_pattern(sizes: np.ndarray, prices: np.ndarray, counts: np.ndarray, capacity: int) -> Counter:
-    """The pattern (multiset of sizes) of greatest price that fits: an unbounded knapsack by dynamic programming."""
+def knapsack(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The greatest price of a multiset of sizes within each space, and the size taken there (-1: none), by dynamic programming."""
     value = np.zeros(capacity + 1)
     choice = np.full(capacity + 1, -1, dtype=int)
+    fitting = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
     for c in range(int(sizes[0]), capacity + 1):
-        k = int(np.searchsorted(sizes, c, side="right"))
+        k = fitting[c]
         gain = value[c - sizes[:k]] + prices[:k]
-        j = int(gain.argmax())
+        j = k - 1 - int(gain[::-1].argmax())  # of equally dear sizes the largest, which leaves the small ones to fill gaps
         if gain[j] > value[c - 1]:
             value[c], choice[c] = gain[j], j
         else:
-            value[c], choice[c] = value[c - 1], -1
-    pattern, c = Counter(), capacity
+            value[c] = value[c - 1]
+    return value, choice
+
+
+def pattern_of(sizes: np.ndarray, choice: np.ndarray, first: int, capacity: int) -> Counter:
+    """The best pattern that holds size number ``first``."""
+    pattern, c = Counter([first]), capacity - int(sizes[first])
     while c >= sizes[0]:
-        if choice[c] < 0:
+        if (j := int(choice[c])) < 0:
             c -= 1
         else:
-            pattern[int(sizes[choice[c]])] += 1
-            c -= int(sizes[choice[c]])
-    return Counter({s: min(n, int(counts[np.searchsorted(sizes, s)])) for s, n in pattern.items()})
+            pattern[j] += 1
+            c -= int(sizes[j])
+    return pattern
+
+
+@dataclass(frozen=True)
+class Fractional:
+    """A fractional solution of the configuration LP: patterns (size: times) with how often each is used, the share of all tokens they cover, and the best dual found: a price for each size and the lower bound on sequences that it proves."""
+
+    patterns: list[tuple[Counter, float]]
+    covered: float
+    bound: float
+    dual: dict[int, float]
 
 
-def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[Counter, int]]:
-    """Whole numbers of patterns from the configuration LP.
+def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> Fractional:
+    """Multiplicative weights on the configuration LP: cover every size as often as it occurs with the fewest patterns.
 
-    Each round prices the sizes by their weights, takes the best pattern and lowers the weights of
-    what it covers. Patterns are used in proportion to how often they were chosen; counts are rounded
-    down so that no size is covered more often than it occurs.
+    Each size has a weight. A round prices the sizes by weight over count and asks the knapsack for the patterns of
+    greatest price. Prices divided by the best pattern's price are feasible for the dual, so their sum over all
+    pieces is a lower bound. Patterns priced within NEAR_BEST of the best are used, each as often as its scarcest
+    size allows, and the weights of what they cover are multiplied by exp(-RATE * share covered). No size is covered more
+    often than it occurs; a covered one leaves the pricing.
     """
     sizes = np.array(sorted(histogram), dtype=int)
-    counts = np.array([histogram[s] for s in sizes], dtype=float)
     if not len(sizes):
-        return []
+        return Fractional([], 1.0, 0.0, {})
+    counts = np.array([histogram[s] for s in sizes], dtype=float)
     left = counts.copy()
-    plan: Counter = Counter()
-    kept: dict[tuple, Counter] = {}
-    # Weights start at the sizes themselves, the duals of the plain area bound.
-    log_weight = np.log(sizes / capacity)
-    covered = np.zeros(len(sizes))
-    chosen: Counter = Counter()
-    for t in range(rounds):
-        live = left >= 1
-        if not live.any():
+    # Weights begin at the dual of the plain area bound.
+    weights = counts * sizes / capacity
+    used: dict[tuple, float] = {}
+    bound, dual = 0.0, {}
+    for _ in range(rounds):
+        live = np.flatnonzero(left > LEAST_LEFT)
+        if not len(live):
             break
-        own = np.flatnonzero(live)
-        prices = np.exp(log_weight[own] - 0.0)
-        pattern = best_pattern(sizes[own], prices, left[own], capacity)
-        if not pattern:
-            break
-        at = np.array([int(np.searchsorted(sizes, s)) for s in pattern])
-        need = np.array([pattern[int(sizes[i])] for i in at], dtype=float)
-        # The step's width: the share of the scarcest size that this pattern may use up now.
-        step = max(1.0, np.floor((left[at] / need).min() * (0.25 if t < rounds // 2 else 1.0)))
-        step = min(step, float(np.floor((left[at] / need).min())))
-        if step < 1:
-            break
-        key = tuple(sorted(pattern.items()))
-        kept[key] = pattern
-        chosen[key] += int(step)
-        left[at] -= step * need
-        covered[at] += step * need
-        share = covered / counts
-        # Sizes that lag behind the mean cover become dearer, those ahead cheaper.
-        log_weight = np.log(sizes / capacity) + 0.05 * (share.mean() - share)
-    plan.update(chosen)
-    return [(kept[k], n) for k, n in plan.items()]
+        own, prices = sizes[live], weights[live] / counts[live]
+        value, choice = knapsack(own, prices, capacity)
+        if (proven := float((prices * counts[live]).sum() / value[capacity])) > bound:
+            bound, dual = proven, dict(zip(own.tolist(), (prices / value[capacity]).tolist(), strict=True))
+        with_size = prices + value[capacity - own]
+        near = np.flatnonzero(with_size >= (1 - NEAR_BEST) * value[capacity])
+        near = near[np.argsort(-(left[live] * own)[near], kind="stable")][:PATTERNS]
+        for j in near.tolist():
+            pattern = pattern_of(own, choice, j, capacity)
+            at, times = live[list(pattern)], np.array(list(pattern.values()), dtype=float)
+            step = float((left[at] / times).min())
+            if step <= 0:
+                continue
+            key = tuple(sorted((int(sizes[i]), int(k)) for i, k in zip(at, times, strict=True)))
+            used[key] = used.get(key, 0.0) + step
+            left[at] = np.maximum(left[at] - step * times, 0.0)
+            weights[at] *= np.exp(-RATE * step * times / counts[at])
+    covered = 1 - float((left * sizes).sum() / (counts * sizes).sum())
+    return Fractional([(Counter(dict(k)), x) for k, x in used.items()], covered, bound, dual)
+
+
+def rounded(solution: Fractional) -> list[tuple[Counter, int]]:
+    """Whole numbers of patterns, rounded down, so that no size is used more often than it occurs.
+
+    By complementary slackness an optimum holds only patterns whose price under the best dual is full; the others are not kept.
+    """
+    price = lambda p: sum(solution.dual.get(s, 0.0) * k for s, k in p.items())
+    return [(p, n) for p, x in solution.patterns if price(p) >= 1 - TIGHT and (n := int(x * (1 - RESERVE) + 1e-9))]
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
@@ -220,24 +249,16 @@ class Plan:
 
 def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
     """The plan for a histogram of lengths from 1 to ``capacity``."""
-    solved = solve({s: n for s, n in histogram.items() if s < capacity}, capacity)
+    chosen = rounded(solve(histogram, capacity))
     rest = Counter(histogram)
     bins: list[tuple[list[int], int]] = []
-    for pattern, n in solved:
-        contents = [s for s, k in sorted(pattern.items(), reverse=True) for _ in range(k)]
-        bins.append((contents, n))
+    for pattern, n in chosen:
+        bins.append(([s for s, k in sorted(pattern.items(), reverse=True) for _ in range(k)], n))
         for s, k in pattern.items():
             rest[s] -= k * n
-    # The LP's patterns with what they leave packed best fit, the same with only its full patterns, or best fit alone: the fewest sequences win.
-    full, loose = [], Counter(rest)
-    for contents, n in bins:
-        if sum(contents) == capacity:
-            full.append((contents, n))
-        else:
-            for s in contents:
-                loose[s] += n
-    fit = lambda left: best_fit({s: n for s, n in left.items() if n}, capacity)
-    final = min((full + fit(loose), bins + fit(rest), fit(histogram)), key=lambda plan: sum(n for _, n in plan))
+    sequences = lambda plan: sum(n for _, n in plan)
+    # The rounded LP with what it leaves packed best fit holds unless best fit alone needs fewer sequences.
+    final = min((bins + best_fit({s: n for s, n in rest.items() if n}, capacity), best_fit(histogram, capacity)), key=sequences)
     next_rank: Counter = Counter()
     rows, sequence = [], 0
     for contents, n in final:
@@ -257,6 +278,8 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
 
     Returns per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null or empty
     text is the end token alone; repeated rows are packed once each; an empty table gives no rows.
+    Texts of any length are cut into pieces; rows that repeat a doc_id are packed by their own texts; pieces of one
+    length are interchangeable and ties are ordered by doc_id, piece and checksum; other columns are ignored.
     The driver sees the counts of lengths, at most ``capacity`` numbers.
     """
     pieces = stored(tokenized(docs, path or vocabulary_path(), capacity), "pieces")

@@ -103,7 +103,6 @@ def test_packing(docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.vocabulary_path())
-    t.encode_special_tokens = True
     rows = packing.pack_documents(docs, capacity=64).collect()
     by_doc = {}
     for r in rows:
@@ -129,9 +128,8 @@ def test_packing_special_strings(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.vocabulary_path())
-    t.encode_special_tokens = True
     for text in ("<|endoftext|> a", "naïve \n\n  x\t", "日本 🎉" * 3, " " * 100, "a" * 500):
-        assert packing.encoder(packing.vocabulary_path()).encode_ordinary(text) == t.encode(text, add_special_tokens=False).ids
+        assert packing.ids_of(packing.vocabulary_path())(text) == t.encode(text, add_special_tokens=False).ids
 
 
 def test_packing_empty(empty):
