@@ -17,7 +17,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import documents, stored
+from .common import documents, stored, text_key
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -120,7 +120,7 @@ def found_leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILARI
     n_marks = marks.count()
     sizes = [r["k"] for r in items.select("k").distinct().collect()] or [WORDS]  # 1 to WORDS
 
-    text = documents(docs).select("doc_id", F.xxhash64("text", F.length("text")).alias("text_hash"), words(F.col("text")).alias("w"))
+    text = documents(docs).select("doc_id", text_key().alias("text_hash"), words(F.col("text")).alias("w"))
     key = ["doc_id", "text_hash"]
     hits = []
     for k in sizes:
@@ -180,5 +180,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILARITY, ra
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark item; all columns stay, and so do null and empty texts."""
     found = stored(found_leaks(docs, benchmark).select(F.col("text_hash").alias("_leak")).distinct(), "leaks")
-    text = F.col("text").cast("string")
-    return docs.join(small(found, found.count()), F.xxhash64(text, F.length(text)) == F.col("_leak"), "left_anti")
+    return docs.join(small(found, found.count()), text_key() == F.col("_leak"), "left_anti")

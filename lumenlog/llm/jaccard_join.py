@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed, chunks, documents, stored
+from .common import checkpointed, chunks, documents, stored, text_key
 
 WORDS = 5
 #: Linked if PART * intersection >= SIMILAR * union.
@@ -136,7 +136,7 @@ def signature(s: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and vertex (the set's signature) of every document: a narrow step.
+    """doc_id, text_key, n_shingles and vertex (the set's signature) of every document: a narrow step.
 
     Rows with ``common`` set are no documents: they say that the shingle ``vertex`` stands in ``n_shingles``
     documents of one piece of the table, if that is many of the piece's.
@@ -147,18 +147,18 @@ def signatures(docs: DataFrame) -> DataFrame:
             for part in chunks(batch, most=CHUNK):
                 sets = list(sets_of(part))
                 n = [len(s) for s in sets]
-                yield rows_of(part.column("doc_id"), n, [signature(s) for s in sets], [False] * len(sets))
+                yield rows_of(part.column("doc_id"), part.column("text_key"), n, [signature(s) for s in sets], [False] * len(sets))
                 tokens = np.sort(np.concatenate(sets), kind="stable")
                 first = first_of_runs(tokens)
                 counts = np.diff(np.append(first, len(tokens)))
                 many = np.flatnonzero(counts >= max(16, len(sets) // (COMMON_PART // 4)))
                 if len(many):
-                    yield rows_of(pa.nulls(len(many), pa.int64()), counts[many], tokens[first[many]].astype(np.int64), [True] * len(many))
+                    yield rows_of(pa.nulls(len(many), pa.int64()), pa.nulls(len(many), pa.int64()), counts[many], tokens[first[many]].astype(np.int64), [True] * len(many))
 
-    def rows_of(doc, n, vertex, common):
-        return pa.RecordBatch.from_arrays([doc, pa.array(n, pa.int64()), pa.array(vertex, pa.int64()), pa.array(common, pa.bool_())], names=["doc_id", "n_shingles", "vertex", "common"])
+    def rows_of(doc, text_key, n, vertex, common):
+        return pa.RecordBatch.from_arrays([doc, text_key, pa.array(n, pa.int64()), pa.array(vertex, pa.int64()), pa.array(common, pa.bool_())], names=["doc_id", "text_key", "n_shingles", "vertex", "common"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, vertex long, common boolean")
+    return docs.mapInArrow(run, "doc_id long, text_key long, n_shingles long, vertex long, common boolean")
 
 
 def planes(values: np.ndarray, width: int) -> bytes:
@@ -474,7 +474,38 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     repeat a doc_id keep a row each and link by their own texts. A null doc_id is never the smallest: the component is null
     only where all its ids are. An empty table gives no rows. Texts of any length are read whole; other columns are ignored.
     """
-    own = documents(docs)
+    known, in_class = classified(docs)
+    least = in_class.groupBy("class").agg(F.min("doc_id").alias("component"))
+    named = in_class.join(least, "class").select("vertex", "component")
+    return known.join(named, "vertex", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each_class(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each class of near copies: that of the smallest doc_id, then of the smallest hash of its text.
+
+    All columns stay. Texts without words are in no class, so all their rows stay. A null doc_id comes last. Of rows
+    that repeat a doc_id with other texts each goes with its own class; of rows that repeat both one stays.
+    """
+    known, in_class = classified(docs)
+    rows = known.filter("n_shingles > 0").join(in_class.select("vertex", "class"), "vertex")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    first = rows.groupBy("class").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("class", "first")
+    crowded = stored(rows.join(first, "class").select("doc_id", "text_key", (order == F.col("first")).alias("stays")), "copies")
+    gone = crowded.filter("not stays").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    again = crowded.filter("stays").groupBy("doc_id", "text_key").count().filter("count > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    again = stored(again, "repeated")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_key() == F.col("_key"))
+    kept = docs.join(gone, same, "left_anti")
+    if again.isEmpty():
+        return kept
+    # Rows repeated whole are rare: only they are shuffled.
+    once = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, same, "left_anti").unionByName(once)
+
+
+def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text_key, n_shingles and vertex of every row; vertex, its smallest doc_id and its class of all sets that are not empty."""
+    own = documents(docs, text_key().alias("text_key"))
     rows = stored(signatures(own), "signatures")
     known = rows.filter("not common").drop("common")
     totals = known.agg(F.count(F.lit(1)).alias("rows"), F.sum("n_shingles").alias("shingles")).first()
@@ -496,6 +527,4 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     # One row for each vertex, whatever the copies; a set's smallest id, then its class's.
     smallest = known.filter("n_shingles > 0").groupBy("vertex").agg(F.min("doc_id").alias("doc_id"))
     in_class = smallest.join(labels, "vertex", "left").select("vertex", "doc_id", F.coalesce("class", "vertex").alias("class"))
-    least = in_class.groupBy("class").agg(F.min("doc_id").alias("component"))
-    named = in_class.join(least, "class").select("vertex", "component")
-    return known.join(named, "vertex", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    return known, in_class

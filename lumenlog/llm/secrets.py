@@ -17,7 +17,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import documents, map_rows, texts
+from .common import chunks, documents, map_rows, texts
 
 #: The kinds in the order in which ties at one start are listed.
 KINDS = ("assign", "access", "hex", "pem", "openssh", "der", "token")
@@ -241,7 +241,7 @@ def redact_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         return "".join([*out, text[at:]])
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole)):
             new = [mask(t) for t in batch.column("text").to_pylist()]
             columns = list(batch.columns)
             i = names.index("text")

@@ -256,7 +256,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held: int = 2, folds: int
     doc_id. Three fifths of them extend the fixed lexicon by words and beginnings of words, the rest
     grow the trees and calibrate them, so that the trees see honest hit counts. Only the text gives a
     score's inputs. Null and empty texts get the score of an empty text; null labels and labels other
-    than 0 and 1 are passed over.
+    than 0 and 1 are passed over. Repeated rows are scored each; an empty table gives no rows; texts of any length
+    are read whole, in time that grows with their length; other columns are ignored.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").alias("y")).filter("doc_id is not null and y in (0, 1)").filter(crc_remainder("doc_id", folds) != held)
     picked = stored(marks.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))).orderBy("h", "doc_id").limit(most_rows), "toxicity-rows")
