@@ -1,10 +1,16 @@
-"""The corpus pipeline: five stages from documents to packed sequences."""
+"""The corpus pipeline: five stages from documents to packed sequences.
+
+Stages tell rows by their texts, not by doc_id: a null doc_id goes through like any other, and rows that
+repeat a doc_id with other texts are judged each. Rows repeated whole are near copies, of which one stays;
+null, empty and blank texts are copies of nothing and stay wherever the classifier accepts them. Empty tables
+give empty results. Texts of any length are read whole. All columns of documents pass to the last stage.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from lumenlog.llm import decontaminate, jaccard_join, packing, quality, secrets
 from lumenlog.llm.common import stored, table
@@ -12,21 +18,12 @@ from lumenlog.llm.common import stored, table
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
-    scored = stored(quality.score_quality(docs, table(spark, sf_dir, "labels")).filter("predicted = 0").select(F.col("doc_id").alias("_rejected")).distinct(), "rejected")
-    # Ids of rejected documents grow with the table; Spark broadcasts them only below its own threshold.
-    return docs.join(scored, F.col("doc_id") == F.col("_rejected"), "left_anti")
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each class of near copies."""
-    copies = stored(jaccard_join.jaccard_classes(docs).filter("component_id < doc_id").select(F.col("doc_id").alias("_copy")).distinct(), "copies")
-    kept = docs.join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
-    # Rows that repeat a doc_id are rare: only they are shuffled.
-    again = stored(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")), "repeated")
-    if again.isEmpty():
-        return kept
-    on = F.col("doc_id") == F.col("_again")
-    return kept.join(again, on, "left_anti").unionByName(kept.join(again, on, "left_semi").dropDuplicates(["doc_id"]))
+    return jaccard_join.one_of_each_class(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
