@@ -41,7 +41,7 @@ MOST_LEVEL = (1 << 15) - 2
 #: Sets that one trie holds at most, beside as many that walk it; larger groups are split into blocks.
 BLOCK_SETS = 1024
 #: Rows of ids up to which they are broadcast to the sets; more are joined by shuffling.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 1_000_000
 STEP = 64
 CHUNK = 2 << 20
 
@@ -492,10 +492,12 @@ def one_of_each_class(docs: DataFrame) -> DataFrame:
     first = rows.groupBy("class").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("class", "first")
     crowded = stored(rows.join(first, "class").select("doc_id", "text_key", (order == F.col("first")).alias("stays")), "copies")
     gone = crowded.filter("not stays").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    gone = stored(gone, "gone")
     again = crowded.filter("stays").groupBy("doc_id", "text_key").count().filter("count > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
     again = stored(again, "repeated")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_key() == F.col("_key"))
-    kept = docs.join(gone, same, "left_anti")
+    # Texts are shuffled only where there are more copies than may be broadcast.
+    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, same, "left_anti")
     if again.isEmpty():
         return kept
     # Rows repeated whole are rare: only they are shuffled.

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import crc_remainder, documents, map_rows, raw_texts, stored, text_key
+from .common import chunks, crc_remainder, documents, map_rows, raw_texts, stored
 
 UPPER, LOWER, DIGIT = bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789"
 SPACE = b" \t\n\r\x0b\x0c"
@@ -61,12 +61,12 @@ def statistics(data: bytes) -> list[float]:
     ]
 
 
-SCHEMA = StructType([StructField("doc_id", LongType()), StructField("text_key", LongType()), StructField("x", ArrayType(DoubleType()))])
+SCHEMA = StructType([StructField("doc_id", LongType()), StructField("x", ArrayType(DoubleType()))])
 
 
 def featured(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key and the statistics of every whole text: a narrow step."""
-    return map_rows(documents(docs, text_key().alias("text_key")), SCHEMA, lambda batch: {"doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"), "x": [statistics(t) for t in raw_texts(batch)]})
+    """doc_id and the statistics of every whole text: a narrow step."""
+    return map_rows(documents(docs), SCHEMA, lambda batch: {"doc_id": batch.column("doc_id"), "x": [statistics(t) for t in raw_texts(batch)]})
 
 
 @dataclass(frozen=True)
@@ -142,18 +142,9 @@ def class_sums(labelled: DataFrame, label: str) -> dict[int, tuple[float, np.nda
     return found
 
 
-def scored_texts(docs: DataFrame, labels: DataFrame, held: int, folds: int) -> DataFrame:
-    """doc_id, text_key and score of every row."""
-    features = stored(featured(docs), "quality")
+def fitted(features: DataFrame, labels: DataFrame, held: int, folds: int) -> Discriminant:
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("y")).filter("y in (0, 1)").filter(crc_remainder("doc_id", folds) != held)
-    model = fit(class_sums(features.join(marks, "doc_id"), "y"))
-
-    def score(batches):
-        for batch in batches:
-            x = np.array(batch.column("x").to_pylist(), dtype=float).reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(model.scores(x))], names=["doc_id", "text_key", "score"])
-
-    return features.mapInArrow(score, "doc_id long, text_key long, score double")
+    return fit(class_sums(features.join(marks, "doc_id"), "y"))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, held: int = 0, folds: int = 5, threshold: float = THRESHOLD) -> DataFrame:
@@ -165,12 +156,28 @@ def score_quality(docs: DataFrame, labels: DataFrame, held: int = 0, folds: int
     repeated label rows all count, and so do repeated rows of documents. An empty table gives no rows;
     texts of any length are read whole; other columns, whatever their names, are ignored.
     """
-    scored = scored_texts(docs, labels, held, folds)
+    features = stored(featured(docs), "quality")
+    model = fitted(features, labels, held, folds)
+
+    def score(batches):
+        for batch in batches:
+            x = np.array(batch.column("x").to_pylist(), dtype=float).reshape(-1, len(NAMES))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(x))], names=["doc_id", "score"])
+
+    scored = features.mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", (crc_remainder("doc_id", folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, held: int = 0, folds: int = 5, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows whose text the classifier rejects; all columns stay. Rows are told by their text, so any doc_id will do."""
-    rejected = stored(scored_texts(docs, labels, held, folds).filter(F.col("score") < threshold).select(F.col("text_key").alias("_rejected")).distinct(), "rejected")
-    # Rejected texts grow with the table; Spark broadcasts them only below its own threshold.
-    return docs.join(rejected, text_key() == F.col("_rejected"), "left_anti")
+    """``docs`` without the rows whose text the classifier rejects; all columns stay.
+
+    A text is scored where it stands, so texts are never shuffled and any doc_id will do.
+    """
+    model = fitted(stored(featured(docs), "quality"), labels, held, folds)
+
+    def keep(batches):
+        for batch in (part for whole in batches for part in chunks(whole)):
+            x = np.array([statistics(t) for t in raw_texts(batch)], dtype=float).reshape(-1, len(NAMES))
+            yield batch.filter(pa.array(model.scores(x) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
