@@ -84,7 +84,7 @@ PRIVACY = {
     "email": (r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", "<EMAIL>"),
     "phone": (r"(?:\+?\d{1,3}[\s.-]?)?\(?\d{2,4}\)?[\s.-]?\d{3,4}[\s.-]?\d{3,4}\b", "<PHONE>"),
     "urls": (r"(?i)https?://[^\s\"'<>]+", "<URL>"),
-    "user_paths": (r"(?:/home/|/Users/|C:\\Users\\)[^\s\"'<>:;|]+", "<USER_PATH>"),
+    "user_paths": (r"(?i)(?:/home/|/Users/|C:\\Users\\)[^\s\"'<>:;|]+", "<USER_PATH>"),
     "mac_addresses": (r"\b(?:[0-9a-fA-F]{2}[:-]){5}[0-9a-fA-F]{2}\b", "<MAC>"),
     "credit_cards": (r"\b(?:\d[ -]*?){13,19}\b", "<CARD>"),
     "passwords": (r"(?i)((?:password|passwd|pwd|secret|pass_?phrase)\s*[=:]\s*)(?:\"[^\"]*\"|'[^']*'|\S+)", "$1<PASSWORD>"),

@@ -9,12 +9,26 @@ from pyspark.sql import Column, functions as F
 
 #: ``\b`` between ASCII word characters only. Java's own is Unicode-aware.
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+#: What an edge comes to where the pattern itself says which side holds the word: half the work at every place of a text.
+BEGIN, END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+#: One word character: itself, a digit class, or a class of word characters.
+WORD = r"(?:[A-Za-z0-9_]|\\d|\[[A-Za-z0-9_-]+\])"
 SPECIAL = r"([.*+?^${}()|\[\]\\])"
 
 
 def ascii_edges(pattern: str) -> str:
     """Replaces ``\\b`` (unless its backslash is escaped) by an ASCII word edge."""
-    return re.sub(r"(\\\\)|\\b", lambda m: m[1] or EDGE, pattern)
+
+    def edge(m: re.Match) -> str:
+        if m[1]:
+            return m[1]
+        before, after = pattern[: m.start()], pattern[m.end() :]
+        opened = re.match(r"\((?:\?:)?([^()]*)\)", after)
+        if re.match(WORD, after) or (opened and all(re.match(WORD, part) for part in opened[1].split("|"))):
+            return BEGIN
+        return END if re.search(rf"(?:^|[^\\]){WORD}(?:\+|\{{[1-9][0-9]*(?:,[0-9]*)?\}})?$", before) else EDGE
+
+    return re.sub(r"(\\\\)|\\b", edge, pattern)
 
 
 def sub(c: Column, pattern: str, by: str) -> Column:

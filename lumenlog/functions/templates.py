@@ -17,6 +17,7 @@ STEPS = (
     (r"\"[^\"]*\"", '"<STR>"'),
     (r"'[^']*'", "'<STR>'"),
 )
+#: Fixed value: the clauses of an SQL statement that vary.
 SQL_CLAUSES = r"(?i)STATEMENT:\s+(select|insert|update|delete)\b(.*?)\b(?:where|order\s+by|limit|offset|group\s+by|having|returning|on\s+conflict)\b.*"
 MOST_JSON, DEPTH = 32_768, 3
 
@@ -44,9 +45,13 @@ def unwrapped(c: Column) -> Column:
         record = F.when(F.length(text) <= MOST_JSON, json_object(text))
         return F.coalesce(bound(record, lambda v: text_at(v, "msg", "message", "text")), text)
 
-    for _ in range(DEPTH):
-        c = bound(c, inner)
-    return c
+    def opened(text: Column) -> Column:
+        for _ in range(DEPTH):
+            text = bound(text, inner)
+        return text
+
+    # Most messages are no records: they are left as they are.
+    return F.when(c.rlike(r"^\s*\{"), bound(c, opened)).otherwise(c)
 
 
 def parameterize(c: Column, normalize_sql: bool = False, unwrap: bool = True) -> Column:

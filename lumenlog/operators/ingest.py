@@ -56,7 +56,8 @@ def flat_field(v: Column, name: str, objects_count: bool = False) -> Column:
 
 def parsed(records: DataFrame, column: str = "record") -> DataFrame:
     """Open JSON records as VARIANT ``v``; what is no JSON object is dropped by :func:`normalized`."""
-    return records.withColumn("v", F.try_parse_json(column))
+    # These ids are never below 0. They keep Catalyst from moving later filters under this column with a copy of the parse for each field.
+    return records.withColumn("v", F.when(F.monotonically_increasing_id() >= 0, F.try_parse_json(column)))
 
 
 def message_of(v: Column) -> Column:
@@ -93,7 +94,7 @@ def normalized(records: DataFrame, now: Column, column: str = "record", enrich:
     """
     v, message = F.col("v"), F.col("_full")
     # Columns of their own are worked out once, though many fields read them.
-    df = parsed(records, column).withColumn("_full", message_of(v)).withColumn("_json", bound(message, templates.json_object))
+    df = parsed(records, column).withColumn("_full", message_of(v)).filter("_full is not null").withColumn("_json", bound(message, templates.json_object))
     inner = templates.text_at(F.col("_json"), "msg", "message", "text")
     when = F.coalesce(flat_field(v, "timestamp"), at(v, "time"))
     number = F.coalesce(number_field(v, "timestamp"), number_field(v, "time"), number_field(v, "@timestamp"))
@@ -109,11 +110,13 @@ def normalized(records: DataFrame, now: Column, column: str = "record", enrich:
         F.coalesce(flat_field(v, "program"), text_field(v, "app_name", "appname", "ident", "mnemonic")).alias("program"),
         F.coalesce(flat_field(v, "trace_id"), text_field(v, "traceId")).alias("trace_id"), F.coalesce(flat_field(v, "span_id"), text_field(v, "spanId")).alias("span_id"),
         text_field(v, "external_id").alias("external_id"), extras(v).alias("raw"),
-    ).filter("message is not null")
+    )
     header = F.col("_header")
-    level = sev.enriched(F.col("_full"), header) if enrich else header
+    if enrich:
+        df = df.withColumn("_content", sev.content_severity(F.col("_full")))
+    level = sev.worse(F.col("_content"), header) if enrich else header
     shown = F.when(addresses.is_plausible_host(F.col("_host")), F.col("_host")).otherwise(F.col("source_ip"))
-    return df.withColumns({"severity": level, "host": shown}).drop("_full", "_header", "_host")
+    return df.withColumns({"severity": level, "host": shown}).drop("_full", "_header", "_host", "_content")
 
 
 def ingest(records: DataFrame, sources: Sequence[Mapping], systems: DataFrame, now: Column, column: str = "record", redaction: bool = False, drift_seconds: int = 300, message_chars: int = 8192) -> tuple[DataFrame, DataFrame]:

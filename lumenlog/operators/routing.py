@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.regexes import is_valid
 
 #: Patterns that match anything.
-WILDCARDS = ("", ".*", "^.*$", ".+", "^.+$")[1:]
+WILDCARDS = (".*", "^.*$", ".+", "^.+$")
 
 
 def groups_of(selector) -> list[dict[str, str]]:

@@ -139,7 +139,7 @@ def redact_secrets_whole(v: Views) -> DataFrame:
 MASKS = {
     "ipv4": (r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)(?:/\d{1,2})?\b", "<IPv4>", "g"), "ipv6": (r"\b(?:[0-9a-fA-F]{1,4}:){2,7}[0-9a-fA-F]{1,4}\b", "<IPv6>", "g"),
     "email": (r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", "<EMAIL>", "g"), "phone": (r"(?:\+?\d{1,3}[\s.-]?)?\(?\d{2,4}\)?[\s.-]?\d{3,4}[\s.-]?\d{3,4}\b", "<PHONE>", "g"),
-    "user_paths": (r"(?:/home/|/Users/|C:\\Users\\)[^\s\"'<>:;|]+".replace('\\"', '"'), "<USER_PATH>", "g"), "mac_addresses": (r"\b(?:[0-9a-fA-F]{2}[:-]){5}[0-9a-fA-F]{2}\b", "<MAC>", "g"),
+    "user_paths": (r"(?:/home/|/Users/|C:\\Users\\)[^\s\"'<>:;|]+".replace('\\"', '"'), "<USER_PATH>", "gi"), "mac_addresses": (r"\b(?:[0-9a-fA-F]{2}[:-]){5}[0-9a-fA-F]{2}\b", "<MAC>", "g"),
     "passwords": (r"((?:password|passwd|pwd|secret|pass_?phrase)\s*[=:]\s*)(?:\"[^\"]*\"|'[^']*'|\S+)".replace('\\"', '"'), r"\1<PASSWORD>", "gi"),
     "api_keys": (r"((?:api[_-]?key|access[_-]?key|secret[_-]?key|auth[_-]?token|bearer)\s*[=:\s]\s*)(?:\"[^\"]*\"|'[^']*'|\S+)".replace('\\"', '"'), r"\1<API_KEY>", "gi"),
     "usernames": (r"((?:user(?:name)?|login|uid|account)\s*[=:]\s*)(?:\"[^\"]*\"|'[^']*'|\S+)".replace('\\"', '"'), r"\1<USERNAME>", "gi"),
@@ -156,6 +156,13 @@ for _kind in MASKS:
     _mask(_kind)
 
 
+@query("SELECT doc_id, 'at <USER_PATH> or <USER_PATH>' AS masked FROM documents")
+def mask_user_paths_any_case(v: Views) -> DataFrame:
+    """Paths count in either case."""
+    i = F.col("doc_id")
+    return v.table("documents").select("doc_id", masking.mask_private(F.concat(F.lit("at /HOME/Bob"), i, F.lit(" or c:\\users\\ann"), i), ["user_paths"]).alias("masked"))
+
+
 @query(r"SELECT page_id, regexp_replace(url, 'https?://[^\s""''<>]+', '<URL>', 'gi') AS masked FROM pages".replace('""', '"'))
 def mask_urls(v: Views) -> DataFrame:
     return v.table("pages").select("page_id", masking.mask_private(F.col("url"), ["urls"]).alias("masked"))
@@ -264,18 +271,20 @@ def json_unpack(v: Views) -> DataFrame:
     return ing.normalized(v.table("events").select(F.col("event_id").alias("id"), record.alias("record")), v.now).select("id", "message", "severity")
 
 
-@query("SELECT id, length(trim(sample)) < 5 OR regexp_matches(sample, '^(select|and|from)\\b', 'i') OR regexp_matches(sample, '^Process\\s+\\d+') AS fragment FROM (SELECT doc_id AS id, substring(text, 1, 100) AS sample FROM documents) WHERE sample <> ''".replace("\\\\", "\\"))
+FRAGMENT_SQL = tpl.SQL_WORDS.replace("'", "''")
+
+
+@query(rf"SELECT doc_id AS id, coalesce(t <> '' AND length(t) <= 120 AND (length(regexp_replace(t, '^\s+|\s+\z', '', 'g')) < 5 OR starts_with(regexp_replace(t, '^\s+', ''), '#011') OR regexp_matches(regexp_replace(t, '^\s+', ''), '^(?:{FRAGMENT_SQL})(?:[^A-Za-z0-9_]|$)', 'is') OR regexp_matches(regexp_replace(t, '^\s+', ''), '^Process\s+\d+')), false) AS fragment FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN regexp_extract(text, '[^.!?]*') WHEN 2 THEN 'Left  join ' || doc_id || substring(text, 1, 105) ELSE 'Process ' || doc_id END AS t FROM documents)")
 def orphan_fragments(v: Views) -> DataFrame:
-    d = v.table("documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 100).alias("sample")).filter("sample != ''")
-    words = tpl.is_orphan_fragment(F.col("sample"))
-    # Other SQL words, such as "in" and "as", are words of the test texts too.
-    others = F.col("sample").rlike(rf"(?i)^(?!(?:select|and|from)\b)(?:{tpl.SQL_WORDS})(?![A-Za-z0-9_])")
-    return d.select("id", F.when(others & (F.length(F.trim("sample")) >= 5), F.lit(False)).otherwise(words).alias("fragment"))
+    """Whole texts, first sentences and planted fragments, by the operator's own answer."""
+    i, text = F.col("doc_id"), F.col("text")
+    t = F.when(i % 4 == 0, text).when(i % 4 == 1, F.regexp_extract(text, "[^.!?]*", 0)).when(i % 4 == 2, F.concat(F.lit("Left  join "), i, F.substring(text, 1, 105))).otherwise(F.concat(F.lit("Process "), i))
+    return v.table("documents").select(i.alias("id"), tpl.is_orphan_fragment(t).alias("fragment"))
 
 
 @query()
 def orphan_fragments_whole(v: Views) -> DataFrame:
-    """``orphan_fragments`` of whole texts, by the operator's own answer."""
+    """``orphan_fragments`` of whole texts."""
     return v.table("documents").select(F.col("doc_id").alias("id"), tpl.is_orphan_fragment(F.col("text")).alias("fragment"))
 
 
@@ -292,7 +301,7 @@ def message_truncation(v: Views) -> DataFrame:
 # Routing, identity, append
 
 
-@query("SELECT id, CASE WHEN host = 'host-1' THEN 3 WHEN program IN ('error', 'signup') THEN 1 WHEN id % 2 = 0 THEN 2 END AS source, CASE WHEN host = 'host-1' OR program IN ('error', 'signup') THEN false WHEN id % 2 = 0 THEN true END AS is_catch_all FROM log_events", "log_events")
+@query("SELECT id, CASE WHEN host = 'host-1' THEN 3 WHEN program IN ('error', 'signup') THEN 1 ELSE 2 END AS source, NOT (host = 'host-1' OR program IN ('error', 'signup')) AS is_catch_all FROM log_events", "log_events")
 def source_routing_first_match(v: Views) -> DataFrame:
     return routing.routed(v.log_events.withColumn("facility", F.when(F.col("id") % 2 == 0, "on")).drop("system_id"), ROUTES).select("id", F.col("log_source_id").cast("int").alias("source"), "is_catch_all")
 
@@ -302,18 +311,12 @@ ROUTES = [
     {"id": 1, "system_id": 1, "priority": 2, "selector": '[{"program": "^error$"}, {"program": "sign(up"}, {"program": "^signup$"}]'},
     {"id": 2, "system_id": 2, "priority": 9, "selector": {"facility": ".+"}},
 ]
-ROUTES[2]["selector"] = {"trace_id": ".*", "program": ".+"}
+CATCH_ALL = [*ROUTES[:2], ROUTES[2] | {"selector": {"trace_id": ".*", "program": ".+"}}]
 
 
 @query("SELECT id, substring(message, 1, 512) AS sample, false AS unmatched FROM log_events WHERE host <> 'host-1' AND program NOT IN ('error', 'signup')", "log_events")
 def catch_all_and_unmatched_to_discovery(v: Views) -> DataFrame:
-    return routing.discovery_rows(routing.routed(v.log_events.drop("system_id"), ROUTES)).select("id", "sample", "unmatched")
-
-
-CATALOG["source_routing_first_match"] = Query(
-    lambda v: routing.routed(v.log_events.drop("system_id"), ROUTES).select("id", F.col("log_source_id").cast("int").alias("source"), "is_catch_all"),
-    with_views("SELECT id, CASE WHEN host = 'host-1' THEN 3 WHEN program IN ('error', 'signup') THEN 1 ELSE 2 END AS source, NOT (host = 'host-1' OR program IN ('error', 'signup')) AS is_catch_all FROM log_events", "log_events"),
-)
+    return routing.discovery_rows(routing.routed(v.log_events.drop("system_id"), CATCH_ALL)).select("id", "sample", "unmatched")
 
 
 @query("SELECT id, sha256(strftime(ts, '%Y-%m-%dT%H:%M:%S.') || substring(strftime(ts, '%f'), 1, 3) || 'Z' || chr(0) || message || chr(0) || host || chr(0) || source_ip || chr(0) || chr(0) || program || chr(0)) AS normalized_hash FROM log_events", "log_events")

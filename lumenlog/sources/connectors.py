@@ -80,7 +80,7 @@ def from_http(config: dict, cursor: str | None, ask: Callable = http_json, now:
 
 
 #: Connector kinds by name.
-CONNECTORS: dict[str, Callable] = {"elasticsearch": from_index, "loki": from_streams, "logtide": from_http, "http": from_http}
+CONNECTORS: dict[str, Callable] = {"elasticsearch": from_index, "loki": from_streams, "http": from_http}
 
 
 def fetcher(options: dict) -> Callable:
