@@ -23,10 +23,12 @@ ROUNDS = 12
 LEAST_ROOM = 0.08
 #: A group of copies is at most this many units for each first label, however large it is.
 CHUNKS = 64
+#: A shard may hold this share above its quota while labels move, so that groups can change places; levelling takes it off.
+SLACK = 0.25
 #: Priorities by which requests are admitted; the driver sees one sum for each priority and shard.
 PRIORITIES = 1024
 #: A group above this part of a shard asks unit by unit, a smaller one as a whole.
-WHOLE_PART = 1 / 64
+WHOLE_PART = 1 / 4
 #: Rows that one task puts in order.
 RANK_ROWS = 50_000
 
@@ -103,9 +105,12 @@ def propagated(v: DataFrame, shards: int, weight: str, rounds: int = ROUNDS, rep
         if report is not None:
             report.append(cut_groups(moving))
         loads = {s: float(w) for s, w in sums_of(moving, shards).items()}
-        room = {s: cap - w for s, w in loads.items()}
         parts = moving.groupBy("group", "label").agg(F.sum("weight").alias("w"))
         order = lambda label: F.struct("w", F.xxhash64("group", label))
+        # What may still leave a shard makes room in it: only a group's largest part, or one that fills half a shard, takes room for good.
+        top = parts.groupBy("group").agg(F.max(F.struct("w", F.xxhash64("group", "label").alias("h"), "label")).alias("top"))
+        settled = parts.join(top, "group").filter((F.col("label") == F.col("top.label")) | (F.col("w") > cap / 2))
+        room = {s: cap - float(w) for s, w in sums_of(settled, shards, value="w").items()}
         hubs = parts.filter(by_shard(room, F.col("label")) > cap * LEAST_ROOM).groupBy("group").agg(F.max(F.struct("w", F.xxhash64("group", "label").alias("h"), "label")).alias("best"))
         # Members of the hub's part and of larger ones, whose shards are full, stay.
         smaller = parts.join(hubs, "group").filter(order("label") < F.struct("best.w", "best.h")).select("group", "label", F.col("best.label").alias("hub"))
@@ -115,7 +120,7 @@ def propagated(v: DataFrame, shards: int, weight: str, rounds: int = ROUNDS, rep
         asked = ask.filter("hub is not null").groupBy("label", "hub", "priority").agg(F.sum("weight").alias("weight")).collect()
         if not asked:
             break
-        admitted = by_shard(thresholds(asked, loads, cap), F.col("hub"))
+        admitted = by_shard(thresholds(asked, loads, cap * (1 + SLACK)), F.col("hub"))
         moving = checkpointed(ask.withColumn("label", F.when(F.col("priority") < admitted, F.col("hub")).otherwise(F.col("label"))).select(*moving.columns))
     if report is not None:
         report.append(cut_groups(moving))

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -52,13 +53,14 @@ def test_rounds_keep_groups_whole(spark, law):
 
 
 def test_quota_parts_a_group_above_a_shard(spark):
-    """Half of all rows are copies of one text: they fill four of eight shards and little else."""
+    """Half of all rows are copies of one text: four of eight shards hold most of them, and half without rounds."""
+    share = lambda rows: sum(n for _, n in Counter(r["shard"] for r in rows if texts[r["doc_id"]] == "the same").most_common(4)) / 800
     texts = ["the same"] * 800 + [f"single {i}" for i in range(700)] + [f"copied {i % 10}" for i in range(100)]
     rows = sharding.shard_documents(table(spark, texts), 8).collect()
     even(rows, texts, 8, "rows")
-    assert len({r["shard"] for r in rows if texts[r["doc_id"]] == "the same"}) <= 6
+    assert share(rows) > 0.8
     few = sharding.shard_documents(table(spark, texts), 8, rounds=0).collect()
-    assert len({r["shard"] for r in few if texts[r["doc_id"]] == "the same"}) == 8
+    assert share(few) < 0.65
 
 
 @pytest.mark.parametrize("law", ["rows", "bytes"])
