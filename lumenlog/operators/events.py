@@ -88,6 +88,42 @@ def search(events: DataFrame, systems: DataFrame, s: Search) -> DataFrame:
     return found.orderBy(key, "id").offset((max(s.page, 1) - 1) * limit).limit(limit)
 
 
+def page_info(found: DataFrame, s: Search) -> DataFrame:
+    """One row for a page of ``found``, the matching rows: total, page, page_size, has_more."""
+    page, limit = max(s.page, 1), min(max(s.limit, 1), MOST_PAGE)
+    total = F.count(F.lit(1)).alias("total")
+    return found.agg(total).select("total", F.lit(page).alias("page"), F.lit(limit).alias("page_size"), (F.col("total") > page * limit).alias("has_more"))
+
+
+def external_matching(hits: DataFrame, s: Search) -> DataFrame:
+    """Hits of an external index. Severities are a list; other fields must equal the whole given value.
+
+    ``contains`` takes * and ? as wildcards, in either case; any other mode asks for all words of the text.
+    """
+    out: list[Column] = []
+    if v := listed(s.severity):
+        out.append(F.col("severity").isin([x.lower() for x in v]))
+    out += [F.col(c) == v for c in (*EXACT, "service", "trace_id") if (v := getattr(s, c)) and c in hits.columns]
+    out += [F.col("timestamp") >= F.lit(t) for t in (instant(s.since),) if t]
+    out += [F.col("timestamp") <= F.lit(t) for t in (instant(s.until),) if t]
+    if text := (s.text or "").strip():
+        if s.mode == "contains":
+            out.append(F.col("message").ilike(f"%{escape_like(text).replace('*', '%').replace('?', '_')}%"))
+        else:
+            words = F.split(F.lower("message"), r"[^\p{L}\p{N}]+")
+            asked = F.filter(F.split(F.lower(F.lit(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+            out.append(F.size(F.array_except(asked, words)) == 0)
+    return reduce(lambda df, c: df.filter(c), [*out, *s.extra], hits)
+
+
+def external_search(hits: DataFrame, s: Search) -> DataFrame:
+    """One page of an external index, in the order of :func:`search`."""
+    by = s.sort if s.sort in SORTABLE else "timestamp"
+    limit = min(max(s.limit, 1), MOST_PAGE)
+    key = F.col(by).asc() if s.ascending else F.col(by).desc()
+    return external_matching(hits, s).orderBy(key, "id").offset((max(s.page, 1) - 1) * limit).limit(limit)
+
+
 def after(events: DataFrame, timestamp: Column, row_id: Column, limit: int) -> DataFrame:
     """Keyset paging: the next rows in the order of (timestamp, id)."""
     later = (F.col("timestamp") > timestamp) | ((F.col("timestamp") == timestamp) & (F.col("id") > row_id))
@@ -140,6 +176,18 @@ def with_metadata(hits: DataFrame, metadata: DataFrame) -> DataFrame:
     return hits.drop("acknowledged_at", "template_id").join(side, ["system_id", "id"], "left")
 
 
+def external_scores(scores: DataFrame, metadata: DataFrame, system_id: int, least: float = 0.0, limit: int = 100) -> DataFrame:
+    """Scores of a system's unacknowledged external events, greatest first. Scores have no system: the side table gives it."""
+    own = metadata.filter((F.col("system_id") == system_id) & F.col("acknowledged_at").isNull()).select("system_id", "event_id")
+    return scores.filter(F.col("score") >= least).join(own, "event_id").orderBy(F.desc("score"), "event_id", "criterion_id").limit(limit)
+
+
+def backfilled(metadata: DataFrame, scores: DataFrame, now: Column) -> DataFrame:
+    """The side table with scored_at set for events that have scores and no mark yet."""
+    known = scores.select("event_id").distinct().withColumn("_known", F.lit(True))
+    return metadata.join(known, "event_id", "left").withColumn("scored_at", F.when(F.col("_known"), F.coalesce("scored_at", now)).otherwise(F.col("scored_at"))).drop("_known")
+
+
 def by_ids(sources: Sequence[DataFrame], ids: Sequence[str], most: int = 50) -> DataFrame:
     """The chosen rows of all sources, newest first."""
     picked = [s.filter(F.col("id").isin(list(ids)[:most])) for s in sources]

@@ -48,6 +48,34 @@ def usage_totals(usage: DataFrame) -> DataFrame:
     return usage.groupBy("run_type").agg(F.count(F.lit(1)).alias("n"), F.sum("token_input").alias("token_input"), F.sum("token_output").alias("token_output"), F.sum("cost").alias("cost"))
 
 
+def usage_sums(usage: DataFrame, since: Column | None = None, until: Column | None = None, system_id: int | None = None) -> DataFrame:
+    """One row of sums over all rows of a filter, whatever page is shown; rows without a cost add none."""
+    df = newest(usage, {"system_id": system_id}, since, until, most=None)
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("token_input", "token_output", "request_count") if c in usage.columns]
+    return df.agg(*sums, F.sum("cost").alias("cost"))
+
+
+def newest(rows: DataFrame, equal: dict[str, object], since: Column | None = None, until: Column | None = None, most: int | None = 100) -> DataFrame:
+    """A filtered list, newest first, of ``most`` rows (1 to 500; None: all, unsorted). A null value filters nothing, a list means any of it."""
+    for name, value in equal.items():
+        if value is not None:
+            rows = rows.filter(F.col(name).isin(value) if isinstance(value, (list, tuple)) else F.col(name) == value)
+    if since is not None:
+        rows = rows.filter(F.col("created_at") >= since)
+    if until is not None:
+        rows = rows.filter(F.col("created_at") <= until)
+    return rows if most is None else rows.orderBy(F.desc("created_at"), "id").limit(min(max(most, 1), 500))
+
+
+def table_counts(**tables: DataFrame) -> DataFrame:
+    """One row with the number of rows of each table."""
+    parts = [df.select(F.lit(n).alias("name")) for n, df in tables.items()]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionAll(p)
+    return every.agg(*[F.count_if(F.col("name") == n).alias(n) for n in tables])
+
+
 def usage_daily(usage: DataFrame, days: int = 30) -> DataFrame:
     """The newest days with their sums."""
     d = usage.groupBy(F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("token_input").alias("token_input"), F.sum("token_output").alias("token_output"), F.sum("cost").alias("cost"))

@@ -30,6 +30,18 @@ def blend(meta: Column, highest: Column, w_meta: float = 0.7) -> Column:
     return F.lit(w_meta) * meta + F.lit(1 - w_meta) * highest
 
 
+def scores_of_both(events: DataFrame, metadata: DataFrame, scores: DataFrame) -> DataFrame:
+    """system_id, timestamp, criterion_id, score of unacknowledged events, own ones and those an external index holds.
+
+    ``metadata``: system_id, event_id, event_timestamp, acknowledged_at of external events. Both kinds meet
+    the scores in one join.
+    """
+    own = events.filter("acknowledged_at is null").select("system_id", F.col("id").cast("string").alias("event_id"), "timestamp")
+    far = metadata.filter("acknowledged_at is null").select("system_id", F.col("event_id").cast("string").alias("event_id"), F.col("event_timestamp").alias("timestamp"))
+    s = scores.filter("score_type = 'event'").select(F.col("event_id").cast("string").alias("event_id"), "criterion_id", "score")
+    return own.unionByName(far).join(s, "event_id").select("system_id", "timestamp", "criterion_id", "score")
+
+
 def window_max(windows: DataFrame, scored_events: DataFrame, closed: bool = False, bucket: int = HOUR, criteria: tuple[int, ...] = (1, 2, 3, 4, 5, 6)) -> DataFrame:
     """window_id, system_id, criterion_id, highest: the greatest event score in each window, 0 where there is none.
 
@@ -101,6 +113,20 @@ def zero_rows(windows: DataFrame) -> DataFrame:
     return windows.select("window_id", "system_id", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("criterion_id"), *[F.lit(0.0).alias(c) for c in ("meta_score", "highest", "effective")])
 
 
+def manual_window(events: DataFrame, system_id: int, now: Column, days: int = 7, most: int = 500) -> DataFrame:
+    """The events of a window asked for by hand: the first ``most`` unacknowledged ones of the last days, with the window's bounds."""
+    start = micros(now) - days * 24 * HOUR
+    inside = micros("timestamp").between(start, micros(now)) & F.col("acknowledged_at").isNull() & (F.col("system_id") == system_id)
+    return events.filter(inside).orderBy("timestamp", "id").limit(most).withColumns({"from_ts": F.timestamp_micros(start), "to_ts": now})
+
+
+def forgotten(stored: DataFrame, system_id: int, window_id: int, w_meta: float = 0.7) -> DataFrame:
+    """Effective scores after a window asked for by hand: the system's other windows lose their meta score."""
+    other = (F.col("system_id") == system_id) & (F.col("window_id") != window_id)
+    again = blend(F.lit(0.0), F.col("highest"), w_meta)
+    return stored.withColumns({"effective": F.when(other, again).otherwise(F.col("effective")), "meta_score": F.when(other, 0.0).otherwise(F.col("meta_score"))})
+
+
 def all_zero(windows: DataFrame, scored_events: DataFrame) -> DataFrame:
     """window_id and whether all its event scores are 0, also if it has none."""
     return window_max(windows, scored_events).groupBy("window_id").agg((F.max("highest") == 0).alias("all_zero"))

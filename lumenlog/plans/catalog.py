@@ -843,6 +843,121 @@ def multiline_generic(v: Views) -> DataFrame:
     return multiline.by_second(_literal(v, rows)).select("host", "message")
 
 
+# External events
+
+
+@query("SELECT id, us AS timestamp_us, host FROM log_events WHERE severity IN ('error', 'warning', 'notice') AND host = 'host-3' AND us >= 1704412800000000 AND list_has_all(regexp_extract_all(lower(message), '[a-z0-9]+'), ['user', 'from']) ORDER BY us DESC, id LIMIT 20 OFFSET 20", "log_events")
+def external_search_page(v: Views) -> DataFrame:
+    s = ev.Search(text=" FROM, user ", mode="match", severity="Error, warning,notice", host="host-3", since="2024-01-05T00:00:00Z", page=2, limit=20)
+    return us(ev.external_search(v.log_events, s).select("id", "timestamp", "host"), "timestamp")
+
+
+@query("SELECT id FROM log_events WHERE message ILIKE '%user 1_3 from 10%.7 props%'", "log_events")
+def external_search_wildcards(v: Views) -> DataFrame:
+    return ev.external_matching(v.log_events, ev.Search(text="USER 1?3 from 10*.7 props")).select("id")
+
+
+@query("SELECT count(*) AS n FROM log_events WHERE host = 'host-1,host-2'", "log_events")
+def external_search_no_lists(v: Views) -> DataFrame:
+    return ev.external_matching(v.log_events, ev.Search(host="host-1,host-2")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT total, 2 AS page, 50 AS page_size, total > 100 AS has_more FROM (SELECT count(*) AS total FROM log_events WHERE severity = 'error')", "log_events")
+def event_page_info(v: Views) -> DataFrame:
+    s = ev.Search(severity="error", page=2, limit=50)
+    return ev.page_info(ev.matching(v.log_events, s), s)
+
+
+def side_table(v: Views) -> DataFrame:
+    """Metadata of external events: every other event."""
+    return v.log_events.filter("id % 2 = 1").select("system_id", F.col("id").alias("event_id"), F.col("timestamp").alias("event_timestamp"), "acknowledged_at", "scored_at")
+
+
+@query("SELECT s.event_id, s.criterion_id, s.score FROM scores s JOIN log_events l ON l.id = s.event_id WHERE l.system_id = 2 AND l.id % 2 = 1 AND NOT l.acked AND s.score >= 0.5 ORDER BY s.score DESC, s.event_id, s.criterion_id LIMIT 300", "scores", "log_events")
+def external_event_scores(v: Views) -> DataFrame:
+    return ev.external_scores(v.scores, side_table(v), 2, 0.5, 300).select("event_id", "criterion_id", F.col("score").cast("double").alias("score"))
+
+
+@query("SELECT id AS event_id, is_scored OR EXISTS (SELECT 1 FROM scores s WHERE s.event_id = l.id AND s.score > 0.99) AS scored FROM log_events l WHERE id % 2 = 1", "log_events", "scores")
+def scored_at_backfill(v: Views) -> DataFrame:
+    return ev.backfilled(side_table(v), v.scores.filter("score > 0.99"), v.now).select("event_id", F.col("scored_at").isNotNull().alias("scored"))
+
+
+@query("SELECT h.system_id, h.wno, h.criterion_id, h.highest FROM hourly h", "hourly")
+def recalc_both_paths(v: Views) -> DataFrame:
+    """Even ids are own events, odd ones external: together they give what all events give."""
+    both = wi.scores_of_both(v.log_events.filter("id % 2 = 0"), side_table(v), v.scores)
+    best = wi.window_max(v.windows, both).filter("highest > 0").join(v.windows.select("window_id", "wno"), "window_id")
+    return best.select("system_id", "wno", "criterion_id", F.col("highest").cast("double").alias("highest"))
+
+
+# Windows asked for by hand, lists, sums
+
+
+@query(f"SELECT id, {NOW_US} - 7 * 86400000000 AS from_ts_us, {NOW_US} AS to_ts_us FROM log_events WHERE system_id = 1 AND NOT acked AND us BETWEEN {NOW_US} - 7 * 86400000000 AND {NOW_US} ORDER BY us, id LIMIT 500", "log_events")
+def manual_window_events(v: Views) -> DataFrame:
+    return us(wi.manual_window(v.log_events, 1, v.now).select("id", "from_ts", "to_ts"), "from_ts", "to_ts")
+
+
+@query("""SELECT window_id, criterion_id, round(CASE WHEN o THEN 0 ELSE meta_score END, 9) AS meta_score, round(CASE WHEN o THEN 0.3 * highest ELSE effective END, 9) AS effective
+    FROM (SELECT *, system_id = 1 AND window_id <> (SELECT max(window_id) FROM windows_h WHERE system_id = 1) AS o FROM effective)""", "effective")
+def manual_window_forgets(v: Views) -> DataFrame:
+    kept = wi.latest_windows(v.windows.filter("system_id = 1")).first()
+    return rounded(wi.forgotten(v.effective, 1, kept.window_id if kept else -1).select("window_id", "criterion_id", "meta_score", "effective"), "meta_score", "effective")
+
+
+@query("SELECT id, status FROM findings WHERE system_id = 2 AND status IN ('open', 'acknowledged') ORDER BY created_us DESC, id LIMIT 500", "findings")
+def findings_list(v: Views) -> DataFrame:
+    return reports.newest(v.whole_findings, {"system_id": 2, "status": ["open", "acknowledged"], "severity": None}, most=9999).select("id", "status")
+
+
+@query("SELECT id, model FROM usage WHERE run_type = 'meta' AND created_at <= TIMESTAMP '1997-01-01' ORDER BY created_at DESC, id LIMIT 100", "usage")
+def usage_list(v: Views) -> DataFrame:
+    return reports.newest(v.usage, {"run_type": "meta"}, until=F.lit("1997-01-01 00:00:00").cast("timestamp")).select("id", "model")
+
+
+@query("SELECT CAST(sum(token_input) AS BIGINT) AS token_input, CAST(sum(token_output) AS BIGINT) AS token_output, round(sum(cost), 6) AS cost FROM priced WHERE created_at >= TIMESTAMP '1995-01-01'", "priced")
+def usage_sums(v: Views) -> DataFrame:
+    return reports.usage_sums(reports.with_cost(v.usage, PRICES), F.lit("1995-01-01 00:00:00").cast("timestamp")).withColumn("cost", F.round("cost", 6))
+
+
+@query("SELECT (SELECT count(*) FROM events) AS events, (SELECT count(*) FROM scores) AS scores, (SELECT count(*) FROM documents) AS findings", "scores")
+def table_counts(v: Views) -> DataFrame:
+    return reports.table_counts(events=v.log_events, scores=v.scores, findings=v.whole_findings)
+
+
+@query("SELECT event_id AS id, greatest(" + ", ".join(f"((event_id * {7 * i + 3}) % 101) / 100.0" for i in CRITERIA) + ") AS highest FROM events")
+def max_of_six(v: Views) -> DataFrame:
+    wide = v.table("events").select(F.col("event_id").alias("id"), *[(((F.col("event_id") * (7 * i + 3)) % 101) / 100.0).alias(n) for i, n in CRITERIA.items()])
+    return wide.select("id", scoring.max_score().alias("highest"))
+
+
+@query("SELECT id, is_scored OR id % 5 = 0 AS scored, CASE WHEN id % 5 = 0 THEN 'p' || id ELSE template_id END AS template_id FROM log_events", "log_events")
+def marked_scored(v: Views) -> DataFrame:
+    done = v.log_events.filter("id % 5 = 0").select("id", F.concat(F.lit("p"), "id").alias("pattern_hash"))
+    return scoring.marked_scored(v.log_events, done, v.now).select("id", F.col("scored_at").isNotNull().alias("scored"), "template_id")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN '3' ELSE (doc_id % 7) || ',3' END AS found FROM documents")
+def finding_references(v: Views) -> DataFrame:
+    i = (F.col("doc_id") % 7).cast("string")
+    text = F.concat(F.lit("see ["), i, F.lit("], [3] and again ["), i, F.lit("], not [x] or [4"))
+    return v.table("documents").select("doc_id", F.array_join(sim.event_references(text).cast("array<string>"), ",").alias("found"))
+
+
+@query("SELECT r.r_regionkey AS id, r.r_name AS name, coalesce((SELECT array_to_string(list_sort(list(DISTINCT n_name)), ',') FROM nation WHERE n_regionkey = r.r_regionkey AND n_nationkey % 5 <> 1), '') AS permissions FROM region r")
+def role_permissions(v: Views) -> DataFrame:
+    roles = v.table("region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
+    own = v.table("nation").filter("n_nationkey % 5 <> 1").select(F.col("n_regionkey").alias("role_id"), F.col("n_name").alias("permission"))
+    return reports.permissions_by_role(roles, own).withColumn("permissions", F.array_join("permissions", ","))
+
+
+@query("SELECT id, CASE WHEN id % 2 = 0 AND status = 'open' THEN 'acknowledged' ELSE status END AS status FROM findings", "findings")
+def finding_acknowledged(v: Views) -> DataFrame:
+    f = v.whole_findings.withColumn("acknowledged_at", F.lit(None).cast("timestamp"))
+    return fi.transitioned(f, f.filter("id % 2 = 0"), "acknowledged", ("open",), "acknowledged_at", v.now).select("id", "status")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, q=q: q.run(Views(spark, sf_dir))) for name, q in CATALOG.items()}
 
