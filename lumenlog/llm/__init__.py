@@ -1,4 +1,4 @@
-"""Training-data operators: ten large-scale text operators and the tables they share.
+"""Training-data operators: thirteen large-scale operators and the tables they share.
 
 Nothing else in the library imports this subpackage.
 """

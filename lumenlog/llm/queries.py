@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, jaccard_join, licenses, media, packing, quality, secrets, sharding, toxicity
+from . import chat, clustering, decontaminate, exact_dedup, jaccard_join, licenses, media, packing, quality, repair, secrets, sharding, toxicity
 from .common import table
+from .oracles import COPIES_SQL, clustering_sql, repair_sql
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +51,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.copies(table(spark, sf_dir, "documents"))
+
+
 # The columns of the same results that SQL can give.
 
 
@@ -82,6 +95,9 @@ LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 PHRASE = "len(list_filter(range(1, len(w) + 1), lambda i: list_slice(w, i, i + {n} - 1) = {words}))"
 PHRASES = (["under", "the", "mit", "license"], ["apache", "license", "version", "2"], ["cc", "by", "nc"])
 SQL = {
+    "op11_centroid_clustering": clustering_sql(),
+    "op12_conversation_repair": repair_sql(),
+    "op13_exact_dedup": COPIES_SQL,
     "base_sharding": "SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, 'rows' AS law FROM documents",
     "base_shard_rows": "SELECT shard, n, 0 AS first, n - 1 AS last, n AS slots FROM (SELECT s AS shard, c * (s + 1) // 8 - c * s // 8 AS n FROM range(8) r(s), (SELECT count(*) AS c FROM documents))",
     "base_media": "SELECT doc_id, n_bytes, n_bytes + pad AS payload_bytes, sha256(t || repeat(chr(0), pad)) AS payload_sha256 FROM (SELECT doc_id, t, n_bytes, CAST(CASE WHEN n_bytes = 0 THEN 64 ELSE (64 - n_bytes % 64) % 64 END AS INTEGER) AS pad FROM (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, '')) AS n_bytes FROM documents))",
@@ -93,7 +109,7 @@ SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_sharding, op2_media_columns, op3_chat_formatting, op4_license_scan, op5_ngram_jaccard_join, op6_best_fit_packing, op7_secret_scan, op8_quality, op9_toxicity, op10_decontamination, base_sharding, base_shard_rows, base_media, base_licenses, base_shingles, base_secrets)
+    own = (op1_sharding, op2_media_columns, op3_chat_formatting, op4_license_scan, op5_ngram_jaccard_join, op6_best_fit_packing, op7_secret_scan, op8_quality, op9_toxicity, op10_decontamination, op11_centroid_clustering, op12_conversation_repair, op13_exact_dedup, base_sharding, base_shard_rows, base_media, base_licenses, base_shingles, base_secrets)
     return {f.__name__: f for f in own}
 
 
