@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.regexes import escape_like
+from . import fulltext
 
 #: Columns a search may be sorted by.
 SORTABLE = ("timestamp", "severity", "host", "source_ip", "program", "service")
@@ -70,13 +71,15 @@ def conditions(events: DataFrame, s: Search) -> list[Column]:
         out.append(F.col("timestamp") >= F.lit(t))
     if t := instant(s.until):
         out.append(F.col("timestamp") <= F.lit(t))
-    if s.text:
-        out.append(full_text("message", s.text) if s.mode == "fulltext" else F.col("message").ilike(f"%{escape_like(s.text)}%"))
+    if s.text and s.mode != "fulltext":
+        out.append(F.col("message").ilike(f"%{escape_like(s.text)}%"))
     return [*out, *s.extra]
 
 
 def matching(events: DataFrame, s: Search) -> DataFrame:
-    return reduce(lambda df, c: df.filter(c), conditions(events, s), events)
+    """The rows of a search; full text looks at the words of what the other conditions leave."""
+    found = reduce(lambda df, c: df.filter(c), conditions(events, s), events)
+    return fulltext.matching(found, s.text) if s.text and s.mode == "fulltext" else found
 
 
 def search(events: DataFrame, systems: DataFrame, s: Search) -> DataFrame:
@@ -276,41 +279,3 @@ def normalized_hash(millis: str = "timestamp") -> Column:
 
     parts = [iso_millis(F.col(millis)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("message", "host", "source_ip", "service", "program", "facility")]]
     return F.sha2(F.concat_ws("\0", *parts), 256)
-
-
-# Full text: stemmed words, "quoted phrases", OR and -excluded terms.
-
-SUFFIXES = r"(?:ations|ation|ingly|edly|ings|ing|ies|ied|ers|er|ed|es|s|ly)\z"
-
-
-def stems(c: Column | str) -> Column:
-    """Lower-cased words with common English endings taken off where three letters stay."""
-    words = F.filter(F.split(F.lower(F.col(c) if isinstance(c, str) else c), r"[^a-z0-9]+"), lambda w: w != "")
-    return F.transform(words, stem)
-
-
-def stem(w: Column) -> Column:
-    cut = F.regexp_replace(w, SUFFIXES, "")
-    return F.when((F.length(cut) >= 3) & ~w.rlike(r"ss\z"), F.regexp_replace(cut, r"(.)\1\z", "$1")).otherwise(w)
-
-
-def full_text(message: Column | str, query: str) -> Column:
-    """A web-search query over stemmed words: all terms, phrases in order, OR between terms, - before what must be absent."""
-    import re
-
-    held = stems(message)
-    joined = F.concat(F.lit(" "), F.array_join(held, " "), F.lit(" "))
-
-    def term(text: str) -> Column:
-        phrase = F.array_join(stems(F.lit(text)), " ")
-        return joined.contains(F.concat(F.lit(" "), phrase, F.lit(" ")))
-
-    alternatives: list[list[Column]] = [[]]
-    for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query):
-        if word.upper() == "OR" and not minus:
-            alternatives.append([])
-        elif re.search(r"[A-Za-z0-9]", phrase or word):
-            found = term(phrase or word)
-            alternatives[-1].append(~found if minus else found)
-    groups = [reduce(lambda a, b: a & b, g) for g in alternatives if g]
-    return reduce(lambda a, b: a | b, groups) if groups else F.lit(True)

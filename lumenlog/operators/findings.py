@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import severity as sev, similarity as sim
+from . import pairs
+from ..storage import stored
 
 #: Phrases by which evidence contradicts a resolution.
 CONTRADICTIONS = ("still occurring", "still active", "still present", "continues to", "not resolved", "unresolved", "persists", "ongoing", "no evidence of resolution", "remains")
@@ -19,7 +19,9 @@ def same_criterion(a: Column, b: Column) -> Column:
 
 
 def fingerprinted(findings: DataFrame, text: str = "text") -> DataFrame:
-    return findings.withColumns({"tokens": sim.tokens(sim.normal_form(F.col(text))), "fingerprint": sim.fingerprint(F.col(text))})
+    """Adds tokens and fingerprint, both of one normal form; a null text is empty."""
+    df = findings.withColumn("tokens", sim.tokens(sim.normal_form(F.coalesce(text, F.lit("")))))
+    return df.withColumn("fingerprint", sim.fingerprint_of("tokens"))
 
 
 def candidate_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -64,78 +66,95 @@ def cosine_pairs(a: DataFrame, b: DataFrame, threshold: float = 0.0) -> DataFram
 DECISION = "system_id long, seq long, action string, open_id long, escalated string"
 
 
+def candidates(new: DataFrame, opened: DataFrame, threshold: float, most: int) -> DataFrame:
+    """system_id, seq, open_id, open_severity, place: the open findings a new one may be matched with, the first choice first.
+
+    The first with its fingerprint, then its best TF-IDF match (where a system has three open findings or
+    more), then those alike by Jaccard in the order of their ids. A batch takes less than ``most`` open
+    findings before any of its own, so no more than that many of each kind are needed. Open findings are
+    compared in blocks and as distinct token sets, never as a whole system.
+    """
+    keys = opened.select("system_id", F.col("id").alias("open_id"), F.col("severity").alias("open_severity"), F.col("criterion_slug").alias("open_slug"))
+    n = new.select("system_id", "seq", "criterion_slug")
+    fits = same_criterion(F.col("criterion_slug"), F.col("open_slug"))
+
+    same = opened.select("system_id", "fingerprint", F.col("id").alias("open_id"), F.col("criterion_slug").alias("open_slug"))
+    first = same.groupBy("system_id", "fingerprint", "open_slug").agg(F.min("open_id").alias("open_id"))
+    by_print = new.select("system_id", "seq", "criterion_slug", "fingerprint").join(first, ["system_id", "fingerprint"]).filter(fits).groupBy("system_id", "seq").agg(F.min("open_id").alias("open_id")).withColumn("kind", F.lit(0))
+
+    # Best by cosine among all open findings; equal ones (to 12 digits) go by id. Criteria are looked at afterwards.
+    weights = idf(opened)
+    left = pairs.weighted_terms(weighted(new.select("system_id", F.col("seq").alias("id"), "tokens"), weights))
+    right = pairs.weighted_terms(weighted(opened, weights))
+    many = opened.groupBy("system_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").select("system_id")
+    near = pairs.similar(left, right, threshold - 1e-12, weighted=True).select("system_id", F.col("a_id").alias("seq"), F.col("b_id").alias("open_id"), F.round("similarity", 12).alias("score"))
+    best = near.filter(F.col("score") >= threshold).groupBy("system_id", "seq").agg(F.max_by("open_id", F.struct("score", -F.col("open_id"))).alias("open_id"))
+    by_cosine = best.join(many, "system_id", "left_semi").join(n, ["system_id", "seq"]).join(keys, ["system_id", "open_id"]).filter(fits).select("system_id", "seq", "open_id", F.lit(1).alias("kind"))
+
+    own_sets, own = pairs.classes(pairs.token_terms(new.select("system_id", F.col("seq").alias("id"), "tokens"), empty_alike=True))
+    open_sets, members = pairs.classes(pairs.token_terms(opened, empty_alike=True))
+    alike = pairs.similar(own_sets, open_sets, threshold).select("system_id", F.col("a_id").alias("own_set"), F.col("b_id").alias("open_set"))
+    early = members.select("system_id", F.col("set_id").alias("open_set"), F.col("id").alias("open_id")).join(keys.select("system_id", "open_id", "open_slug"), ["system_id", "open_id"])
+    early = early.withColumn("at", F.row_number().over(W.partitionBy("system_id", "open_set", "open_slug").orderBy("open_id"))).filter(F.col("at") <= most).drop("at")
+    met = own.select("system_id", F.col("set_id").alias("own_set"), F.col("id").alias("seq")).join(n, ["system_id", "seq"]).join(alike, ["system_id", "own_set"]).join(early, ["system_id", "open_set"]).filter(fits)
+    by_words = met.withColumn("at", F.row_number().over(W.partitionBy("system_id", "seq").orderBy("open_id"))).filter(F.col("at") <= most).select("system_id", "seq", "open_id", F.lit(2).alias("kind"))
+
+    found = by_print.select("system_id", "seq", "open_id", "kind").unionByName(by_cosine).unionByName(by_words)
+    return found.join(keys.select("system_id", "open_id", "open_severity"), ["system_id", "open_id"]).groupBy("system_id", "seq").agg(F.array_sort(F.collect_list(F.struct("kind", "open_id", "open_severity"))).alias("choices"))
+
+
+def decided(key: tuple, batch: pd.DataFrame, threshold: float, most_new: int) -> pd.DataFrame:
+    """The decisions of one batch, in the order of seq; its rows carry their tokens and their choices among open findings."""
+    rank = lambda s: sev.FINDING_RANKS.get(s, 1)
+    fit = lambda x, y: not x or not y or x == y
+
+    def alike(x: frozenset, y: frozenset) -> float:
+        return 1.0 if not x and not y else len(x & y) / len(x | y)
+
+    out, kept = [], []
+    for r in sorted(batch.to_dict("records"), key=lambda r: r["seq"]):
+        r["words"] = frozenset(() if r["tokens"] is None else r["tokens"])
+        at = next((i for i, k in enumerate(kept) if fit(r["criterion_slug"], k["criterion_slug"]) and alike(r["words"], k["words"]) >= threshold), None)
+        if at is None:
+            kept.append(r)
+        elif rank(r["severity"]) > rank(kept[at]["severity"]):
+            out.append((kept[at]["seq"], "duplicate", None, None))
+            kept[at] = r
+        else:
+            out.append((r["seq"], "duplicate", None, None))
+    taken: set[int] = set()
+    fresh = []
+    for r in kept:
+        choice = next((c for c in (() if r["choices"] is None else r["choices"]) if c["open_id"] not in taken), None)
+        if choice is None:
+            fresh.append(r)
+        else:
+            taken.add(choice["open_id"])
+            out.append((r["seq"], "update", choice["open_id"], r["severity"] if rank(r["severity"]) > rank(choice["open_severity"]) else None))
+    for i, r in enumerate(sorted(fresh, key=lambda r: -rank(r["severity"])) if len(fresh) > most_new else fresh):
+        out.append((r["seq"], "insert" if i < most_new else "capped", None, None))
+    return pd.DataFrame([(key[0], *o) for o in out], columns=["system_id", "seq", "action", "open_id", "escalated"]).astype({"open_id": "Int64"})
+
+
 def deduplicated(new: DataFrame, open_findings: DataFrame, threshold: float = 0.5, most_new: int = 5) -> DataFrame:
     """What becomes of each new finding: insert, update (with open_id and a raised severity), duplicate or capped.
 
-    Greedy and in the order of ``seq``, system by system: the batch against itself by Jaccard (the more
-    severe stays), then against open findings by fingerprint, by the best TF-IDF match (with three open
-    findings or more), by Jaccard. An open finding is matched once. ``new``: system_id, seq, text,
-    severity, criterion_slug; ``open_findings``: system_id, id, text, severity, criterion_slug, status.
-    New findings of a window and open ones are capped, so a system's rows are few.
+    ``new``: system_id, seq (unlike any other of its system), text, severity, criterion_slug and optionally
+    ``batch``: what one analysis of one window returned, which is decided together. A batch is greedy in the
+    order of ``seq``: first against itself by Jaccard (the more severe stays), then each takes the first of
+    its choices among the open findings that the batch has not taken. ``open_findings``: system_id, id, text,
+    severity, criterion_slug, status. Batches do not see each other's decisions.
+
+    Similarities are worked out by joins over all findings; one task decides a batch, from its own rows and
+    at most as many choices each as the batch has rows.
     """
-    a = fingerprinted(new).select("system_id", "seq", "severity", "criterion_slug", "tokens", "fingerprint")
-    b = fingerprinted(open_findings.filter("status = 'open'")).select("system_id", "id", F.col("severity").alias("open_severity"), F.col("criterion_slug").alias("open_slug"), "tokens", "fingerprint")
-    # Both sides may come from one table: columns of the same name would be taken for one another.
-
-    def greedy(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rank = lambda s: sev.FINDING_RANKS.get(s, 1)
-        agrees = lambda x, y: not x or not y or x == y
-
-        def alike(x, y) -> float:
-            x, y = set(x), set(y)
-            return 1.0 if not x and not y else len(x & y) / len(x | y)
-
-        rows = sorted(left.to_dict("records"), key=lambda r: r["seq"])
-        opened = sorted(right.to_dict("records"), key=lambda r: r["id"])
-        out, batch = [], []
-        for r in rows:
-            at = next((i for i, k in enumerate(batch) if agrees(r["criterion_slug"], k["criterion_slug"]) and alike(r["tokens"], k["tokens"]) >= threshold), None)
-            if at is None:
-                batch.append(r)
-            elif rank(r["severity"]) > rank(batch[at]["severity"]):
-                out.append((batch[at]["seq"], "duplicate", None, None))
-                batch[at] = r
-            else:
-                out.append((r["seq"], "duplicate", None, None))
-        n = len(opened)
-        df: dict[str, int] = {}
-        for o in opened:
-            for t in set(o["tokens"]):
-                df[t] = df.get(t, 0) + 1
-        known = {t: math.log((n + 1) / (1 + c)) + 1 for t, c in df.items()}
-
-        def vector(tokens) -> dict[str, float]:
-            tokens = list(tokens)
-            return {t: tokens.count(t) / len(tokens) * known.get(t, 1.0) for t in set(tokens)}
-
-        def cosine(x: dict, y: dict) -> float:
-            size = math.sqrt(sum(v * v for v in x.values())) * math.sqrt(sum(v * v for v in y.values()))
-            return sum(v * y.get(t, 0.0) for t, v in x.items()) / size if size else 0.0
-
-        vectors = [vector(o["tokens"]) for o in opened]
-        taken: set[int] = set()
-        fresh = []
-        for r in batch:
-            match = next((o for o in opened if o["fingerprint"] == r["fingerprint"] and agrees(r["criterion_slug"], o["open_slug"])), None)
-            if match is not None and match["id"] in taken:
-                match = None
-            if match is None and n >= 3:
-                scores = [cosine(vector(r["tokens"]), v) for v in vectors]
-                best = max(range(n), key=lambda i: (scores[i], -i))
-                if scores[best] >= threshold and scores[best] > 0 and agrees(r["criterion_slug"], opened[best]["open_slug"]) and opened[best]["id"] not in taken:
-                    match = opened[best]
-            if match is None:
-                match = next((o for o in opened if o["id"] not in taken and agrees(r["criterion_slug"], o["open_slug"]) and alike(r["tokens"], o["tokens"]) >= threshold), None)
-            if match is None:
-                fresh.append(r)
-            else:
-                taken.add(match["id"])
-                out.append((r["seq"], "update", match["id"], r["severity"] if rank(r["severity"]) > rank(match["open_severity"]) else None))
-        for i, r in enumerate(sorted(fresh, key=lambda r: -rank(r["severity"])) if len(fresh) > most_new else fresh):
-            out.append((r["seq"], "insert" if i < most_new else "capped", None, None))
-        return pd.DataFrame([(key[0], *o) for o in out], columns=["system_id", "seq", "action", "open_id", "escalated"]).astype({"open_id": "Int64"})
-
-    return a.groupBy("system_id").cogroup(b.groupBy("system_id")).applyInPandas(greedy, DECISION)
+    batch = F.col("batch").cast("long") if "batch" in new.columns else F.lit(0).cast("long")
+    a = stored(fingerprinted(new).select("system_id", "seq", batch.alias("batch"), "severity", "criterion_slug", "tokens", "fingerprint"), "new-findings")
+    b = stored(fingerprinted(open_findings.filter("status = 'open'")).select("system_id", "id", "severity", "criterion_slug", "tokens", "fingerprint"), "open-findings")
+    most = a.groupBy("system_id", "batch").count().agg(F.max("count")).head()[0] or 1
+    choices = candidates(a, b, threshold, most)
+    rows = a.join(choices, ["system_id", "seq"], "left").select("system_id", "batch", "seq", "severity", "criterion_slug", "tokens", "choices")
+    return rows.groupBy("system_id", "batch").applyInPandas(lambda key, group: decided(key, group, threshold, most_new), DECISION)
 
 
 def updated(findings: DataFrame, decisions: DataFrame, now: Column) -> DataFrame:

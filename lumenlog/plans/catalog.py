@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import addresses, masking, severity as sev, similarity as sim, templates as tpl, timefix
-from ..operators import alerting, discovery as di, events as ev, findings as fi, ingest as ing, meta, multiline, normal, pairs, reports, routing, scoring, windows as wi
+from ..operators import alerting, discovery as di, events as ev, findings as fi, fulltext, ingest as ing, meta, multiline, normal, pairs, reports, routing, scoring, windows as wi
 from ..schema import CRITERIA
+from ..storage import stored
 from .views import NOW_US, PRICES, Views, with_views
 
 
@@ -109,6 +110,18 @@ def external_metadata(v: Views) -> DataFrame:
     return ev.with_metadata(v.log_events, side).select("id", "template_id", F.col("acknowledged_at").isNotNull().alias("acked"))
 
 
+@query("SELECT id FROM log_events WHERE program = 'purchase' OR (contains(message, ' user 12 from 10 ') OR contains(message, ' user 12 from 10.')) AND program <> 'view'", "log_events")
+def event_full_text(v: Views) -> DataFrame:
+    """Stems, a phrase over a stop word, OR and an absent word."""
+    return ev.matching(v.log_events, ev.Search(text='purchasing OR "USERS 12 at 10" -views', mode="fulltext")).select("id")
+
+
+@query("SELECT id FROM log_events WHERE program IN ('error', 'signup') AND contains(message, ' user 7 ')", "log_events")
+def event_full_text_index(v: Views) -> DataFrame:
+    """The same by an index of positions."""
+    return fulltext.indexed(fulltext.postings(v.log_events), 'errors "user 7" OR "signups user 7"')
+
+
 @query()
 def full_text_search(v: Views) -> DataFrame:
     return ev.matching(v.table("documents").select("doc_id", F.col("text").alias("message")), ev.Search(text='"the and" OR licensing -token', mode="fulltext")).select("doc_id")
@@ -574,13 +587,19 @@ def jaccard_pairs(v: Views) -> DataFrame:
 @query()
 def jaccard_pairs_whole(v: Views) -> DataFrame:
     """``jaccard_pairs`` of all findings, whatever their ids and characters; SQL would compare every pair of rows."""
-    found = pairs.similar(pairs.token_terms(fi.fingerprinted(v.whole_findings)), None, 0.3 - 1e-9)
+    found = pairs.similar_members(stored(pairs.token_terms(fi.fingerprinted(v.whole_findings)), "terms"), 0.3 - 1e-9)
     return found.select("system_id", "a_id", "b_id", F.round("similarity", 9).alias("jaccard")).filter("jaccard >= 0.3")
 
 
+@query()
+def jaccard_links(v: Views) -> DataFrame:
+    """The pairs of ``jaccard_pairs_whole`` counted: each finding's class of equal token sets and its number of links."""
+    return pairs.similar_counts(stored(pairs.token_terms(fi.fingerprinted(v.whole_findings)), "terms"), 0.3 - 1e-9)
+
+
 @query()
 def tfidf_pairs(v: Views) -> DataFrame:
-    f = fi.fingerprinted(v.whole_findings.filter("status = 'open'")).select("system_id", "id", "tokens")
+    f = stored(fi.fingerprinted(v.whole_findings.filter("status = 'open'")).select("system_id", "id", "tokens"), "tokens")
     found = pairs.similar(pairs.weighted_terms(fi.weighted(f, fi.idf(f))), None, 0.5, weighted=True)
     return found.withColumnRenamed("similarity", "cosine")
 
@@ -602,7 +621,8 @@ def findings_by_severity_pivot(v: Views) -> DataFrame:
 
 @query()
 def finding_deduplication(v: Views) -> DataFrame:
-    new = v.whole_findings.filter("status = 'resolved'").withColumn("seq", F.col("id"))
+    """Every hour's new findings as one batch against all that are open."""
+    new = v.whole_findings.filter("status = 'resolved'").withColumns({"seq": F.col("id"), "batch": F.floor(US("created_at") / 3_600_000_000)})
     return fi.deduplicated(new, v.whole_findings)
 
 
