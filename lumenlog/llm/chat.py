@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import checkpointed
+from .common import checkpointed, chunks
 
 OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>\n"
 TURN = re.compile(r"### ((?:[^\\#<:]|\\.)*): ((?:[^\\#<]|\\.)*)</turn>\n", re.S)
@@ -71,17 +71,23 @@ def paths(chosen: DataFrame, hops: list[DataFrame]) -> DataFrame:
 def format_trees(messages: DataFrame, most_branches: int = 1) -> DataFrame:
     """One conversation for each of a tree's best branches: tree, branch (rank), leaf, formatted.
 
-    ``messages``: tree, node, parent, role, text, score. Null roles and texts are empty; a message whose
-    parent is unknown begins a tree of its own path; equal nodes of a tree are not allowed. Other columns
-    are ignored; an empty table gives no conversation. A conversation is one row, so its messages meet
-    in one task, as its text must.
+    ``messages``: tree, node, parent, role, text, score. Null roles and texts are empty; messages without
+    a tree are one tree, those without a node are left out; a message whose parent is unknown begins a
+    tree of its own path. Nodes of a tree must differ: of rows repeated under one node each takes its turn
+    on every path through it. Other columns are ignored; an empty table gives no conversation. A
+    conversation is one row, so its messages meet in one task, as its text must.
     """
+    kind = dict(messages.dtypes)["tree"]
+    # A null tree is a key of its own, so that joins keep it.
+    messages = messages.filter("node is not null").withColumn("tree", F.concat(F.when(F.col("tree").isNull(), "-").otherwise("="), F.coalesce(F.col("tree").cast("string"), F.lit(""))))
     ranked, hops = branches(messages)
     chosen = checkpointed(ranked.filter(F.col("rank") <= most_branches))
-    on_path = paths(chosen, hops)
+    # Ranks join the narrow paths, so that texts move once to their place and once to their conversation.
+    on_path = paths(chosen, hops).join(chosen.select("tree", "leaf", "rank"), ["tree", "leaf"])
     said = messages.select("tree", "node", F.concat(F.lit(OPEN), escaped(F.col("role"), ":"), F.lit(MIDDLE), escaped(F.col("text")), F.lit(CLOSE)).alias("turn"))
-    turns = on_path.join(said, ["tree", "node"]).groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(F.struct((-F.col("height")).alias("at"), "turn"))).alias("turns"))
-    return turns.join(chosen, ["tree", "leaf"]).select("tree", F.col("rank").alias("branch"), "leaf", F.array_join(F.col("turns.turn"), "").alias("formatted"))
+    turns = on_path.join(said, ["tree", "node"]).groupBy("tree", "leaf", "rank").agg(F.array_sort(F.collect_list(F.struct((-F.col("height")).alias("at"), "turn"))).alias("turns"))
+    tree = F.when(F.col("tree").startswith("="), F.substring("tree", 2, 1 << 30)).cast(kind)
+    return turns.select(tree.alias("tree"), F.col("rank").alias("branch"), "leaf", F.array_join(F.col("turns.turn"), "").alias("formatted"))
 
 
 def read_back(formatted: str) -> list[tuple[str, str, int, int]]:
@@ -111,7 +117,7 @@ def digests(conversations: DataFrame) -> DataFrame:
     """What reading each formatted string back gives: turns, the text under the loss mask, and the mask."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole, "formatted")):
             rows = []
             for formatted in batch.column("formatted").to_pylist():
                 turns = read_back(formatted)
@@ -131,7 +137,8 @@ def digests(conversations: DataFrame) -> DataFrame:
 def as_trees(conversations: DataFrame) -> DataFrame:
     """Linear conversations (conv_id, turn, role, text) as trees: each row's parent is the row before it.
 
-    Rows are in the order of turn, ties in that of role and text; a null turn comes first.
+    Rows are in the order of turn, ties in that of role and text; a null turn comes first. Rows without a
+    conv_id are one conversation.
     """
     order = W.partitionBy("tree").orderBy("turn", "role", "text")
     c = conversations.select(F.col("conv_id").cast("long").alias("tree"), "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))

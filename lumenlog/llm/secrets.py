@@ -13,6 +13,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left, insort
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -171,27 +172,38 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
-    found, taken = [], []
+    found: list[tuple[int, int, str]] = []
+    taken: list[tuple[int, int]] = []  # disjoint, by start
+
+    def take(a: int, b: int) -> None:
+        insort(taken, (a, b))
+
+    def is_taken(a: int, b: int) -> bool:
+        """Whether a found key overlaps: only the last that begins before ``b`` can."""
+        i = bisect_left(taken, (b, b))
+        return i > 0 and taken[i - 1][1] > a
+
     if "-----BEGIN" in text:
         for m in ARMOUR.finditer(text):
             data = decode64(m[2])
             if data and (is_der_key(data) or is_openssh_key(data)):
                 found.append((m.start(), m.end(), "pem"))
-                taken.append(m.span())
+                take(*m.span())
     if "eyJ" in text:
         for m in TOKEN.finditer(text):
             if is_token(m[0]):
                 found.append((m.start(), m.end(), "token"))
-                taken.append(m.span())
+                if not is_taken(*m.span()):
+                    take(*m.span())
     for pattern, decode in ((BASE64, decode64), (HEX_ANY, bytes.fromhex)):
         for m in pattern.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b in taken):
+            if is_taken(*m.span()):
                 continue
             if pattern is BASE64 and HEX_ANY.fullmatch(m[0]):
                 continue
             if kind := confirm(decode(m[0])):
                 found.append((m.start(), m.end(), kind))
-                taken.append(m.span())
+                take(*m.span())
     return found
 
 

@@ -36,6 +36,7 @@ NEAR = 5
 #: Words among which strong ones make a burst.
 BURST = 40
 NAMES = ("words", "strong", "strong_density", "weak", "weak_density", "you", "you_density", "near", "masked", "spaced", "capitals", "loud", "marks", "strong_kinds", "burst", "learned", "learned_density", "learned_kinds")
+HITS = [NAMES.index(n) for n in ("strong", "weak", "masked", "spaced")]
 
 #: Bytes of the beginnings of words that may enter the learned lexicon, beside whole words.
 STEMS = (4, 5, 6, 7)
@@ -43,7 +44,10 @@ STEMS = (4, 5, 6, 7)
 LEAST_EVIDENCE, LEAST_SHARE = 10.0, 0.6
 #: The most labelled rows that the lexicon, the trees and the calibration learn from; beyond it a hash of doc_id picks them.
 MOST_ROWS = 40_000
-TREES, DEPTH, RATE, BINS, LEAST_LEAF = 40, 3, 0.2, 32, 10
+TREES, DEPTH, RATE, BINS, LEAST_LEAF = 40, 3, 0.2, 32, 3
+#: Folds of the labelled rows: a row's learned hits come from the lexicon of the others, its raw score for calibration from their trees.
+FOLDS = 4
+PRIOR_ROWS, ORDERING = 5, 0.01
 THRESHOLD = 0.3
 
 
@@ -129,12 +133,17 @@ class Boosted:
         return out
 
     def scores(self, x: np.ndarray) -> np.ndarray:
+        """Calibrated scores. What calibration or the trees put on one level keeps the order of raw scores and of hits of the fixed lexicon, by ORDERING."""
         raw = self.raw(x)
-        return np.interp(raw, *self.steps) if len(self.steps[0]) else 1 / (1 + np.exp(-raw))
+        plain = 1 / (1 + np.exp(-raw - np.log1p(x[:, HITS].sum(1))))
+        return (1 - ORDERING) * np.interp(raw, *self.steps) + ORDERING * plain if len(self.steps[0]) else plain
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators over the mean label of each distinct x; steps are joined by straight lines."""
+def isotonic(x: np.ndarray, y: np.ndarray, base: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pool adjacent violators over the mean label of each distinct x; steps are joined by straight lines.
+
+    One pseudo-case of the base rate in each block keeps the ends off 0 and 1.
+    """
     order = np.argsort(x, kind="stable")
     points, first = np.unique(x[order], return_index=True)
     weights = np.diff(np.append(first, len(x))).astype(float)
@@ -145,8 +154,6 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
             b, a = blocks.pop(), blocks.pop()
             blocks.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2] + b[2]])
-    # one pseudo-case of the overall mean keeps the ends off 0 and 1
-    base = float(y.mean())
     level = np.repeat([(b[0] * b[1] + base) / (b[1] + 1) for b in blocks], [int(b[2]) for b in blocks])
     return points, np.maximum.accumulate(level)
 
@@ -182,40 +189,55 @@ def grow(x: np.ndarray, binned: np.ndarray, edges: list[np.ndarray], gradient: n
     return features, cuts, values
 
 
-def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> Boosted:
-    """Trees from the rows outside ``fold``, the calibration from those in it."""
-    d = len(NAMES)
-    base = (y.sum() + 0.5) / (len(y) + 1)
-    start = float(math.log(base / (1 - base)))
+def cut_points(column: np.ndarray) -> np.ndarray:
+    """Where a feature may be cut: between all its values if they are few, else at quantiles; one value that most rows share is apart."""
+    values = np.unique(column)
+    if len(values) < 2:
+        return np.zeros(0)
+    if len(values) <= BINS:
+        return (values[1:] + values[:-1]) / 2
+    cuts = np.unique(np.quantile(column, np.linspace(0, 1, BINS)[1:-1]))
+    if np.mean(column == values[0]) > 0.5:
+        rest = column[column > values[0]]
+        cuts = np.unique(np.concatenate([[(values[0] + values[1]) / 2], np.quantile(rest, np.linspace(0, 1, BINS - 1)[1:-1])]))
+    return cuts
+
+
+def boosted(x: np.ndarray, y: np.ndarray, start: float) -> Boosted:
+    """Trees of all rows, without calibration."""
     none = np.zeros((0, 2**DEPTH - 1))
-    if len(y) < 20 or y.min() == y.max():
+    if not len(y):
         return Boosted(none.astype(int), none, np.zeros((0, 2**DEPTH)), start, ((), ()))
-    a, b = x[~fold], y[~fold].astype(float)
-    edges = []
-    for j in range(d):
-        cuts = np.unique(np.quantile(a[:, j], np.linspace(0, 1, BINS)[1:-1])) if len(a) else np.zeros(0)
-        values = np.unique(a[:, j])
-        if 1 < len(values) <= BINS:
-            cuts = (values[1:] + values[:-1]) / 2
-        elif len(values) > BINS and len(cuts) and np.mean(a[:, j] == values[0]) > 0.5:
-            rest = a[a[:, j] > values[0], j]
-            cuts = np.unique(np.concatenate([[(values[0] + values[1]) / 2], np.quantile(rest, np.linspace(0, 1, BINS - 1)[1:-1])]))
-        edges.append(cuts)
-    binned = np.stack([np.searchsorted(e, a[:, j], side="left") for j, e in enumerate(edges)], 1)
-    raw = np.full(len(a), start)
+    edges = [cut_points(x[:, j]) for j in range(x.shape[1])]
+    binned = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], 1)
+    raw, rows = np.full(len(x), start), np.arange(len(x))
     trees = []
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-raw))
-        f, c, v = grow(a, binned, edges, b - p, p * (1 - p))
+        f, c, v = grow(x, binned, edges, y - p, p * (1 - p))
         v = RATE * v
         trees.append((f, c, v))
-        at = np.zeros(len(a), dtype=int)
+        at = np.zeros(len(x), dtype=int)
         for _ in range(DEPTH):
-            at = 2 * at + 1 + (a[np.arange(len(a)), f[at]] > c[at])
+            at = 2 * at + 1 + (x[rows, f[at]] > c[at])
         raw += v[at - (2**DEPTH - 1)]
-    model = Boosted(*(np.array(z) for z in zip(*trees, strict=True)), start, ((), ()))
-    steps = isotonic(model.raw(x[fold]), y[fold]) if fold.sum() >= 50 and 0 < y[fold].sum() < fold.sum() else ((), ())
-    return Boosted(model.features, model.cuts, model.values, start, steps)
+    return Boosted(*(np.array(z) for z in zip(*trees, strict=True)), start, ((), ()))
+
+
+def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> Boosted:
+    """Trees of all rows; the isotonic steps come from scores that the trees of the other folds give to each fold.
+
+    Every row so serves both, and none is calibrated by trees that saw it. Whatever the number of rows, the
+    start value and the steps shrink to a base rate, that of PRIOR_ROWS more rows of which one in ten is toxic.
+    """
+    base = (y.sum() + PRIOR_ROWS / 10) / (len(y) + PRIOR_ROWS)
+    start = float(math.log(base / (1 - base)))
+    model = boosted(x, y, start)
+    unseen = np.full(len(y), start)
+    for k in np.unique(fold):
+        own = fold == k
+        unseen[own] = boosted(x[~own], y[~own], start).raw(x[own])
+    return Boosted(model.features, model.cuts, model.values, start, isotonic(unseen, y, base) if len(y) else ((), ()))
 
 
 SCHEMA = StructType([StructField("doc_id", LongType()), StructField("x", ArrayType(DoubleType()))])
@@ -225,48 +247,71 @@ def featured(docs: DataFrame, learned: frozenset[bytes]) -> DataFrame:
     return map_rows(documents(docs), SCHEMA, lambda batch: {"doc_id": batch.column("doc_id"), "x": [statistics(t, learned) for t in raw_texts(batch)]})
 
 
-def learn_lexicon(rows: DataFrame) -> frozenset[bytes]:
-    """Entries over-represented in the toxic rows of ``rows`` (text, y), counted by document.
+def featured_unseen(rows: DataFrame, learned: list[frozenset[bytes]]) -> DataFrame:
+    """fold, h, y and x of labelled rows (doc_id, text, fold, h, y): the learned hits are those of the other folds' lexicon."""
+    schema = StructType([*(StructField(c, LongType()) for c in ("doc_id", "h", "fold", "y")), SCHEMA["x"]])
+    one = lambda batch: [statistics(t, learned[k]) for t, k in zip(raw_texts(batch), batch.column("fold").to_pylist(), strict=True)]
+    return map_rows(rows.select("doc_id", "text", "h", "fold", "y"), schema, lambda batch: {**{c: batch.column(c) for c in ("doc_id", "h", "fold", "y")}, "x": one(batch)})
+
+
+def learn_lexicons(rows: DataFrame, folds: int = FOLDS) -> tuple[frozenset[bytes], list[frozenset[bytes]]]:
+    """Entries over-represented in toxic rows (text, fold, y), counted by document: of all rows, and of all but each fold.
 
     ``rows`` is bounded by the caller, and so is what comes back.
     """
+    names = [f"{kind}{k}" for k in range(folds) for kind in ("clean", "toxic")]
 
     def count(batches):
         held: dict[bytes, list[int]] = {}
         for batch in batches:
-            for data, y in zip(raw_texts(batch), batch.column("y").to_pylist(), strict=True):
+            for data, k, y in zip(raw_texts(batch), batch.column("fold").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 for e in entries(set(WORD.findall(data.lower()))):
-                    held.setdefault(e, [0, 0])[y] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array([v[1] for v in held.values()], pa.int64()), pa.array([v[0] for v in held.values()], pa.int64())], names=["entry", "toxic", "clean"])
-
-    totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not totals.get(1) or not totals.get(0):
-        return frozenset()
-    base = totals[1] / (totals[0] + totals[1])
-    counted = rows.select("text", F.col("y").cast("long").alias("y")).mapInArrow(count, "entry binary, toxic long, clean long")
-    summed = counted.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    kept = summed.filter((F.col("toxic") >= 3) & (F.col("toxic") / (F.col("toxic") + F.col("clean")) >= LEAST_SHARE)).collect()
-    return frozenset(bytes(r["entry"]) for r in kept if evidence(r["toxic"], r["clean"], base) >= LEAST_EVIDENCE)
+                    held.setdefault(e, [0] * len(names))[2 * k + y] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), *(pa.array([v[i] for v in held.values()], pa.int64()) for i in range(len(names)))], names=["entry", *names])
+
+    rows = rows.select("text", F.col("fold").cast("long").alias("fold"), F.col("y").cast("long").alias("y"))
+    totals = np.zeros((folds, 2), dtype=int)
+    for r in rows.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n")).collect():
+        totals[r["fold"], r["y"]] = r["n"]
+    counted = rows.mapInArrow(count, "entry binary, " + ", ".join(f"{n} long" for n in names)).groupBy("entry").agg(*[F.sum(n).alias(n) for n in names])
+    frequent = counted.filter(sum(F.col(f"toxic{k}") for k in range(folds)) >= 3).collect()
+
+    def chosen(without: int | None) -> frozenset[bytes]:
+        own = [k for k in range(folds) if k != without]
+        clean, toxic = totals[own].sum(0)
+        if not clean or not toxic:
+            return frozenset()
+        out = set()
+        for r in frequent:
+            bad, good = sum(r[f"toxic{k}"] for k in own), sum(r[f"clean{k}"] for k in own)
+            if bad >= 3 and bad >= LEAST_SHARE * (bad + good) and evidence(bad, good, toxic / (clean + toxic)) >= LEAST_EVIDENCE:
+                out.add(bytes(r["entry"]))
+        return frozenset(out)
+
+    return chosen(None), [chosen(k) for k in range(folds)]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, held: int = 2, folds: int = 4, threshold: float = THRESHOLD, most_rows: int = MOST_ROWS) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: more toxic) and predicted for every document.
 
     Learns from at most ``most_rows`` labelled rows outside the held-out fold, picked by a hash of
-    doc_id. Three fifths of them extend the fixed lexicon by words and beginnings of words, the rest
-    grow the trees and calibrate them, so that the trees see honest hit counts. Only the text gives a
+    doc_id. They extend the fixed lexicon by words and beginnings of words, grow the trees and calibrate
+    them, each row in all three: in FOLDS folds, a row's learned hits come from the other folds' lexicon
+    and its raw score from their trees, so that both are as honest as a new text's. With few labels the
+    scores shrink to a base rate, without any they are those of that rate. Only the text gives a
     score's inputs. Null and empty texts get the score of an empty text; null labels and labels other
     than 0 and 1 are passed over. Repeated rows are scored each; an empty table gives no rows; texts of any length
     are read whole, in time that grows with their length; other columns are ignored.
     """
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").alias("y")).filter("doc_id is not null and y in (0, 1)").filter(crc_remainder("doc_id", folds) != held)
-    picked = stored(marks.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))).orderBy("h", "doc_id").limit(most_rows), "toxicity-rows")
-    own = F.broadcast(picked)  # most_rows rows at most
-    learned = learn_lexicon(documents(docs).join(own.filter("h % 5 < 3"), "doc_id").select("text", "y"))
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("long").alias("y")).filter("doc_id is not null and y in (0, 1)").filter(crc_remainder("doc_id", folds) != held)
+    hashed = marks.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))).orderBy("h", "doc_id").limit(most_rows)
+    picked = stored(hashed.withColumn("fold", F.col("h") % FOLDS), "toxicity-rows")
+    marked = stored(documents(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "h", "fold", "y"), "toxicity-texts")  # most_rows rows at most
+    learned, others = learn_lexicons(marked)
     features = stored(featured(docs, learned), "toxicity")
-    rows = features.join(F.broadcast(picked.filter("h % 5 >= 3")), "doc_id").orderBy("h", "doc_id").limit(most_rows).select("h", "x", "y").collect()
+    rows = featured_unseen(marked, others).select("h", "doc_id", "x", "y", "fold").orderBy("h", "doc_id", "x").limit(most_rows).collect()
     x = np.array([r["x"] for r in rows], dtype=float).reshape(-1, len(NAMES))
-    model = fit(x, np.array([r["y"] for r in rows], dtype=float), np.array([r["h"] // 5 % 3 == 0 for r in rows], dtype=bool))
+    model = fit(x, np.array([r["y"] for r in rows], dtype=float), np.array([r["fold"] for r in rows], dtype=int))
 
     def score(batches):
         for batch in batches:
