@@ -51,6 +51,13 @@ def weighted(docs: DataFrame, weights: DataFrame) -> DataFrame:
     return tf.join(weights, ["system_id", "token"], "left").select("system_id", "id", "token", (F.col("tf") * F.coalesce("idf", F.lit(1.0))).alias("w"))
 
 
+def tfidf(docs: DataFrame, corpus: DataFrame) -> DataFrame:
+    """system_id, id, terms, weights of tokenised findings over a corpus: narrow where the corpus has a bounded vocabulary, else by joins."""
+    weights = stored(idf(corpus), "idf")
+    known = pairs.idf_arrays(weights)
+    return pairs.weighted_terms(weighted(docs, weights)) if known is None else pairs.tfidf_terms(docs, known)
+
+
 def cosine_pairs(a: DataFrame, b: DataFrame, threshold: float = 0.0) -> DataFrame:
     """a_id, b_id and TF-IDF cosine over the corpus ``b``: a join on shared terms, summed."""
     weights = idf(b)
@@ -83,9 +90,8 @@ def candidates(new: DataFrame, opened: DataFrame, threshold: float, most: int) -
     by_print = new.select("system_id", "seq", "criterion_slug", "fingerprint").join(first, ["system_id", "fingerprint"]).filter(fits).groupBy("system_id", "seq").agg(F.min("open_id").alias("open_id")).withColumn("kind", F.lit(0))
 
     # Best by cosine among all open findings; equal ones (to 12 digits) go by id. Criteria are looked at afterwards.
-    weights = idf(opened)
-    left = pairs.weighted_terms(weighted(new.select("system_id", F.col("seq").alias("id"), "tokens"), weights))
-    right = pairs.weighted_terms(weighted(opened, weights))
+    asked = new.select("system_id", F.col("seq").alias("id"), "tokens")
+    left, right = tfidf(asked, opened), tfidf(opened, opened)
     many = opened.groupBy("system_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").select("system_id")
     near = pairs.similar(left, right, threshold - 1e-12, weighted=True).select("system_id", F.col("a_id").alias("seq"), F.col("b_id").alias("open_id"), F.round("similarity", 12).alias("score"))
     best = near.filter(F.col("score") >= threshold).groupBy("system_id", "seq").agg(F.max_by("open_id", F.struct("score", -F.col("open_id"))).alias("open_id"))

@@ -119,22 +119,30 @@ def normalized(records: DataFrame, now: Column, column: str = "record", enrich:
     return df.withColumns({"severity": level, "host": shown}).drop("_full", "_header", "_host", "_content")
 
 
+def id_of(digest: Column) -> Column:
+    """A digest's first 128 bits written as a UUID: one event has one id, however often its batch is worked out."""
+    return F.concat_ws("-", *[F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+
 def ingest(records: DataFrame, sources: Sequence[Mapping], systems: DataFrame, now: Column, column: str = "record", redaction: bool = False, drift_seconds: int = 300, message_chars: int = 8192) -> tuple[DataFrame, DataFrame]:
     """(events, discovery rows): normalise, truncate, repair addresses, route, correct times, clamp, redact, hash.
 
     ``systems``: system_id, tz_name, tz_offset_minutes. The order of steps is part of the contract: hashes
-    are taken from redacted messages and corrected times.
+    are taken from redacted messages and corrected times. Events without an id, and their
+    discovery rows, get one from a hash of their fields before routing.
     """
     df = normalized(records, now, column)
     df = df.withColumns({"message": templates.truncated(F.col("message"), message_chars), "source_ip": addresses.nat_source_ip(F.col("source_ip"), F.col("host"))})
-    df = routing.routed(df, sources)
     if "id" not in df.columns:
-        df = df.withColumn("id", F.expr("uuid()"))
+        # From the fields before routing, so that an event and its discovery row have one id.
+        df = df.withColumn("id", id_of(ev.normalized_hash()))
+    df = routing.routed(df, sources)
     zones = F.broadcast(systems.select("system_id", "tz_name", "tz_offset_minutes"))  # the monitored systems, a few rows
     seen = routing.discovery_rows(df)
     df = df.filter("system_id is not null").join(zones, "system_id", "left")
     df = df.withColumn("timestamp", timefix.clamped(timefix.corrected(F.col("timestamp"), F.col("tz_name"), F.col("tz_offset_minutes")), now, drift_seconds)).drop("tz_name", "tz_offset_minutes")
     if redaction:
         df = df.withColumns({"message": masking.redact(F.col("message")), "raw": masking.redact_json(F.col("raw"))})
-    df = df.withColumns({"normalized_hash": ev.normalized_hash(), "received_at": now, "acknowledged_at": F.lit(None).cast("timestamp"), "scored_at": F.lit(None).cast("timestamp"), "template_id": F.lit(None).cast("string")})
+    df = df.withColumn("normalized_hash", ev.normalized_hash())
+    df = df.withColumns({"received_at": now, "acknowledged_at": F.lit(None).cast("timestamp"), "scored_at": F.lit(None).cast("timestamp"), "template_id": F.lit(None).cast("string")})
     return df, seen

@@ -25,36 +25,50 @@ def some(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
+#: How a line begins that continues another, whatever its length; those that do only when short, with the length below which they do; and the end of a quoted piece of data.
+CONTINUES = (r"^\s+", r"^[{}),\]:]", r"^at\s+", r"^\.\.\.\s*\d+\s+", r"^['\"][^'\"]{1,60}['\"]\s*:")
+CONTINUES_SHORT = ((r"^[a-zA-Z_]+:\s", 80), (r"^[-+~|*#]\s", 200))
+QUOTED, QUOTED_END, COMMA_BELOW = r"^['\"]", r"[,\]})]\z", 60
+
+
 def is_fragment(message: Column) -> Column:
     """Whether a line continues another: indented or bracketed lines, stack frames, short ``key: value`` lines, pieces of data structures, list items."""
     end = F.regexp_replace(message, r"\s+\z", "")
     head = message.rlike(ALONE)
-    yes = (
-        message.rlike(r"^\s+") | message.rlike(r"^[{}),\]:]") | message.rlike(r"^at\s+") | message.rlike(r"^\.\.\.\s*\d+\s+") | (message.rlike(r"^[a-zA-Z_]+:\s") & (F.length(message) < 80))
-        | (message.rlike(r"^['\"]") & end.rlike(r"[,\]})]\z")) | message.rlike(r"^['\"][^'\"]{1,60}['\"]\s*:") | ((F.length(end) < 60) & end.endswith(",")) | (message.rlike(r"^[-+~|*#]\s") & (F.length(message) < 200))
-    )
+    yes = (message.rlike(QUOTED) & end.rlike(QUOTED_END)) | ((F.length(end) < COMMA_BELOW) & end.endswith(","))
+    for pattern in CONTINUES:
+        yes |= message.rlike(pattern)
+    for pattern, below in CONTINUES_SHORT:
+        yes |= message.rlike(pattern) & (F.length(message) < below)
     return ~head & yes
 
 
 def merged(df: DataFrame, keys: list[str], head: Column, order: str) -> DataFrame:
     """One row for each key: the head's columns with the lines of all rows joined in order. Rows of a key share a second or a session line."""
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), "seq", "line"))), lambda x: x["line"]), "\n")
-    kept = [c for c in df.columns if c not in (*keys, "line", "message", "seq")]
+    kept = [c for c in df.columns if c not in (*(k for k in keys if k.startswith("_")), "line", "message", "seq")]
     first = F.min_by(F.struct("seq", *kept), F.struct(F.when(head, 0).otherwise(1), F.col(order), "seq"))
     return df.groupBy(*keys).agg(first.alias("_h"), lines.alias("message")).select("_h.*", "message")
 
 
-def by_header(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(merged, other rows): lines headed ``[N-M]`` of one host, program and N.
+def by_header(rows: DataFrame, time: str = "timestamp", reach_s: int = 60) -> tuple[DataFrame, DataFrame]:
+    """(merged, other rows): lines headed ``[N-M]`` of one host, program and N, that came together.
 
+    Lines came together in one ``batch``, where rows have that column, and with no more than ``reach_s``
+    between one and the next, where they have a time: senders count N from 1 again.
     The head M=1 takes 2, 3 and so on up to the first gap; later lines stay alone without their header.
     Without a head all lines of the group become one.
     """
     own = rows.filter(F.coalesce(F.col("message").rlike(HEADER), F.lit(False)))
     rest = rows.filter(~F.coalesce(F.col("message").rlike(HEADER), F.lit(False)))
     names = rows.columns
-    group = ["_host", "_program", "_n"]
+    group = ["_host", "_program", "_n", *(["batch"] if "batch" in names else [])]
     df = own.withColumns({"_host": some("host"), "_program": some("program"), "_n": F.regexp_extract("message", HEADER, 1), "_m": F.regexp_extract("message", HEADER, 2).cast("int"), "line": decoded(F.regexp_replace("message", HEADER, ""))})
+    if dict(rows.dtypes).get(time, "").startswith("timestamp"):
+        came = W.partitionBy(*group).orderBy(time, "seq")
+        late = F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lag(time).over(came).cast("timestamp")) > reach_s * 1_000_000
+        df = df.withColumn("_run", F.sum(F.coalesce(late, F.lit(False)).cast("int")).over(came))
+        group = [*group, "_run"]
     order = W.partitionBy(*group).orderBy("_m", "seq")
     df = df.withColumns({"_has_head": F.max((F.col("_m") == 1).cast("int")).over(W.partitionBy(*group)) == 1, "_same": F.row_number().over(W.partitionBy(*group, "_m").orderBy("seq"))})
     # The first line of each M counts; as long as M equals its place among those, nothing is missing.

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from re import _parser as regex_parser
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.regexes import is_valid
 
+LOWER = {ord(c): ord(c) + 32 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+
 #: What is variable in a message and the pattern for it, in order; dashes of a MAC address must agree.
 VARIABLE = (
     (r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "[^ ]+"),
@@ -73,31 +78,127 @@ def usable(templates: DataFrame) -> DataFrame:
     return templates.filter(F.col("id").isin(good))
 
 
-def matches(mode: str = "pipeline") -> Column:
-    """The join condition of events ``e`` and templates ``t``.
+#: Templates up to which every event is tried against all of them; beyond it a literal index names those to try.
+FEW = 32
+
+
+def required_literal(pattern: str) -> str:
+    """The longest text that every match of a pattern holds, letters A-Z in lower case; empty where none is sure.
 
-    ``pipeline``: a missing host or program is an empty string; ``sql``: it matches no pattern.
+    Patterns are taken by Java; what the parser here does not take, or might read otherwise, has no literal.
+    """
+    if re.search(r"\\[0-9QEx]|\(\?[a-z]*x", pattern):
+        return ""
+    try:
+        tree = regex_parser.parse(pattern, re.ASCII)
+    except (re.error, OverflowError, RecursionError):
+        return ""
+    found, run = [""], []
+
+    def close() -> None:
+        found.append("".join(run))
+        run.clear()
+
+    def walk(items) -> None:
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                run.append(chr(arg))
+            elif name == "SUBPATTERN":
+                walk(arg[3])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] >= 1:
+                close()
+                walk(arg[2])
+                close()
+            elif name == "ATOMIC_GROUP":
+                walk(arg)
+            elif name != "AT":
+                close()
+
+    walk(tree)
+    close()
+    return max(found, key=len).translate(LOWER)
+
+
+TRIED = "array<struct<id:bigint,system_id:bigint,pattern_regex:string,host_pattern:string,program_pattern:string>>"
+
+
+def candidates(rows: list) -> Callable[[Column], Column]:
+    """A function from messages to the templates, in the order of ``rows``, whose literal they hold.
+
+    One automaton of all literals reads a message once, whatever their number.
+    """
+    index = ahocorasick.Automaton()
+    always, held = [], {}
+    for k, r in enumerate(rows):
+        if literal := required_literal(r["pattern_regex"]):
+            held.setdefault(literal, []).append(k)
+        else:
+            always.append(k)
+    for literal, places in held.items():
+        index.add_word(literal, places)
+    if held:
+        index.make_automaton()
+    told = [{key: r[key] for key in ("id", "system_id", "pattern_regex", "host_pattern", "program_pattern")} for r in rows]
+
+    @F.pandas_udf(TRIED)
+    def found(messages: pd.Series) -> pd.Series:
+        def one(text: str | None) -> list[dict]:
+            if text is None:
+                return []
+            hits = set(always)
+            if held:
+                for _, places in index.iter(text.lower() if text.isascii() else text.translate(LOWER)):
+                    hits.update(places)
+            return [told[k] for k in sorted(hits)]
+
+        return messages.map(one)
+
+    return found
+
+
+def matched(events: DataFrame, templates: DataFrame, mode: str = "pipeline", few: int = FEW) -> Column:
+    """The ids of the enabled templates that match an event, ascending, as an array column of ``events``.
+
+    ``pipeline``: a missing host or program is an empty string; ``sql``: it matches no pattern. Templates are
+    written by people and read to the driver. Nothing is joined or shuffled: a few of them become
+    conditions of their own; of many, those that the literal index names are tried.
     """
+    rows = templates.filter("enabled").orderBy("id").collect()
     some = (lambda c: F.coalesce(F.col(c), F.lit(""))) if mode == "pipeline" else F.col
-    like = lambda value, pattern: F.rlike(value, F.concat(F.lit("(?i)"), F.col(pattern)))
-    where = lambda value, pattern: F.col(pattern).isNull() | (F.col(pattern) == "") | F.coalesce(like(value, pattern), F.lit(False))
-    system = F.col("t.system_id").isNull() | (F.col("t.system_id") == F.col("e.system_id"))
-    return system & like(F.col("e.message"), "t.pattern_regex") & where(some("e.host"), "t.host_pattern") & where(some("e.program"), "t.program_pattern")
+    like = lambda value, pattern: F.coalesce(F.rlike(value, pattern), F.lit(False))
+    if len(rows) <= few:
+        out = []
+        for r in rows:
+            fits = like(F.col("message"), F.lit(f"(?i){r['pattern_regex']}"))
+            if r["system_id"] is not None:
+                fits = (F.col("system_id") == r["system_id"]) & fits
+            for c, key in (("host", "host_pattern"), ("program", "program_pattern")):
+                if r[key]:
+                    fits &= like(some(c), F.lit(f"(?i){r[key]}"))
+            out.append(F.when(fits, F.lit(r["id"]).cast("long")))
+        return F.filter(F.array(*out), lambda x: x.isNotNull()) if out else F.array().cast("array<bigint>")
+    where = lambda value, pattern: F.coalesce(pattern, F.lit("")).isin("") | like(value, F.concat(F.lit("(?i)"), pattern))
+
+    def fits(t: Column) -> Column:
+        system = t["system_id"].isNull() | F.coalesce(t["system_id"] == F.col("system_id"), F.lit(False))
+        return system & like(F.col("message"), F.concat(F.lit("(?i)"), t["pattern_regex"])) & where(some("host"), t["host_pattern"]) & where(some("program"), t["program_pattern"])
+
+    return F.transform(F.filter(candidates(rows)(F.col("message")), fits), lambda t: t["id"])
 
 
 def excluded(events: DataFrame, templates: DataFrame, mode: str = "pipeline") -> DataFrame:
-    """Events that some enabled template matches. A pattern join has no key, so the few templates are broadcast."""
-    return events.alias("e").join(F.broadcast(templates.filter("enabled").alias("t")), matches(mode), "left_semi")
+    """Events that some enabled template matches."""
+    return events.filter(F.size(matched(events, templates, mode)) > 0)
 
 
 def kept(events: DataFrame, templates: DataFrame, mode: str = "pipeline") -> DataFrame:
-    return events.alias("e").join(F.broadcast(templates.filter("enabled").alias("t")), matches(mode), "left_anti")
+    return events.filter(F.size(matched(events, templates, mode)) == 0)
 
 
 def first_match(events: DataFrame, templates: DataFrame, mode: str = "pipeline") -> DataFrame:
     """event id and the first template (by id) that matches it."""
-    joined = events.alias("e").join(F.broadcast(templates.filter("enabled").alias("t")), matches(mode))
-    return joined.groupBy(F.col("e.id").alias("id")).agg(F.min("t.id").alias("template"))
+    return events.select("id", F.get(matched(events, templates, mode), F.lit(0)).alias("template")).filter("template is not null")
 
 
 def retroactively_zeroed(scores: DataFrame, matched: DataFrame) -> DataFrame:

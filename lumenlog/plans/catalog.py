@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import addresses, masking, severity as sev, similarity as sim, templates as tpl, timefix
 from ..operators import alerting, discovery as di, events as ev, findings as fi, fulltext, ingest as ing, meta, multiline, normal, pairs, reports, routing, scoring, windows as wi
 from ..schema import CRITERIA
+from ..sources import containers
 from ..storage import stored
 from .views import NOW_US, PRICES, Views, with_views
 
@@ -600,7 +601,7 @@ def jaccard_links(v: Views) -> DataFrame:
 @query()
 def tfidf_pairs(v: Views) -> DataFrame:
     f = stored(fi.fingerprinted(v.whole_findings.filter("status = 'open'")).select("system_id", "id", "tokens"), "tokens")
-    found = pairs.similar(pairs.weighted_terms(fi.weighted(f, fi.idf(f))), None, 0.5, weighted=True)
+    found = pairs.similar(fi.tfidf(f, f), None, 0.5, weighted=True)
     return found.withColumnRenamed("similarity", "cosine")
 
 
@@ -828,39 +829,76 @@ def meta_input(v: Views) -> DataFrame:
 
 # Multiline
 
-LINES = "VALUES " + ", ".join(f"({i}, '{h}', 'pg', '{m}')" for i, (h, m) in enumerate([("a", "[5-1] first"), ("b", "[5-1] other"), ("a", "[5-3] #011third"), ("a", "[5-2] #011second"), ("a", "[5-6] late"), ("c", "[7-2] two"), ("c", "[7-3] three")]))
-MERGED = [(0, "a", "first\n\tsecond\n\tthird"), (1, "b", "other"), (4, "a", "late"), (5, "c", "two\nthree")]
+def split_lines(v: Views, *parts: tuple[Column | None, Column]) -> DataFrame:
+    """Events as lines: (condition or null, text) of each line in the order of arrival, under id, host, program, time and seq."""
+    lines = F.array(*[F.struct(F.lit(k).alias("k"), (text if on is None else F.when(on, text)).alias("message")) for k, (on, text) in enumerate(parts)])
+    e = v.log_events.select("id", "host", "program", "timestamp", F.col("message").alias("whole"), F.explode(lines).alias("line"))
+    return e.select("id", "host", "program", "timestamp", (F.col("id") * 10 + F.col("line.k")).alias("seq"), F.col("line.message").alias("message")).filter("message is not null")
 
 
-def _literal(v: Views, rows: list[tuple]) -> DataFrame:
-    return v.spark.createDataFrame(rows, "seq long, host string, program string, message string").withColumn("timestamp", v.now)
-
-
-def _values(rows: list[tuple], columns: str) -> str:
-    quote = lambda x: str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(quote, r)) + ')' for r in rows)}) t({columns})"
-
-
-@query(_values([(h, m) for _, h, m in MERGED], "host, message"))
+@query("""SELECT id, chr(9) || 'second' || chr(10) || 'third' AS message FROM log_events WHERE id % 6 = 0 UNION ALL SELECT id, unnest([message, 'third']) FROM log_events WHERE id % 6 = 1
+    UNION ALL SELECT id, message || chr(10) || chr(9) || 'second' || chr(10) || 'third' FROM log_events WHERE id % 6 > 1""", "log_events")
 def multiline_nm(v: Views) -> DataFrame:
-    rows = [(0, "a", "pg", "[5-1] first"), (1, "b", "pg", "[5-1] other"), (2, "a", "pg", "[5-3] #011third"), (3, "a", "pg", "[5-2] #011second"), (4, "a", "pg", "[5-6] late"), (5, "c", "pg", "[7-2] two"), (6, "c", "pg", "[7-3] three")]
-    return multiline.by_header(_literal(v, rows))[0].select("host", "message")
+    """Numbered lines that arrive out of order, some without their head or their second line; each event's lines are one batch."""
+    i = F.col("id")
+    rows = split_lines(v, (None, F.lit("[5-3] third")), (i % 6 != 1, F.lit("[5-2] #011second")), (i % 6 != 0, F.concat(F.lit("[5-1] "), "message")))
+    return multiline.by_header(rows.withColumn("batch", i))[0].select("id", "message")
 
 
-P = "2026-02-16 13:45:58.351 EET [116965] u@d "
+PREFIX_SQL = "strftime(ts, '%Y-%m-%d %H:%M:%S') || '.351 EET [' || id || '] u@d '"
 
 
-@query(_values([("a", f"{P}ERROR: bad\n{P}DETAIL: why\n{P}STATEMENT: select"), ("a", f"{P}LOG: next"), ("b", f"{P}HINT: lone")], "host, message"))
+@query(f"""SELECT id, p || 'ERROR: ' || message || chr(10) || p || 'DETAIL: why' || chr(10) || p || 'STATEMENT: select' AS message FROM (SELECT *, {PREFIX_SQL} AS p FROM log_events) WHERE id % 4 <> 0
+    UNION ALL SELECT id, unnest([p || 'DETAIL: why', p || 'STATEMENT: select']) FROM (SELECT *, {PREFIX_SQL} AS p FROM log_events) WHERE id % 4 = 0 UNION ALL SELECT id, p || 'LOG: next' FROM (SELECT *, {PREFIX_SQL} AS p FROM log_events) WHERE id % 4 = 1""", "log_events")
 def multiline_pg_prefix(v: Views) -> DataFrame:
-    rows = [(0, "a", "pg", f"{P}STATEMENT: select"), (1, "a", "pg", f"{P}ERROR: bad"), (2, "a", "pg", f"{P}DETAIL: why"), (3, "a", "pg", f"{P}LOG: next"), (4, "b", "pg", f"{P}HINT: lone")]
-    done, rest = multiline.by_prefix(_literal(v, rows))
-    return done.unionByName(rest).select("host", "message")
+    """Database lines whose details come before their head, with a second head or none."""
+    i = F.col("id")
+    p = F.concat(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"), F.lit(".351 EET ["), i, F.lit("] u@d "))
+    rows = split_lines(v, (None, F.concat(p, F.lit("STATEMENT: select"))), (i % 4 != 0, F.concat(p, F.lit("ERROR: "), "message")), (None, F.concat(p, F.lit("DETAIL: why"))), (i % 4 == 1, F.concat(p, F.lit("LOG: next"))))
+    done, rest = multiline.by_prefix(rows)
+    return done.unionByName(rest).select("id", "message")
 
 
-@query(_values([("a", "  early\nstart of it\n  at x.y\n}"), ("a", "second head\n\ttail"), ("b", "  no head"), ("b", "} neither")], "host, message"))
+@query("""SELECT id, '  early' || chr(10) || message || chr(10) || '  at x.y' || chr(10) || '}' AS message FROM log_events WHERE id % 4 <> 0 UNION ALL SELECT id, 'Second ' || id || chr(10) || chr(9) || 'tail' FROM log_events WHERE id % 4 = 1
+    UNION ALL SELECT id, unnest(['  early', '  at x.y', '}']) FROM log_events WHERE id % 4 = 0""", "log_events")
 def multiline_generic(v: Views) -> DataFrame:
-    rows = [(0, "a", "x", "  early"), (1, "a", "x", "start of it"), (2, "a", "x", "  at x.y"), (3, "a", "x", "}"), (4, "a", "x", "second head"), (5, "a", "x", "\ttail"), (6, "b", "x", "  no head"), (7, "b", "x", "} neither")]
-    return multiline.by_second(_literal(v, rows)).select("host", "message")
+    """Fragments before and after a head, a second head, and none."""
+    i = F.col("id")
+    rows = split_lines(v, (None, F.lit("  early")), (i % 4 != 0, F.col("message")), (None, F.lit("  at x.y")), (None, F.lit("}")), (i % 4 == 1, F.concat(F.lit("Second "), i)), (i % 4 == 1, F.lit("\ttail")))
+    return multiline.by_second(rows.withColumn("host", F.concat("host", F.lit("/"), i))).select("id", "message")
+
+
+CONTAINER_LINES = """lines AS (SELECT host, id * 4 AS seq, us, upper(program[1]) || substring(program, 2) || ' of ' || id AS line FROM log_events UNION ALL SELECT host, id * 4 + 1, us + 500000, '  from ' || source_ip FROM log_events WHERE id % 3 <> 0
+    UNION ALL SELECT host, id * 4 + 2, us + 2500000, ')' FROM log_events WHERE id % 5 <> 0 UNION ALL SELECT host, id * 4 + 3, us + 4600000, 'after ' || id FROM log_events WHERE id % 7 = 0)"""
+
+
+@query(with_views("""SELECT host, min(seq) AS seq, array_to_string(list(line ORDER BY us, seq), chr(10)) AS message FROM (SELECT *, sum(b) OVER (PARTITION BY host ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS entry
+    FROM (SELECT *, CASE WHEN regexp_matches(line, '^[A-Z]') OR us // 1000 - lag(us) OVER (PARTITION BY host ORDER BY us, seq) // 1000 > 2000 THEN 1 ELSE 0 END AS b FROM lines)) GROUP BY host, entry""", "log_events").replace("\nSELECT host, min", f",\n{CONTAINER_LINES}\nSELECT host, min", 1))
+def container_multiline(v: Views) -> DataFrame:
+    """Lines of many events of one host, between each other in time, as entries: by how they begin and by the time between them."""
+    i, us_at = F.col("id"), US("timestamp")
+    rows = split_lines(v, (None, F.concat(F.initcap("program"), F.lit(" of "), i)), (i % 3 != 0, F.concat(F.lit("  from "), "source_ip")), (i % 5 != 0, F.lit(")")), (i % 7 == 0, F.concat(F.lit("after "), i)))
+    at = F.element_at(F.array(*[F.lit(x) for x in (0, 500_000, 2_500_000, 4_600_000)]), (F.col("seq") % 10 + 1).cast("int"))
+    rows = rows.select("host", F.timestamp_micros(us_at + at).alias("timestamp"), (i * 4 + F.col("seq") % 10).alias("seq"), "message")
+    return containers.container_entries(rows, "host").groupBy("host", "seq").agg(F.first("message").alias("message"))
+
+
+@query("""SELECT id, CASE id % 7 WHEN 5 THEN substring(reverse(sha256('c' || no)), 1, 12) ELSE 'app-' || no END AS program, CASE id % 7 WHEN 0 THEN 'warning' WHEN 1 THEN 'error' WHEN 2 THEN 'notice' WHEN 3 THEN 'error' WHEN 4 THEN 'emerg' END AS severity,
+    CASE id % 7 WHEN 0 THEN 'job ' || id WHEN 1 THEN '[error] ' || message WHEN 2 THEN 'level=notice ' || message WHEN 4 THEN 'done ' || id ELSE message END AS message FROM (SELECT *, substring(host, 6) AS no FROM log_events) WHERE id % 7 <> 6 AND (no <> '3' OR id % 7 = 5)""", "log_events")
+def container_enriched(v: Views) -> DataFrame:
+    """Container rows: JSON texts with a word or a number for a level, bracketed and key=value levels, standard error, names, no name, own and empty ones."""
+    i, kind = F.col("id"), F.col("id") % 7
+    no = F.regexp_extract("host", "[0-9]+", 0)
+    cid = F.sha2(F.concat(F.lit("c"), no).cast("binary"), 256)
+    log = (
+        F.when(kind == 0, F.concat(F.lit(' {"level":"WARN","msg":"job '), i, F.lit('"} '))).when(kind == 1, F.concat(F.lit("2024-01-05T10:00:00.123Z \x1b[31m[error]\x1b[0m "), "message")).when(kind == 2, F.concat(F.lit("level=notice "), "message", F.lit(" \n")))
+        .when(kind == 4, F.concat(F.lit('{"time":1,"level":60,"message":"done '), i, F.lit('"}'))).when(kind == 6, F.lit(" \n")).otherwise(F.col("message"))
+    )
+    path = F.concat(F.lit("/var/lib/docker/containers/"), F.when(kind == 5, F.reverse(cid)).otherwise(cid), F.lit("/x-json.log"))
+    rows = v.log_events.select("id", path.alias("log_path"), F.when(kind == 3, "stderr").otherwise("stdout").alias("stream"), log.alias("log"))
+    hosts = v.log_events.select(no.alias("no")).distinct()
+    names = hosts.select(F.sha2(F.concat(F.lit("c"), "no").cast("binary"), 256).alias("container_id"), F.when(F.col("no") == "3", "/prod-fluent-bit-1").otherwise(F.concat(F.lit("/app-"), "no")).alias("name"))
+    return containers.enriched(rows, names).select("id", "program", "severity", "message")
 
 
 # External events

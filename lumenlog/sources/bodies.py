@@ -53,39 +53,31 @@ def syslog_records(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.withColumn("record", out)
 
 
-ANSI = r"\x1B\[[0-9;]*[A-Za-z]"
-
-
-def container_records(rows: DataFrame, own: tuple[str, ...] = ()) -> DataFrame:
-    """Container log rows (log, stream, filepath, container_name) as records.
+def otlp_records(rows: DataFrame, column: str = "value") -> DataFrame:
+    """OTLP log bodies (resourceLogs, scopeLogs, logRecords) as records.
 
-    Logs of the collector's own containers and empty lines go; colours and a leading time are taken off;
-    severity comes from a bracketed or key=value level, else stderr means error.
+    Times stay whole nanoseconds; attributes of resource and record become keys of their own, the
+    record's before the resource's, beside those that fill a field.
     """
-    cid = F.regexp_extract("filepath", r"/containers/([0-9a-f]{12})", 1)
-    name = F.coalesce(F.nullif(F.regexp_replace("container_name", r"^/", ""), F.lit("")), F.nullif(cid, F.lit("")))
-    text = F.regexp_replace(F.regexp_replace("log", ANSI, ""), r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?\s*", "")
-    text = strip(text)
-    tag = F.lower(F.regexp_extract(text, r"(?i)^\[?(emergency|alert|critical|fatal|error|warning|warn|notice|info|debug|trace)\]?[:\s]", 1))
-    kv = F.lower(F.regexp_extract(text, r"(?i)(?:^|\s)level=\"?(\w+)", 1))
-    level = F.coalesce(F.nullif(tag, F.lit("")), F.nullif(kv, F.lit("")), F.when(F.col("stream") == "stderr", "error"))
-    df = rows.withColumns({"program": name, "message": text, "severity": level}).filter("message != ''")
-    if own:
-        df = df.filter(~F.coalesce(F.col("program").isin(*own), F.lit(False)))
-    return df.withColumn("record", F.to_json(F.struct("message", "severity", "program", F.lit("docker").alias("collector"))))
-
-
-def otlp_records(rows: DataFrame, column: str = "value") -> DataFrame:
-    """OTLP log bodies (resourceLogs, scopeLogs, logRecords) as records."""
-    attr = "array<struct<key:string,value:struct<stringValue:string>>>"
-    shape = f"struct<resourceLogs:array<struct<resource:struct<attributes:{attr}>,scopeLogs:array<struct<logRecords:array<struct<timeUnixNano:string,severityNumber:int,severityText:string,body:struct<stringValue:string>,traceId:string,spanId:string,attributes:{attr}>>>>>>>"
+    any_value = "struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean>"
+    attr = f"array<struct<key:string,value:{any_value}>>"
+    shape = f"struct<resourceLogs:array<struct<resource:struct<attributes:{attr}>,scopeLogs:array<struct<logRecords:array<struct<timeUnixNano:string,observedTimeUnixNano:string,severityNumber:int,severityText:string,body:{any_value},traceId:string,spanId:string,attributes:{attr}>>>>>>>"
     r = rows.select(F.explode(F.from_json(column, shape)["resourceLogs"]).alias("r")).select("r.resource", F.explode("r.scopeLogs").alias("s")).select("resource", F.explode("s.logRecords").alias("l"))
-    of = lambda c, k: F.get(F.filter(c, lambda a: a["key"] == k), F.lit(0))["value"]["stringValue"]
-    record = F.struct(
-        F.col("l.body.stringValue").alias("message"), (F.col("l.timeUnixNano").cast("double")).alias("timestamp"), F.col("l.severityNumber").alias("severity_number"), F.col("l.severityText").alias("severity_text"),
-        of("resource.attributes", "service.name").alias("service"), of("resource.attributes", "host.name").alias("host"), F.col("l.traceId").alias("trace_id"), F.col("l.spanId").alias("span_id"),
+    text = lambda v: F.coalesce(v["stringValue"], v["intValue"], v["doubleValue"].cast("string"), v["boolValue"].cast("string"))
+    none = F.array().cast(attr)
+    pairs = lambda c: F.transform(F.filter(F.coalesce(c, none), lambda a: a["key"].isNotNull()), lambda a: F.struct(a["key"].alias("key"), text(a["value"]).alias("value")))
+    first = lambda c: F.map_from_entries(F.aggregate(c, F.array().cast("array<struct<key:string,value:string>>"), lambda out, a: F.when(F.exists(out, lambda x: x["key"] == a["key"]), out).otherwise(F.array_append(out, a))))
+    df = r.withColumn("attributes", first(F.concat(pairs(F.col("l.attributes")), pairs(F.col("resource.attributes")))))
+    nanos = F.coalesce(*[F.nullif(F.col(f"l.{c}").cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)")) for c in ("timeUnixNano", "observedTimeUnixNano")])
+    of = lambda k: F.try_element_at("attributes", F.lit(k))
+    fixed = F.struct(
+        text(F.col("l.body")).alias("message"), F.col("l.severityNumber").cast("string").alias("severity_number"), F.col("l.severityText").alias("severity_text"), nanos.cast("string").alias("timestamp"),
+        of("service.name").alias("service"), of("host.name").alias("host"), F.col("l.traceId").alias("trace_id"), F.col("l.spanId").alias("span_id"),
     )
-    return r.select(F.to_json(record).alias("record"))
+    more = F.map_filter("attributes", lambda k, _: ~k.isin("service.name", "host.name"))
+    # Both are JSON objects: the second's opening brace becomes a comma. Numbers were text only to keep their digits.
+    whole = F.regexp_replace(F.to_json(fixed), r'"(severity_number|timestamp)":"(\d+)"', '"$1":$2')
+    return df.select(F.when(F.size(more) == 0, whole).otherwise(F.concat(F.substring(whole, F.lit(1), F.length(whole) - 1), F.lit(","), F.substring(F.to_json(more), 2, 1 << 30))).alias("record"))
 
 
 def read_bodies(spark: SparkSession, path: str) -> DataFrame:

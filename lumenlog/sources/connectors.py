@@ -1,7 +1,10 @@
 """Polled log services as Python data sources: the stream's offset is the service's cursor.
 
-A fetcher turns (config, cursor, limit) into (records, next cursor). It is given by name, so that
-executors and tests can supply their own transport; the default one reads JSON over HTTP.
+A fetcher turns (config, cursor, now) into (records, next cursor), oldest first. It is given by name, so
+that executors and tests can supply their own transport; the default one reads JSON over HTTP.
+
+An offset names the cursor, the time at which the service was asked and the number of records, so that a
+batch that is read again asks for the same range and takes the same records.
 """
 
 from __future__ import annotations
@@ -33,6 +36,16 @@ def iso(t: datetime) -> str:
     return t.astimezone(UTC).strftime("%Y-%m-%dT%H:%M:%S.%f")[:-3] + "Z"
 
 
+def nanos(t: datetime) -> int:
+    whole = t.astimezone(UTC) - datetime(1970, 1, 1, tzinfo=UTC)
+    return ((whole.days * 86_400 + whole.seconds) * 1_000_000 + whole.microseconds) * 1_000
+
+
+def from_nanos(n: int) -> str:
+    """A time with all nine digits of its second."""
+    return datetime.fromtimestamp(n // 1_000_000_000, UTC).strftime("%Y-%m-%dT%H:%M:%S.") + f"{n % 1_000_000_000:09d}Z"
+
+
 def from_index(config: dict, cursor: str | None, ask: Callable = http_json, now: Callable = utc_now) -> tuple[list[dict], str]:
     """Documents after the cursor (five minutes ago without one), oldest first; the next cursor is the last one's time, else now."""
     end = iso(now())
@@ -53,7 +66,7 @@ def from_streams(config: dict, cursor: str | None, ask: Callable = http_json, no
     """Label streams with nanosecond times, kept as whole numbers; the next cursor is one after the greatest."""
     from urllib.parse import urlencode
 
-    end = int(now().timestamp()) * 1_000_000_000
+    end = nanos(now())
     start = int(cursor) if cursor else end - 300_000_000_000
     asked = urlencode({"query": config.get("query", '{job=~".+"}'), "start": start, "end": end, "limit": LIMIT, "direction": "forward"})
     out, last = [], start
@@ -63,7 +76,8 @@ def from_streams(config: dict, cursor: str | None, ask: Callable = http_json, no
             if not str(at).isdigit():
                 continue
             last = max(last, int(at) + 1)
-            out.append({"timestamp": iso(datetime.fromtimestamp(int(at) / 1e9, UTC)), "message": line, "host": labels.get("host") or labels.get("hostname"), "program": labels.get("app") or labels.get("job"), "service": labels.get("service"), "severity": labels.get("level"), "external_id": f"{at}"})
+            out.append({"timestamp": from_nanos(int(at)), "message": line, "host": labels.get("host") or labels.get("hostname"), "program": labels.get("app") or labels.get("job"), "service": labels.get("service"), "severity": labels.get("level"), "external_id": f"{at}"})
+    out.sort(key=lambda r: int(r["external_id"]))  # streams of labels come one after the other
     return out, str(last)
 
 
@@ -127,21 +141,30 @@ class PollReader(DataSourceReader):
 
 
 class PollStream(SimpleDataSourceStreamReader):
-    """A failed poll raises, so its cursor isn't committed and the batch comes again: at least once."""
+    """A failed poll raises, so its cursor isn't committed and the same range is asked for again."""
 
     def __init__(self, options: dict):
         self.options = options
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"cursor": self.options.get("cursor")}
+        return {"cursor": self.options.get("cursor"), "asked": None, "records": 0}
+
+    def ask(self, cursor: str | None, at: datetime) -> tuple[list[dict], str]:
+        return fetcher(self.options)(self.options, cursor, now=lambda: at)
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        records, cursor = fetcher(self.options)(self.options, start["cursor"])
-        return iter(list(rows_of(records))), {"cursor": cursor}
+        at = utc_now()
+        records, cursor = self.ask(start["cursor"], at)
+        if not records:
+            # Nothing new: the offset stands, so that no empty batch is written; its range is asked for again.
+            return iter(()), start if start["asked"] else start | {"cursor": start["cursor"] or cursor}
+        return rows_of(records), {"cursor": cursor, "asked": at.isoformat(), "records": len(records)}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-        records, _ = fetcher(self.options)(self.options, start["cursor"])
-        return iter(list(rows_of(records)))
+        if not end["asked"]:
+            return iter(())
+        records, _ = self.ask(start["cursor"], datetime.fromisoformat(end["asked"]))
+        return rows_of(records[: end["records"]])
 
 
 def register(spark) -> None:

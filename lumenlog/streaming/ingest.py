@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import events as ev, ingest as ing
+from ..storage import Folder
 
-Now = Callable[[], "object"]
+#: Batches whose time is kept; only the last one may run again.
+KEPT_CLOCKS = 100
 
 
 def read_or_none(spark, path: str) -> DataFrame | None:
@@ -30,20 +33,37 @@ def append_events(events: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("event_month").parquet(path)
 
 
-def start_ingest(records: DataFrame, sources: Sequence[Mapping], systems: DataFrame, events_path: str, discovery_path: str, checkpoint: str, now: Callable | None = None, redaction: bool = False) -> StreamingQuery:
-    """Starts a query over streamed records (column ``record``). A replayed batch adds no event: hash and time identify it.
+def batch_time(spark, checkpoint: str, number: int, now: datetime) -> datetime:
+    """The time at which a batch was first worked on, kept beside the checkpoint: a batch that runs again has the same."""
+    clock = Folder(spark, f"{checkpoint}/clock")
+    if (known := clock.read(str(number))) is None:
+        clock.swap(str(number), known := now.isoformat())
+        for old in clock.names():
+            if old.isdigit() and int(old) < number - KEPT_CLOCKS:
+                clock.drop(old)
+    return datetime.fromisoformat(known)
 
-    Processes what is there and stops; run again, it goes on from its checkpoint.
+
+def start_ingest(records: DataFrame, sources: Sequence[Mapping], systems: DataFrame, events_path: str, discovery_path: str, checkpoint: str, now: Callable[[], datetime] | None = None, redaction: bool = False, trigger: dict | None = None) -> StreamingQuery:
+    """Starts a query over streamed records (column ``record``): normalise, route, redact, hash and append as one step that may run twice.
+
+    A batch that runs again, because it was lost between writing and its commit, works at the time of its
+    first run, gives events the same ids and hashes, adds none that the store has, and puts its discovery
+    rows into the folder of its own number, replacing what is there.
+    Processes what is there and stops, unless ``trigger`` says otherwise; run again, it goes on from its checkpoint.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        at = now() if now else F.current_timestamp()
-        events, seen = ing.ingest(df.persist(), sources, systems, at, redaction=redaction)
-        append_events(events, events_path)
-        seen.withColumn("batch", F.lit(number)).write.mode("append").parquet(discovery_path)
-        df.unpersist()
-
-    return records.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        at = F.lit(batch_time(df.sparkSession, checkpoint, number, now() if now else datetime.now(UTC))).cast("timestamp")
+        df = df.persist()
+        try:
+            events, seen = ing.ingest(df, sources, systems, at, redaction=redaction)
+            append_events(events, events_path)
+            seen.write.mode("overwrite").parquet(f"{discovery_path}/batch={number}")
+        finally:
+            df.unpersist()
+
+    return records.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def deduplicated(events: DataFrame, watermark: str = "48 hours") -> DataFrame:
