@@ -46,14 +46,16 @@ def branches(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     up = checkpointed(m.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("is_known"), F.col("parent")).alias("above"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("sum")))
     parents = up.filter("above is not null").select("tree", F.col("above").alias("node")).distinct()
     leaves = up.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"))
-    hops = [up]
-    while not (now := hops[-1]).filter("above is not null").isEmpty():
-        top = now.select("tree", F.col("node").alias("above"), F.col("above").alias("next"), F.col("depth").alias("more"), F.col("sum").alias("plus"))
-        joined = now.join(top, ["tree", "above"], "left")
-        hops.append(checkpointed(joined.select("tree", "node", F.col("next").alias("above"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("sum") + F.coalesce("plus", F.lit(0.0))).alias("sum"))))
+    # Only messages whose root is farther away take part in the next round.
+    done, hops = up.filter("above is null"), [up.filter("above is not null")]
+    while not (now := hops[-1]).isEmpty():
+        top = done.unionByName(now).select("tree", F.col("node").alias("above"), F.col("above").alias("next"), F.col("depth").alias("more"), F.col("sum").alias("plus"))
+        joined = checkpointed(now.join(top, ["tree", "above"]).select("tree", "node", F.col("next").alias("above"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("sum") + F.col("plus")).alias("sum")))
+        done = done.unionByName(joined.filter("above is null"))
+        hops.append(joined.filter("above is not null"))
         if len(hops) > 40:
             raise ValueError("the parents form a cycle")
-    whole = hops[-1].select("tree", F.col("node").alias("leaf"), "depth", (F.col("sum") / F.col("depth")).alias("score"))
+    whole = done.select("tree", F.col("node").alias("leaf"), "depth", (F.col("sum") / F.col("depth")).alias("score"))
     best = W.partitionBy("tree").orderBy(F.desc("score"), F.desc("depth"), "leaf")
     return whole.join(leaves, ["tree", "leaf"]).withColumn("rank", F.row_number().over(best)), hops
 
@@ -62,7 +64,7 @@ def paths(chosen: DataFrame, hops: list[DataFrame]) -> DataFrame:
     """tree, leaf, node, height (0: the leaf) of all messages on the chosen leaves' paths: each join with a longer hop doubles a path."""
     found = chosen.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("height"))
     for k, hop in enumerate(hops[:-1]):
-        step = hop.filter("above is not null").select("tree", "node", "above")
+        step = hop.select("tree", "node", "above")
         more = found.join(step, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("height") + (1 << k)).alias("height"))
         found = checkpointed(found.unionByName(more))
     return found
