@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.similarity import csv_field
 from ..schema import CRITERIA
+from ..storage import stored
 from . import findings as fi, scoring, windows as wi
 
 
@@ -106,12 +107,30 @@ def daily_summaries(summaries: DataFrame) -> DataFrame:
 
 
 def uniform(rows: DataFrame, order: list[str], n: int = 60) -> DataFrame:
-    """n rows evenly spread over an order: places floor(i * (rows - 1) / (n - 1)). ``rows`` is a question's context, limited before."""
-    total = rows.count()
+    """n rows evenly spread over an order: places floor(i * (rows - 1) / (n - 1)).
+
+    ``order`` tells rows apart, its last column being their key. Its columns alone are dealt into ranges;
+    from the ranges' counts follows in which range, and where, each place lies, and only those ranges are
+    ranked, each in a task of its own.
+    """
+    keys = rows.select(*order).repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    ranged = stored(keys, "ranges")
+    counts = sorted((r["_range"], r["count"]) for r in ranged.groupBy("_range").count().collect())  # a row a partition
+    total = sum(c for _, c in counts)
     if total <= n:
         return rows
-    places = rows.sparkSession.range(n).select(F.expr(f"(id * {total - 1}L) div {n - 1}").alias("_at")).distinct()
-    return rows.withColumn("_at", F.row_number().over(W.orderBy(*order)) - 1).join(F.broadcast(places), "_at", "left_semi").drop("_at")
+    places, wanted, start = sorted({i * (total - 1) // (n - 1) for i in range(n)}), [], 0
+    for k, c in counts:
+        wanted += [(k, p - start) for p in places if start <= p < start + c]
+        start += c
+    at = rows.sparkSession.createDataFrame(wanted, "_range int, _at int")
+    rank = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
+    chosen = ranged.filter(F.col("_range").isin(sorted({k for k, _ in wanted}))).withColumn("_at", rank).join(F.broadcast(at), ["_range", "_at"], "left_semi")
+    picked = F.broadcast(chosen.select(*order).alias("p"))  # n rows
+    same = F.lit(True)
+    for c in order:
+        same &= F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}"))
+    return rows.alias("r").join(picked, same, "left_semi")
 
 
 def question_context(findings: DataFrame, summaries: DataFrame, now: Column, most_findings: int = 50, recent_hours: int = 24) -> DataFrame:

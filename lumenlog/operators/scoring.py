@@ -6,10 +6,11 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.templates import parameterize, pattern_hash
 from ..schema import CRITERIA
+from ..storage import KeyedTable
 
 NAMES = tuple(CRITERIA.values())
 SCORES = ", ".join(f"{n} double" for n in NAMES)
@@ -67,6 +68,29 @@ def accumulated(old: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     return a.unionByName(b).groupBy("pattern_hash", "system_id", "template_text").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("occurrence_count").alias("occurrence_count"))
 
 
+TEMPLATES = "pattern_hash string, system_id long, template_text string, first_seen timestamp, last_seen timestamp, occurrence_count long, cached_scores string, last_scored_at timestamp, avg_max_score double, score_count long"
+
+
+def template_table(spark: SparkSession, path: str, buckets: int = 64) -> KeyedTable:
+    """The templates as a keyed table: a batch rewrites only the buckets of the templates it touches."""
+    return KeyedTable(spark, path, TEMPLATES, ["pattern_hash"], buckets)
+
+
+def accumulate_into(table: KeyedTable, new: DataFrame, now: Column) -> list[int]:
+    """``accumulated`` in place: counts add up, first_seen and the score cache stay, last_seen is ``now``."""
+    known = ("cached_scores", "last_scored_at", "avg_max_score", "score_count")
+    rows = new.select("pattern_hash", "system_id", "template_text", now.alias("first_seen"), now.alias("last_seen"), F.col("n").cast("long").alias("occurrence_count"), *[F.lit(None).cast(table.schema[c].dataType).alias(c) for c in known])
+    first = lambda a, b: F.coalesce(a, b)
+    return table.upsert(rows, {c: first for c in ("template_text", "first_seen", *known)} | {"last_seen": lambda a, b: F.greatest(a, b), "occurrence_count": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))})
+
+
+def refresh_cache_in(table: KeyedTable, fresh: DataFrame, now: Column) -> list[int]:
+    """``cache_refreshed`` in place, for the templates that ``fresh`` (pattern_hash and the six columns) names."""
+    names = table.schema.names
+    known = table.read().join(fresh.select("pattern_hash"), "pattern_hash", "left_semi")
+    return table.upsert(cache_refreshed(known, fresh, now).select(*names))
+
+
 def route_of(now: Column, skip_severities: tuple[str, ...] = ("debug",), cache_minutes: int = 360, low_score: float = 0.0, least_count: int = 5) -> Column:
     """severity_skip, cached, low_score_skip or score, in this order of precedence."""
     fresh = F.unix_micros(now) - F.unix_micros("last_scored_at") < cache_minutes * 60_000_000

@@ -158,13 +158,13 @@ class PollStream(SimpleDataSourceStreamReader):
         if not records:
             # Nothing new: the offset stands, so that no empty batch is written; its range is asked for again.
             return iter(()), start if start["asked"] else start | {"cursor": start["cursor"] or cursor}
-        return rows_of(records), {"cursor": cursor, "asked": at.isoformat(), "records": len(records)}
+        return iter(list(rows_of(records))), {"cursor": cursor, "asked": at.isoformat(), "records": len(records)}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
         if not end["asked"]:
             return iter(())
         records, _ = self.ask(start["cursor"], datetime.fromisoformat(end["asked"]))
-        return rows_of(records[: end["records"]])
+        return iter(list(rows_of(records[: end["records"]])))
 
 
 def register(spark) -> None:
