@@ -85,3 +85,49 @@ def replayed(buffer: DataFrame, source: Mapping, stored: DataFrame, most: int =
             rows = rows.withColumn(c, F.lit(None).cast("string"))
     own = routing.routed(rows, [source]).filter("system_id is not null").orderBy("received_at", "id").limit(most)
     return ev.append_new(stored, own.withColumn("normalized_hash", ev.normalized_hash()))
+
+
+def purged(buffer: DataFrame, now: Column, ttl_hours: int = 72) -> DataFrame:
+    """The buffer without rows older than its time to live."""
+    return buffer.filter(F.unix_micros("received_at") >= F.unix_micros(now) - ttl_hours * 3_600_000_000)
+
+
+def covered(groups: DataFrame, sources: Sequence[Mapping]) -> Column:
+    """Whether a source that is no catch-all already claims a group's host or address; invalid patterns claim nothing."""
+    from . import routing
+
+    out = F.lit(False)
+    for s in sources:
+        if not routing.is_catch_all(s["selector"]):
+            for group in routing.groups_of(s["selector"]):
+                for field, kind in (("host", "host"), ("source_ip", "source_ip")):
+                    if (p := group.get(field)) and normal.is_valid(p):
+                        out |= (F.col("kind") == kind) & F.coalesce(F.col("key").rlike(f"(?i){p}"), F.lit(False))
+    return out
+
+
+SUGGESTED = ("group_key", "kind", "key", "suggested_name", "n", "first_seen", "last_seen", "programs", "samples")
+
+
+def refreshed(existing: DataFrame, found: DataFrame, sources: Sequence[Mapping], now: Column) -> DataFrame:
+    """The table of suggestions after a run: ``existing`` (SUGGESTED, status, dismissed_until, merge_target_id, updated_at) with ``found`` put in.
+
+    New groups are pending; known ones that are pending, or whose dismissal has ended, take the new counts,
+    times and samples and are pending; accepted, merged and dismissed ones stay as they are. Groups that a
+    source now covers go unless they were accepted or merged.
+    """
+    new = found.filter(~covered(found, sources)).select(*SUGGESTED).alias("n")
+    old = existing.filter(F.col("status").isin("accepted", "merged") | ~covered(existing, sources)).alias("o")
+    both = old.join(new, F.col("o.group_key") == F.col("n.group_key"), "full_outer")
+    closed = F.col("o.status").isin("accepted", "merged") | ((F.col("o.status") == "dismissed") & (F.col("o.dismissed_until").isNull() | (F.col("o.dismissed_until") > now)))
+    take = F.col("n.group_key").isNotNull() & ~F.coalesce(closed, F.lit(False))
+    pick = [F.when(take, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in SUGGESTED]
+    return both.select(*pick, F.when(take, "pending").otherwise(F.col("o.status")).alias("status"), F.when(~take, F.col("o.dismissed_until")).alias("dismissed_until"), F.col("o.merge_target_id").alias("merge_target_id"), F.when(take, now).otherwise(F.col("o.updated_at")).alias("updated_at"))
+
+
+def merged(suggestions: DataFrame, group_key: str, system_id: int, now: Column, priority: int = 50) -> tuple[DataFrame, DataFrame]:
+    """(suggestions, new sources): a pending suggestion joins a system that is there, by a source with an anchored selector."""
+    hit = (F.col("group_key") == group_key) & (F.col("status") == "pending")
+    own = selector_for(suggestions.filter(hit))
+    source = own.select(F.lit(system_id).cast("long").alias("system_id"), F.concat("suggested_name", F.lit(" (auto-discovered)")).alias("label"), "selector", F.lit(priority).alias("priority"), now.alias("created_at"))
+    return suggestions.withColumns({"merge_target_id": F.when(hit, F.lit(system_id).cast("long")).otherwise(F.col("merge_target_id")), "updated_at": F.when(hit, now).otherwise(F.col("updated_at")), "status": F.when(hit, "merged").otherwise(F.col("status"))}), source

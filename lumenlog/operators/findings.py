@@ -10,7 +10,14 @@ from . import pairs
 from ..storage import stored
 
 #: Phrases by which evidence contradicts a resolution.
-CONTRADICTIONS = ("still occurring", "still active", "still present", "continues to", "not resolved", "unresolved", "persists", "ongoing", "no evidence of resolution", "remains")
+CONTRADICTIONS = (
+    "remains unresolved", "not resolved", "still unresolved", "not been resolved", "has not been fixed", "not yet resolved", "no evidence of resolution", "no resolution", "still active", "still occurring", "still happening", "still ongoing", "still present", "still exists", "still persists",
+    "persists", "unresolved", "continues to", "ongoing", "issue remains", "issue persists", "issue continues", "problem persists", "problem remains", "problem continues", "error persists", "error remains", "error continues", "no change", "no fix", "not fixed", "unchanged",
+    "indicating the issue remains", "confirm ongoing", "confirms ongoing", "confirming ongoing", "failed", "failure", "connection error", "connection failure", "connection refused", "reconnection failed", "unreachable",
+)
+#: Severities that prove a problem, not its end.
+PROBLEMS = ("error", "err", "critical", "crit", "alert", "emergency", "emerg")
+SELF_OVERLAP = 0.4
 
 
 def same_criterion(a: Column, b: Column) -> Column:
@@ -214,6 +221,31 @@ def resolution(evidence: Column, references: Column, own_overlap: Column, all_er
     return F.when(F.size(references) < 1, "no_references").when(against, "contradictory").when(own_overlap >= overlap, "self_reference").when(all_errors, "still_failing").otherwise("resolve")
 
 
+def evidence_words(text: Column) -> Column:
+    """Distinct words of four letters or more, once all but letters, digits and white space is taken out."""
+    return F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9\s]", ""), r"\s+"), lambda w: F.length(w) > 3))
+
+
+def resolutions(answers: DataFrame, findings: DataFrame, events: DataFrame, overlap: float = SELF_OVERLAP) -> DataFrame:
+    """finding_id, event_ids and verdict of an analysis' resolutions (see ``resolution``), with overlaps worked out here.
+
+    ``answers``: finding_id, evidence, references (event ids, repeats count once); ``findings``: id, text;
+    ``events``: id, message, severity. References to unknown events don't count. An event speaks for the
+    finding itself if ``overlap`` or more of either's words are the other's; events without
+    words are not looked at, nor are those without a severity.
+    """
+    asked = answers.select("finding_id", F.explode(F.array_distinct("references")).alias("event_id"))
+    told = asked.join(events.select(F.col("id").alias("event_id"), evidence_words(F.col("message")).alias("_said"), (F.regexp_replace(F.coalesce("message", F.lit("")), r"(?i)[^a-z0-9\s]", "") != "").alias("_any"), F.lower(F.trim(F.coalesce("severity", F.lit("")))).alias("_severity")), "event_id")
+    told = told.join(findings.select(F.col("id").alias("finding_id"), evidence_words(F.col("text")).alias("_own")), "finding_id")
+    shared = F.size(F.array_intersect("_own", "_said"))
+    part = lambda c: F.when(F.size(c) > 0, shared / F.greatest(F.size(c), F.lit(1))).otherwise(0.0)
+    each = told.withColumn("_overlap", F.when(F.col("_any"), F.greatest(part("_own"), part("_said"))))
+    facts = each.groupBy("finding_id").agg(F.array_sort(F.collect_set("event_id")).alias("event_ids"), F.min("_overlap").alias("_least"), F.bool_and(F.when(F.col("_severity") != "", F.col("_severity").isin(*PROBLEMS))).alias("_errors"))
+    df = answers.select("finding_id", "evidence").join(facts, "finding_id", "left").withColumn("event_ids", F.coalesce("event_ids", F.array().cast(dict(facts.dtypes)["event_ids"])))
+    verdict = resolution(F.col("evidence"), F.col("event_ids"), F.coalesce("_least", F.lit(-1.0)), F.coalesce("_errors", F.lit(False)), overlap)
+    return df.select("finding_id", "event_ids", verdict.alias("verdict"))
+
+
 def missed(findings: DataFrame, seen: DataFrame, anything: bool = True) -> DataFrame:
     """Open findings that a window neither saw nor resolved have one more miss; nothing changes if it classified nothing."""
     if not anything:

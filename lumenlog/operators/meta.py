@@ -8,18 +8,32 @@ from ..functions.masking import mask_private
 from . import normal, scoring
 
 
-def window_events(events: DataFrame, windows: DataFrame, most: int = 500) -> DataFrame:
-    """window_id with its earliest unacknowledged events, ``most`` at most; the cap comes before any other step."""
+def window_events(events: DataFrame, windows: DataFrame, most: int | None = 500, unacked: bool = True) -> DataFrame:
+    """window_id with its earliest events, unacknowledged ones unless told otherwise, ``most`` at most (None: all); the cap comes before any other step."""
     hour = 3_600_000_000
     t = F.unix_micros("timestamp")
     w = windows.select("window_id", "system_id", F.unix_micros("from_ts").alias("_a"), F.unix_micros("to_ts").alias("_b"))
     w = w.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_a") / hour), F.floor((F.col("_b") - 1) / hour))))
-    e = events.filter("acknowledged_at is null").withColumn("_bucket", F.floor(t / hour))
+    e = (events.filter("acknowledged_at is null") if unacked else events).withColumn("_bucket", F.floor(t / hour))
     inside = e.join(w, ["system_id", "_bucket"]).filter((t >= F.col("_a")) & (t < F.col("_b")))
+    if most is None:
+        return inside.drop("_a", "_b", "_bucket")
     order = W.partitionBy("window_id").orderBy("timestamp", "id")
     return inside.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= most).drop("_at", "_a", "_b", "_bucket")
 
 
+def window_counts(events: DataFrame, windows: DataFrame, unacked: bool = True) -> DataFrame:
+    """window_id and the number of its events, 0 where there are none."""
+    n = window_events(events, windows, None, unacked).groupBy("window_id").agg(F.count(F.lit(1)).alias("n"))
+    return windows.select("window_id", "system_id").join(n, "window_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def results_with_systems(results: DataFrame, windows: DataFrame, systems: DataFrame) -> DataFrame:
+    """Analyses (window_id and others) with their window's times and their system's id and name."""
+    own = windows.select("window_id", "system_id", "from_ts", "to_ts")
+    return results.drop("system_id", "from_ts", "to_ts").join(own, "window_id").join(systems.select("system_id", F.col("name").alias("system_name")), "system_id")
+
+
 def meta_input(events: DataFrame, windows: DataFrame, scores: DataFrame, templates: DataFrame, most: int = 500, least_groups: int = 5, privacy: bool = False) -> DataFrame:
     """Grouped events of each window, the highest scores first.
 

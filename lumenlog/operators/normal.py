@@ -207,6 +207,19 @@ def retroactively_zeroed(scores: DataFrame, matched: DataFrame) -> DataFrame:
     return scores.join(hit, "event_id", "left").withColumn("score", F.when(F.col("_hit"), 0.0).otherwise(F.col("score"))).drop("_hit")
 
 
+def applied_retroactively(scores: DataFrame, events: DataFrame, templates: DataFrame, windows: DataFrame, effective: DataFrame, now: Column, days: int = 7) -> tuple[DataFrame, DataFrame]:
+    """(scores, effective scores) after new templates: matched events score 0, and the last days' windows are worked out anew.
+
+    ``events`` carry acknowledged_at: acknowledged ones count for no window, as before.
+    """
+    from . import windows as wi
+
+    zeroed = retroactively_zeroed(scores, excluded(events, templates))
+    open_events = events.filter("acknowledged_at is null").select(F.col("id").alias("event_id"), "system_id", "timestamp")
+    scored = zeroed.filter("score > 0").join(open_events, "event_id").select("system_id", "timestamp", "criterion_id", "score")
+    return zeroed, wi.recalculated(windows, effective, scored, now, days)
+
+
 def ignored(rows: DataFrame, patterns: list[str], columns: tuple[str, ...] = ("host", "source_ip")) -> Column:
     """Whether a pattern matches one of the columns, in either case; invalid patterns are passed over."""
     out = F.lit(False)

@@ -176,6 +176,37 @@ def export_json(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
+#: The columns of an audit export, the most rows it has, and the sizes of a page.
+AUDIT_COLUMNS = ("id", "at", "actor", "user_id", "session_id", "action", "resource_type", "resource_id", "details", "ip")
+MOST_EXPORTED, USUAL_AUDIT_PAGE, MOST_AUDIT_PAGE = 50_000, 50, 200
+
+
+def audit_export(audit: DataFrame, most: int = MOST_EXPORTED) -> DataFrame:
+    """The newest audit rows with AUDIT_COLUMNS, for ``export_csv`` or ``export_json``; columns that the table lacks are null."""
+    have = audit.columns
+    return audit.select(*[F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in AUDIT_COLUMNS]).orderBy(F.desc("at"), F.desc("id")).limit(most)
+
+
+def audit_page(found: DataFrame, page: int = 1, limit: int = USUAL_AUDIT_PAGE, by: str = "created_at") -> DataFrame:
+    """One page of what an audit search found, newest first."""
+    n = min(max(limit or USUAL_AUDIT_PAGE, 1), MOST_AUDIT_PAGE)
+    return found.orderBy(F.desc(by), F.desc("id")).offset((max(page, 1) - 1) * n).limit(n)
+
+
+def top_reasons(scores: DataFrame, events: DataFrame, criterion: int | None = None) -> DataFrame:
+    """group_key, severity, program, criterion_id, score, reason_codes and severity_label of the greatest score of each group of ``grouped_scores``; ties go to the smallest event."""
+    s = scores if criterion is None else scores.filter(F.col("criterion_id") == criterion)
+    df = s.join(events.select(F.col("id").alias("event_id"), "template_id", "severity", "program"), "event_id")
+    best = F.max_by(F.struct("score", "reason_codes", "severity_label"), F.struct("score", -F.col("event_id")))
+    return df.groupBy(F.coalesce("template_id", F.col("event_id").cast("string")).alias("group_key"), "severity", "program", "criterion_id").agg(best.alias("b")).select("group_key", "severity", "program", "criterion_id", "b.*")
+
+
+def distinct_values(rows: DataFrame, column: str, most: int | None = None) -> DataFrame:
+    """The distinct non-empty values of a column, sorted: what a filter offers."""
+    found = rows.select(F.col(column).cast("string").alias("value")).filter("value is not null and value != ''").distinct().orderBy("value")
+    return found if most is None else found.limit(most)
+
+
 def audit_search(audit: DataFrame, users: DataFrame, text: str | None = None, action: str | None = None, since: Column | None = None, until: Column | None = None) -> DataFrame:
     """Audit rows with user names; text is looked for in action, resource, details and name."""
     df = audit.join(users.select(F.col("id").alias("user_id"), "username"), "user_id", "left")

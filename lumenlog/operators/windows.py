@@ -77,7 +77,7 @@ def recalculated(windows: DataFrame, stored: DataFrame, scored_events: DataFrame
     """Effective scores of the last days' windows anew, both ends inclusive; meta scores stay."""
     recent = windows.filter(micros("to_ts") >= micros(now) - days * 24 * HOUR)
     highest = window_max(recent, scored_events, closed=True)
-    again = stored.join(highest, ["window_id", "system_id", "criterion_id"]).withColumn("effective", blend(F.col("meta_score"), F.col("highest"), w_meta))
+    again = stored.drop("highest").join(highest, ["window_id", "system_id", "criterion_id"]).withColumn("effective", blend(F.col("meta_score"), F.col("highest"), w_meta))
     return upserted(stored, again.select(*stored.columns))
 
 

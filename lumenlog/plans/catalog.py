@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import addresses, masking, severity as sev, similarity as sim, templates as tpl, timefix
 from ..operators import alerting, discovery as di, events as ev, findings as fi, fulltext, ingest as ing, meta, multiline, normal, pairs, reports, routing, scoring, windows as wi
 from ..schema import CRITERIA
-from ..sources import containers
+from ..sources import containers, dispatch
 from ..storage import stored
 from .views import NOW_US, PRICES, Views, with_views
 
@@ -753,6 +753,124 @@ def discovery_suggestions(v: Views) -> DataFrame:
     return s.filter("kind = 'host' and size(programs) > 1").select("key", "n", "suggested_name", "group_key")
 
 
+# Backends, settings and what they read
+
+
+def configured(v: Views) -> DataFrame:
+    """Nations as monitored systems with settings of several kinds."""
+    i = F.col("n_nationkey")
+    config = F.when(i % 5 == 0, '{"index_pattern":"logs-*"}').when(i % 5 == 1, '{"index_pattern":""}').when(i % 5 == 2, "no json")
+    value = F.when(i % 4 == 0, F.concat(F.lit('{"window_minutes":'), i, F.lit(',"effective_score_meta_weight":0.5}'))).when(i % 4 == 1, F.concat(F.lit('{"scoring_limit_per_run":'), i * 100, F.lit("}"))).when(i % 4 == 2, "[1]")
+    return v.table("nation").select(i.cast("long").alias("id"), F.when(i % 7 != 6, "elasticsearch").alias("event_source"), F.when(i % 6 != 5, "c").alias("es_connection_id"), config.alias("es_config"), value.alias("value"))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS id, CASE WHEN n_nationkey % 7 <> 6 AND n_nationkey % 6 <> 5 AND n_nationkey % 5 = 0 THEN 'external' ELSE 'stored' END AS backend FROM nation")
+def backend_dispatch(v: Views) -> DataFrame:
+    return dispatch.backends(configured(v)).select("id", "backend")
+
+
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(CASE WHEN n_nationkey % 4 = 0 THEN n_nationkey ELSE 5 END AS BIGINT) AS window_minutes, CAST(CASE WHEN n_nationkey % 4 = 1 THEN greatest(1000, n_nationkey * 100) ELSE 5000 END AS BIGINT) AS scoring_chunk_size,
+    CASE WHEN n_nationkey % 4 = 0 THEN 0.5 ELSE 0.7 END AS effective_score_meta_weight, false AS normalize_sql_statements FROM nation""")
+def settings_over_defaults(v: Views) -> DataFrame:
+    return dispatch.settings(configured(v)).select("id", "window_minutes", "scoring_chunk_size", "effective_score_meta_weight", "normalize_sql_statements")
+
+
+def documents_of(v: Views) -> DataFrame:
+    """Events as documents of an index, each system with fields of its own."""
+    e, odd = v.log_events, F.col("system_id") % 2 == 1
+    at = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    body = F.when(odd, F.to_json(F.struct(at.alias("when"), F.struct(F.struct(F.col("host").alias("name")).alias("node")).alias("meta"), F.col("message").alias("text"), F.col("program").alias("app.name"), (F.col("id") % 9).alias("shard"))))
+    plain = F.to_json(F.struct(at.alias("@timestamp"), "host", "message", "program", "severity", (F.col("id") % 9).alias("shard")))
+    return e.select("system_id", "id", F.concat(F.lit('{"_id":"x'), "id", F.lit('","_source":'), F.coalesce(body, plain), F.lit("}")).alias("hit"))
+
+
+ODD = {"query_filter": {"bool": {"must": [{"range": {"shard": {"lt": 6}}}], "must_not": {"term": {"app.name": "click"}}}}, "field_mapping": {"timestamp": "when", "host": "meta.node.name", "message": "text", "program": "app.name"}}
+
+
+@query("""SELECT 'x' || id AS id, system_id, us AS timestamp_us, host, program, message, CASE WHEN system_id % 2 = 0 THEN severity END AS severity, id % 7 = 0 AS acked FROM log_events WHERE (system_id IN (1, 3) AND id % 9 < 6 AND program <> 'click') OR (system_id = 2 AND severity IN ('error', 'info'))""", "log_events")
+def external_index_scan(v: Views) -> DataFrame:
+    """Documents by each system's field map and base filter, with acknowledgements of the side table; systems without settings are left out."""
+    side = v.log_events.filter("id % 7 = 0").select("system_id", F.concat(F.lit("x"), "id").alias("event_id"), F.col("timestamp").alias("acknowledged_at"), F.lit("t").alias("template_id"))
+    found = dispatch.external_events(documents_of(v), {1: ODD, 3: ODD, 2: {"query_filter": {"terms": {"severity": ["error", "info"]}}}}, side)
+    return us(found.select("id", "system_id", "timestamp", "host", "program", "message", "severity", F.col("acknowledged_at").isNotNull().alias("acked")), "timestamp")
+
+
+@query("""SELECT id FROM (SELECT * FROM (SELECT * FROM log_events WHERE system_id = 2 ORDER BY us DESC, id LIMIT 300) WHERE id % 3 <> 0 AND id % 5 <> 1) ORDER BY us DESC, id LIMIT 100""", "log_events")
+def external_unscored_limit(v: Views) -> DataFrame:
+    """The newest of one system's external events without score or mark, of three times as many."""
+    side = v.log_events.filter("id % 3 = 0").select("system_id", F.col("id").alias("event_id"), F.lit(None).cast("timestamp").alias("acknowledged_at"), F.col("timestamp").alias("scored_at"))
+    return dispatch.external_unscored(v.log_events, side, v.log_events.filter("id % 5 = 1").select(F.col("id").alias("event_id")), 2).select("id")
+
+
+@query("""SELECT coalesce(l.template_id, CAST(l.id AS VARCHAR)) AS group_key, l.severity, l.program, s.criterion_id, max(s.score) AS score, 'r' || arg_max(l.id, (s.score, -l.id)) AS reason_codes, CASE WHEN arg_max(l.id, (s.score, -l.id)) % 2 = 0 THEN 'even' END AS severity_label FROM scores s JOIN log_events l ON l.id = s.event_id GROUP BY 1, 2, 3, 4""", "scores", "log_events")
+def grouped_score_reasons(v: Views) -> DataFrame:
+    scores = v.scores.withColumns({"reason_codes": F.concat(F.lit("r"), "event_id"), "severity_label": F.when(F.col("event_id") % 2 == 0, "even")})
+    return reports.top_reasons(scores, v.log_events)
+
+
+@query("SELECT w.window_id, w.system_id, count(l.id) AS n FROM windows_h w LEFT JOIN log_events l ON l.system_id = w.system_id AND l.us // 3600000000 = w.wno AND NOT l.acked GROUP BY 1, 2", "windows_h", "log_events")
+def window_event_counts(v: Views) -> DataFrame:
+    return meta.window_counts(v.log_events, v.windows)
+
+
+@query("SELECT l.id, w.window_id FROM windows_h w JOIN log_events l ON l.system_id = w.system_id AND l.us // 3600000000 = w.wno", "windows_h", "log_events")
+def window_events_all(v: Views) -> DataFrame:
+    return meta.window_events(v.log_events, v.windows, None, unacked=False).select("id", "window_id")
+
+
+@query("SELECT m.window_id, s.name AS system_name, w.wno * 3600000000 AS from_ts_us, max(m.meta_score) AS highest FROM meta m JOIN windows_h w ON w.window_id = m.window_id JOIN systems s ON s.system_id = w.system_id GROUP BY 1, 2, 3", "meta", "windows_h", "systems")
+def meta_windows_systems(v: Views) -> DataFrame:
+    results = v.meta.groupBy("window_id").agg(F.max("meta_score").alias("highest"))
+    return us(meta.results_with_systems(results, v.windows, v.systems).select("window_id", "system_name", "from_ts", "highest"), "from_ts")
+
+
+@query(f"""SELECT m.window_id, m.criterion_id, round(0.7 * m.meta_score + 0.3 * coalesce(max(CASE WHEN NOT EXISTS (SELECT 1 FROM normal_templates t WHERE {NORMAL_SQL}) THEN s.score END), 0), 9) AS effective FROM meta m
+    LEFT JOIN log_events e ON e.system_id = m.system_id AND NOT e.acked AND e.us >= m.wno * 3600000000 AND e.us <= (m.wno + 1) * 3600000000 LEFT JOIN scores s ON s.event_id = e.id AND s.criterion_id = m.criterion_id
+    WHERE (m.wno + 1) * 3600000000 >= 1706659200000000 - 7 * 86400000000 GROUP BY m.window_id, m.criterion_id, m.meta_score""", "meta", "scores", "log_events", "normal_templates")
+def retroactive_recalculated(v: Views) -> DataFrame:
+    """Effective scores of the last days after events of normal behaviour lost theirs."""
+    _, again = normal.applied_retroactively(v.scores, v.log_events, v.normal_templates, v.windows, v.effective, v.now)
+    recent = v.windows.filter(US("to_ts") >= NOW_US - 7 * 86_400_000_000).select("window_id")
+    return again.join(recent, "window_id", "left_semi").select("window_id", "criterion_id", F.round("effective", 9).alias("effective"))
+
+
+@query("SELECT id, action, user_id, CAST(NULL AS VARCHAR) AS ip FROM (SELECT event_id AS id, event_type AS action, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 5000)")
+def audit_export_rows(v: Views) -> DataFrame:
+    """Events as an audit trail, exported up to a cap."""
+    audit = v.table("events").select(F.col("event_id").alias("id"), F.col("ts").alias("at"), "user_id", F.col("event_type").alias("action"))
+    return reports.audit_export(audit, 5000).select("id", "action", "user_id", "ip")
+
+
+@query("SELECT event_id AS id FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 200 OFFSET 200")
+def audit_second_page(v: Views) -> DataFrame:
+    audit = v.table("events").filter("event_type = 'error'").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"))
+    return reports.audit_page(audit, 2, 500).select("id")
+
+
+@query("SELECT DISTINCT message AS value FROM log_events ORDER BY 1", "log_events")
+def distinct_messages(v: Views) -> DataFrame:
+    return reports.distinct_values(v.log_events, "message")
+
+
+RESOLVED = "SELECT l.id, CASE l.id % 4 WHEN 0 THEN 'the disk was replaced' WHEN 1 THEN 'Issue REMAINS open' WHEN 2 THEN NULL ELSE 'service came back' END AS evidence, CASE WHEN l.id % 3 = 0 THEN 'Repeated ' || l.message ELSE 'backup volume ran out of space' END AS text FROM log_events l"
+
+
+@query(f"""SELECT f.id AS finding_id, CASE WHEN f.id % 5 = 4 THEN 'no_references' WHEN f.id % 4 = 1 THEN 'contradictory' WHEN f.id % 3 = 0 THEN 'self_reference' WHEN l.severity = 'error' THEN 'still_failing' ELSE 'resolve' END AS verdict
+    FROM ({RESOLVED}) f JOIN log_events l ON l.id = f.id""", "log_events")
+def resolution_guards(v: Views) -> DataFrame:
+    """Each event's finding is said to be resolved by that event itself, or by one that is not there."""
+    i = F.col("id")
+    evidence = F.when(i % 4 == 0, "the disk was replaced").when(i % 4 == 1, "Issue REMAINS open").when(i % 4 == 3, "service came back")
+    answers = v.log_events.select(i.alias("finding_id"), evidence.alias("evidence"), F.array(F.when(i % 5 == 4, -1 - i).otherwise(i), F.when(i % 5 == 4, -1 - i).otherwise(i)).alias("references"))
+    found = v.log_events.select("id", F.when(i % 3 == 0, F.concat(F.lit("Repeated "), "message")).otherwise("backup volume ran out of space").alias("text"))
+    return fi.resolutions(answers, found, v.log_events).select("finding_id", "verdict")
+
+
+@query("SELECT id FROM buffer WHERE us >= 1706659200000000 - 72 * 3600000000", "buffer")
+def discovery_purged(v: Views) -> DataFrame:
+    return di.purged(v.buffer, v.now).select("id")
+
+
 # Usage, context, exports
 
 
