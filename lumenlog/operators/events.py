@@ -87,7 +87,7 @@ def search(events: DataFrame, systems: DataFrame, s: Search) -> DataFrame:
     by = s.sort if s.sort in SORTABLE else "timestamp"
     limit = min(max(s.limit, 1), MOST_PAGE)
     key = F.col(by).asc() if s.ascending else F.col(by).desc()
-    found = matching(events, s).join(F.broadcast(systems.select("system_id", F.col("name").alias("system_name"))), "system_id")  # systems: the monitored systems, a few rows
+    found = matching(events, s).join(systems.select("system_id", F.col("name").alias("system_name")), "system_id")
     return found.orderBy(key, "id").offset((max(s.page, 1) - 1) * limit).limit(limit)
 
 
@@ -230,7 +230,7 @@ def without_scores_of(scores: DataFrame, events: DataFrame) -> DataFrame:
 
 def retained(events: DataFrame, systems: DataFrame, now: Column, days: int = 90) -> DataFrame:
     """Events younger than their system's retention."""
-    own = F.broadcast(systems.select("system_id", F.coalesce("retention_days", F.lit(days)).alias("_days")))  # a few rows
+    own = systems.select("system_id", F.coalesce("retention_days", F.lit(days)).alias("_days"))
     return events.join(own, "system_id").filter(F.unix_micros("timestamp") >= F.unix_micros(now) - F.col("_days").cast("long") * 86_400_000_000).drop("_days")
 
 

@@ -49,7 +49,7 @@ def idf(docs: DataFrame) -> DataFrame:
     """system_id, token, idf = ln((N + 1) / (1 + df)) + 1 over tokenised findings."""
     n = docs.groupBy("system_id").agg(F.count(F.lit(1)).alias("_n"))
     df = docs.select("system_id", "id", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("system_id", "token").agg(F.count(F.lit(1)).alias("_df"))
-    return df.join(F.broadcast(n), "system_id").select("system_id", "token", (F.log((F.col("_n") + 1) / (F.col("_df") + 1)) + 1).alias("idf"))  # one row a system
+    return df.join(n, "system_id").select("system_id", "token", (F.log((F.col("_n") + 1) / (F.col("_df") + 1)) + 1).alias("idf"))  # one row a system
 
 
 def weighted(docs: DataFrame, weights: DataFrame) -> DataFrame:
@@ -259,7 +259,7 @@ def auto_resolved(findings: DataFrame, templates: DataFrame, least: float = 0.5,
     f = findings.filter("status = 'open'").withColumn("_words", sim.significant_words(F.col("text")))
     t = templates.filter("enabled").select(F.col("system_id").alias("_system"), "pattern_regex", sim.significant_words(F.regexp_replace("pattern_regex", r"\[\^? ?[^\]]*\]\+?|[\^$\\.*+]", " ")).alias("_own"))
     words = (F.size("_own") >= least_words) & (sim.overlap_ratio(F.col("_own"), F.col("_words")) >= least)
-    return f.join(F.broadcast(t), (F.col("_system").isNull() | (F.col("_system") == F.col("system_id"))) & (F.col("text").rlike(F.concat(F.lit("(?i)"), F.col("pattern_regex"))) | words), "left_semi").drop("_words")  # templates: few, written by people
+    return f.join(F.broadcast(t), (F.col("_system").isNull() | (F.col("_system") == F.col("system_id"))) & (F.rlike(F.col("text"), F.concat(F.lit("(?i)"), F.col("pattern_regex"))) | words), "left_semi").drop("_words")  # templates: few, written by people
 
 
 def acknowledged_by(findings: DataFrame, messages: DataFrame, least: float = 0.5) -> DataFrame:

@@ -137,7 +137,7 @@ def ingest(records: DataFrame, sources: Sequence[Mapping], systems: DataFrame, n
         # From the fields before routing, so that an event and its discovery row have one id.
         df = df.withColumn("id", id_of(ev.normalized_hash()))
     df = routing.routed(df, sources)
-    zones = F.broadcast(systems.select("system_id", "tz_name", "tz_offset_minutes"))  # the monitored systems, a few rows
+    zones = systems.select("system_id", "tz_name", "tz_offset_minutes")
     seen = routing.discovery_rows(df)
     df = df.filter("system_id is not null").join(zones, "system_id", "left")
     df = df.withColumn("timestamp", timefix.clamped(timefix.corrected(F.col("timestamp"), F.col("tz_name"), F.col("tz_offset_minutes")), now, drift_seconds)).drop("tz_name", "tz_offset_minutes")

@@ -149,7 +149,7 @@ def question_context(findings: DataFrame, summaries: DataFrame, now: Column, mos
 def compliance(windows: DataFrame, effective: DataFrame, systems: DataFrame) -> DataFrame:
     """One row a window with its six effective scores to three places."""
     pivot = effective.groupBy("window_id").agg(*[F.max(F.when(F.col("criterion_id") == i, F.col("effective"))).alias(n) for i, n in CRITERIA.items()])
-    names = F.broadcast(systems.select("system_id", F.col("name").alias("system_name")))  # a few rows
+    names = systems.select("system_id", F.col("name").alias("system_name"))
     df = windows.join(pivot, "window_id", "left").join(names, "system_id")
     return df.select("window_id", "system_name", "from_ts", "to_ts", *[F.round(F.coalesce(n, F.lit(0.0)), 3).alias(n) for n in CRITERIA.values()])
 

@@ -19,7 +19,7 @@ def tumbling(events: DataFrame, stored: DataFrame, now: Column, minutes: int = 5
     """
     width = minutes * 60_000_000
     last = stored.groupBy("system_id").agg(F.max("to_ts").alias("_last"))
-    df = events.select("system_id", micros("timestamp").alias("_t")).join(F.broadcast(last), "system_id", "left")  # one row a system
+    df = events.select("system_id", micros("timestamp").alias("_t")).join(last, "system_id", "left")  # one row a system
     start = F.coalesce(micros("_last"), micros(now) - width)
     df = df.withColumn("_k", F.floor((F.col("_t") - start) / width)).withColumn("_from", start + F.col("_k") * width)
     found = df.filter((F.col("_k") >= 0) & (F.col("_from") + width <= micros(now))).select("system_id", "_from").distinct()
@@ -95,7 +95,7 @@ def latest_windows(windows: DataFrame) -> DataFrame:
 def supplemented(stored: DataFrame, windows: DataFrame, live: DataFrame, w_meta: float = 0.7) -> DataFrame:
     """The latest window's highest scores raised to the live maximum where that is greater."""
     latest = latest_windows(windows).select("window_id", F.lit(True).alias("_latest"))
-    df = stored.join(F.broadcast(latest), "window_id", "left").join(live, ["system_id", "criterion_id"], "left")  # one window a system
+    df = stored.join(latest, "window_id", "left").join(live, ["system_id", "criterion_id"], "left")  # one window a system
     raised = F.when(F.col("_latest") & (F.col("live") > F.col("highest")), F.col("live")).otherwise(F.col("highest"))
     return df.withColumn("highest", raised).withColumn("effective", F.when(F.col("_latest"), blend(F.col("meta_score"), F.col("highest"), w_meta)).otherwise(F.col("effective"))).select(*stored.columns)
 

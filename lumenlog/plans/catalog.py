@@ -7,10 +7,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import addresses, masking, severity as sev, similarity as sim, templates as tpl, timefix
-from ..operators import alerting, discovery as di, events as ev, findings as fi, fulltext, ingest as ing, meta, multiline, normal, pairs, reports, routing, scoring, windows as wi
+from ..functions import addresses, masking, regexes, severity as sev, similarity as sim, templates as tpl, timefix
+from ..operators import alerting, discovery as di, events as ev, findings as fi, fulltext, ingest as ing, maintenance, meta, multiline, normal, pairs, reports, routing, scoring, windows as wi
 from ..schema import CRITERIA
-from ..sources import containers, dispatch
+from ..sources import bodies, containers, dispatch
 from ..storage import stored
 from .views import NOW_US, PRICES, Views, with_views
 
@@ -753,6 +753,155 @@ def discovery_suggestions(v: Views) -> DataFrame:
     return s.filter("kind = 'host' and size(programs) > 1").select("key", "n", "suggested_name", "group_key")
 
 
+# Line formats, texts and lists
+
+
+SYSLOG_TIME = "strftime(ts, '%b %d %H:%M:%S')"
+
+
+@query(f"SELECT id, CAST(id % 190 AS VARCHAR) AS pri, {SYSLOG_TIME} AS time, host, program AS ident, CASE WHEN id % 3 = 0 THEN CAST(id AS VARCHAR) END AS pid, message FROM log_events", "log_events")
+def syslog_rfc3164(v: Views) -> DataFrame:
+    pid = F.when(F.col("id") % 3 == 0, F.concat(F.lit("["), "id", F.lit("]"))).otherwise("")
+    line = F.concat(F.lit("<"), F.col("id") % 190, F.lit(">"), F.date_format("timestamp", "MMM dd HH:mm:ss"), F.lit(" "), "host", F.lit(" "), "program", pid, F.lit(": "), "message")
+    return bodies.parsed_lines(v.log_events.select("id", line.alias("value")), "rfc3164").drop("value")
+
+
+@query("SELECT id, CAST(id % 190 AS VARCHAR) AS pri, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS time, host, program AS ident, CAST(id AS VARCHAR) AS pid, 'ID' || (id % 9) AS msgid, CASE WHEN id % 2 = 0 THEN '-' ELSE '[x@1 a=\"b\"][y]' END AS extradata, message FROM log_events".replace('\\"', '"'), "log_events")
+def syslog_rfc5424(v: Views) -> DataFrame:
+    data = F.when(F.col("id") % 2 == 0, "-").otherwise('[x@1 a="b"][y]')
+    line = F.concat(F.lit("<"), F.col("id") % 190, F.lit(">1 "), F.concat_ws(" ", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "host", "program", "id", F.concat(F.lit("ID"), F.col("id") % 9), data, "message"))
+    return bodies.parsed_lines(v.log_events.select("id", line.alias("value")), "rfc5424").drop("value")
+
+
+@query(f"SELECT id, CAST(id % 190 AS VARCHAR) AS pri, CASE WHEN id % 2 = 0 THEN CAST(id AS VARCHAR) END AS seq, {SYSLOG_TIME} AS time, CASE WHEN id % 3 <> 0 THEN 'LINK' END AS facility, CASE WHEN id % 3 <> 0 THEN CAST(id % 8 AS VARCHAR) END AS severity, CASE WHEN id % 3 <> 0 THEN 'UP_DOWN' END AS mnemonic, message FROM log_events", "log_events")
+def syslog_cisco(v: Views) -> DataFrame:
+    i = F.col("id")
+    line = F.concat(F.lit("<"), i % 190, F.lit(">"), F.when(i % 2 == 0, F.concat(i, F.lit(": "))).otherwise(""), F.lit("*"), F.date_format("timestamp", "MMM dd HH:mm:ss"), F.lit(": "), F.when(i % 3 != 0, F.concat(F.lit("%LINK-"), i % 8, F.lit("-UP_DOWN: "))).otherwise(""), "message")
+    return bodies.parsed_lines(v.log_events.select("id", line.alias("value")), "cisco").drop("value")
+
+
+@query("SELECT id // 4 AS body, CASE WHEN id // 4 % 3 = 2 THEN 0 ELSE row_number() OVER (PARTITION BY id // 4 ORDER BY id) - 1 END AS seq, message FROM log_events WHERE id // 4 % 3 < 2 OR id = id // 4 * 4", "log_events")
+def ingest_bodies(v: Views) -> DataFrame:
+    """Bodies of four events each: an object with a list, a bare list, or one event."""
+    one = F.struct("message")
+    listed = v.log_events.groupBy(F.floor(F.col("id") / 4).alias("body")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "message"))), lambda x: F.struct(x["message"].alias("message"))).alias("l"), F.min_by(one, "id").alias("first"), F.min("id").alias("least"))
+    kind = F.col("body") % 3
+    text = F.when(kind == 0, F.to_json(F.struct(F.col("l").alias("events")))).when(kind == 1, F.to_json("l")).otherwise(F.to_json("first"))
+    found = bodies.entries(listed.filter((kind < 2) | (F.col("least") == F.col("body") * 4)).select("body", text.alias("body_text")), "body_text")
+    return found.select("body", F.col("seq").cast("long").alias("seq"), F.get_json_object("record", "$.message").alias("message"))
+
+
+@query("SELECT id, CASE WHEN id % 2 = 0 THEN 'STATEMENT: select <N> from t <SQL_CLAUSES>' ELSE 'plain where ' || program END AS template FROM log_events", "log_events")
+def sql_clauses(v: Views) -> DataFrame:
+    """Statements are cut at their first varying clause where asked for; other texts stay."""
+    text = F.when(F.col("id") % 2 == 0, F.concat(F.lit("STATEMENT: select "), "id", F.lit(" from t WHERE a = "), "id", F.lit(" ORDER BY 1"))).otherwise(F.concat(F.lit("plain where "), "program"))
+    return v.log_events.select("id", tpl.parameterize(text, normalize_sql=True).alias("template"))
+
+
+@query("SELECT id, '^' || replace(host, '-', '-') || '\\.' || program || '.*' || id || '\\+$' AS pattern, true AS hit FROM log_events".replace("\\\\", "\\"), "log_events")
+def wildcard_patterns(v: Views) -> DataFrame:
+    """``host.program*id+``: stars stand for anything, the rest for itself."""
+    pattern = regexes.wildcard_to_regex(F.concat("host", F.lit("."), "program", F.lit("*"), "id", F.lit("+")))
+    text = F.concat("host", F.lit("."), "program", F.lit(" at "), "id", F.lit("+"))
+    return v.log_events.select("id", pattern.alias("pattern"), F.rlike(text, pattern).alias("hit"))
+
+
+SIGNIFICANT = f"list_distinct(list_filter(string_split_regex(regexp_replace(lower(message), '[^A-Za-z0-9_\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) >= 3 AND NOT list_contains({STOPS}, w) AND NOT regexp_matches(w, '^\\d+$')))".replace("\\\\", "\\")
+
+
+@query(f"SELECT id, array_to_string(list_sort({SIGNIFICANT}), ' ') AS words FROM log_events", "log_events")
+def significant_words(v: Views) -> DataFrame:
+    return v.log_events.select("id", F.array_join(F.array_sort(sim.significant_words(F.col("message"))), " ").alias("words"))
+
+
+@query("SELECT host, CASE WHEN host LIKE 'host-1%' THEN 'svc' END AS prefix FROM log_events GROUP BY host", "log_events")
+def common_program_prefix(v: Views) -> DataFrame:
+    name = F.concat(F.when(F.col("host").startswith("host-1"), "svc/").when(F.col("program") == "view", "").otherwise("svc/"), "program")
+    return v.log_events.groupBy("host").agg(F.collect_set(name).alias("programs")).select("host", addresses.common_prefix(F.col("programs")).alias("prefix"))
+
+
+@query("SELECT id, props AS inner_text FROM log_events", "log_events")
+def model_json(v: Views) -> DataFrame:
+    """Answers with and without a fence around their JSON."""
+    text = F.when(F.col("id") % 3 == 0, F.concat(F.lit("Here:\n```json\n"), "props", F.lit("\n```\nDone."))).when(F.col("id") % 3 == 1, F.concat(F.lit("```"), "props", F.lit("```"))).otherwise(F.concat(F.lit(" "), "props", F.lit("\n")))
+    return v.log_events.select("id", sim.json_in(text).alias("inner_text"))
+
+
+@query("""SELECT event_id, criterion_id, '[' || CASE WHEN event_id % 2 = 0 THEN 'RESOLVED' WHEN score >= 0.75 THEN 'CRITICAL' WHEN score >= 0.5 THEN 'HIGH' WHEN score >= 0.25 THEN 'MEDIUM' ELSE 'LOW' END || '] sys: failure risk at ' || CAST(round(score * 100) AS INTEGER) || '%' AS title FROM scores""", "scores")
+def alert_titles(v: Views) -> DataFrame:
+    state = F.when(F.col("event_id") % 2 == 0, "resolved").otherwise("firing")
+    return v.scores.select("event_id", "criterion_id", alerting.title(F.lit("sys"), F.lit("failure_risk"), F.col("score"), state).alias("title"))
+
+
+@query("SELECT event_id, criterion_id, 'T' || event_id AS title, CASE criterion_id WHEN 1 THEN 5 WHEN 2 THEN 1 WHEN 3 THEN 5 END AS priority, criterion_id = 4 AS telegram FROM scores WHERE criterion_id < 5", "scores")
+def notification_payloads(v: Views) -> DataFrame:
+    """One body for each channel kind, read back; other kinds have none."""
+    kind = F.when(F.col("criterion_id") == 1, "ntfy").when(F.col("criterion_id") == 2, "pushover").when(F.col("criterion_id") == 3, "gotify").when(F.col("criterion_id") == 4, "telegram").otherwise("none")
+    alerts = v.scores.select("event_id", kind.alias("kind"), F.concat(F.lit("T"), "event_id").alias("title"), F.lit("b").alias("body"), F.when(F.col("criterion_id") == 3, "MEDIUM").otherwise("CRITICAL").alias("band"), F.lit(1).alias("system_id"), "criterion_id", "score", F.lit("firing").alias("state"))
+    p = alerting.payloads(alerts)
+    title = F.coalesce(F.get_json_object("payload", "$.title"), F.substring_index(F.get_json_object("payload", "$.text"), "\n", 1))
+    return p.select("event_id", "criterion_id", title.alias("title"), F.get_json_object("payload", "$.priority").cast("int").alias("priority"), F.coalesce(F.get_json_object("payload", "$.disable_web_page_preview").cast("boolean"), F.lit(False)).alias("telegram"))
+
+
+@query("SELECT count(*) AS templates, count(*) FILTER (event_id % 3 = 0) AS cached, round(avg(CASE WHEN event_id % 3 = 0 THEN (event_id % 100) / 100.0 END), 9) AS avg_max_score FROM events")
+def cache_stats(v: Views) -> DataFrame:
+    hit = F.col("event_id") % 3 == 0
+    return rounded(reports.cache_stats(v.table("events").select(F.when(hit, F.col("ts")).alias("last_scored_at"), F.when(hit, F.col("event_id") % 100 / 100.0).alias("avg_max_score"))), "avg_max_score")
+
+
+@query("SELECT event_id AS id, CAST(NULL AS VARCHAR) AS cached_scores, CAST(NULL AS BIGINT) AS score_count FROM events")
+def cache_invalidated(v: Views) -> DataFrame:
+    t = v.table("events").select(F.col("event_id").alias("id"), F.lit("{}").alias("cached_scores"), F.col("event_id").alias("score_count"))
+    return scoring.cache_invalidated(t).select("id", "cached_scores", "score_count")
+
+
+@query("""SELECT kind, count(*) AS n FROM (SELECT 'finding' AS kind FROM (SELECT 1 FROM findings LIMIT 50) UNION ALL SELECT 'summary' FROM windows_h WHERE (wno + 1) * 3600000000 >= 1706659200000000 - 24 * 3600000000
+    UNION ALL SELECT 'daily' FROM (SELECT DISTINCT system_id, (wno + 1) * 3600000000 // 86400000000 FROM windows_h WHERE (wno + 1) * 3600000000 < 1706659200000000 - 24 * 3600000000)) GROUP BY kind""", "findings", "windows_h")
+def question_context_lines(v: Views) -> DataFrame:
+    summaries = v.windows.withColumn("summary", F.concat(F.lit("s "), "window_id"))
+    return reports.question_context(v.findings, summaries, v.now).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT system_id, kind, place, id FROM (SELECT system_id, 'summary' AS kind, row_number() OVER (PARTITION BY system_id ORDER BY wno DESC, window_id) AS place, window_id AS id FROM windows_h UNION ALL
+    SELECT system_id, 'finding', row_number() OVER (PARTITION BY system_id ORDER BY created_us DESC, id), id FROM findings WHERE status = 'open') WHERE place <= CASE kind WHEN 'summary' THEN 5 ELSE 30 END""", "windows_h", "findings")
+def analysis_context(v: Views) -> DataFrame:
+    c = fi.context(v.windows.withColumn("summary", F.col("window_id").cast("string")), v.findings.withColumn("text", F.col("id").cast("string")))
+    return c.select("system_id", "kind", F.col("at").cast("long").alias("place"), F.col("text").cast("long").alias("id"))
+
+
+@query("SELECT pattern_hash FROM (SELECT 'h' || (event_id % 60) AS pattern_hash FROM events GROUP BY 1) WHERE pattern_hash NOT IN (SELECT 'h' || (event_id % 40) FROM events WHERE event_id % 3 = 0)")
+def orphan_templates(v: Views) -> DataFrame:
+    t = v.table("events").select(F.concat(F.lit("h"), F.col("event_id") % 60).alias("pattern_hash")).distinct()
+    used = v.table("events").filter("event_id % 3 = 0").select(F.concat(F.lit("h"), F.col("event_id") % 40).alias("template_id"))
+    return maintenance.orphan_templates(t, used)
+
+
+@query("""SELECT l.id AS seq, arg_max(r.id, (r.us, -r.id)) AS resolved_id FROM (SELECT * FROM log_events WHERE id % 50 = 3) l JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY system_id ORDER BY us DESC, id) AS rn FROM log_events WHERE id % 4 = 0 AND us >= 1706659200000000 - 14 * 86400000000) WHERE rn <= 50) r
+    ON r.system_id = l.system_id AND r.program = l.program GROUP BY l.id""", "log_events")
+def recurring_findings(v: Views) -> DataFrame:
+    """New findings that repeat what was resolved in the last two weeks, the newest of it; texts are alike where their programs are."""
+    text = F.concat(F.lit("repeated trouble around component "), "program")
+    new = v.log_events.filter("id % 50 = 3").select("system_id", F.col("id").alias("seq"), text.alias("text"))
+    old = v.log_events.filter("id % 4 = 0").select("system_id", "id", text.alias("text"), F.lit("resolved").alias("status"), F.col("timestamp").alias("resolved_at"))
+    return fi.recurring(new, old, v.now, threshold=0.8).select("seq", "resolved_id")
+
+
+@query("SELECT id FROM log_events WHERE program = 'view' OR (program = 'purchase' AND system_id = 1)", "log_events")
+def normal_auto_resolved(v: Views) -> DataFrame:
+    """Open findings that a template explains, by its pattern or by half of its words."""
+    f = v.log_events.select("id", "system_id", F.concat(F.lit("seen: "), "message").alias("text"), F.lit("open").alias("status"))
+    t = v.spark.createDataFrame([(None, "^.{4}: VIEW", True), (1, "purchase from \\d+ zzzz", True), (None, ".*", False)], "system_id long, pattern_regex string, enabled boolean")
+    return fi.auto_resolved(f, t).select("id")
+
+
+@query(f"SELECT s.system_id, " + ", ".join(f"(SELECT round(effective, 9) FROM ({BEST_SQL}) b WHERE b.system_id = s.system_id AND criterion_id = {i}) AS {n}" for i, n in CRITERIA.items()) + ", (SELECT count(*) FROM findings f WHERE f.system_id = s.system_id AND status = 'open' AND severity = 'high') AS high FROM systems s", "systems", "effective", "findings")
+def dashboard_scores(v: Views) -> DataFrame:
+    """All six scores of the overview and its findings of high severity."""
+    sources = v.table("nation").select(F.col("n_regionkey").cast("long").alias("system_id"))
+    o = reports.overview(v.systems, sources, v.log_events, v.windows, rounded(v.effective, "effective"), v.scored_events, v.findings, v.now)
+    return o.select("system_id", *CRITERIA.values(), "high")
+
+
 # Backends, settings and what they read
 
 
