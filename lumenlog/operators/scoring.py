@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.templates import parameterize, pattern_hash
 from ..schema import CRITERIA
-from ..storage import KeyedTable
+from ..storage import KeyedTable, numbered, stored
 
 NAMES = tuple(CRITERIA.values())
 SCORES = ", ".join(f"{n} double" for n in NAMES)
@@ -164,12 +164,43 @@ def score_events(events: DataFrame, cache: DataFrame, scorer: Scorer, now: Colum
 
     ``cache``: pattern_hash, last_scored_at, score_count, avg_max_score and the six scores.
     """
-    df = with_templates(events)
-    own = extract_templates(events).join(cache.select("pattern_hash", "last_scored_at", "score_count", "avg_max_score", *[F.col(n).alias(f"cached_{n}") for n in NAMES]), "pattern_hash", "left")
-    routes = own.withColumn("route", route_of(now, **routing))
+    routes = routed_templates(events, cache, now, **routing)
     fresh = scored(routes.filter("route = 'score'"), scorer)
-    old = routes.filter("route = 'cached'").select("pattern_hash", "system_id", *[F.col(f"cached_{n}").alias(n) for n in NAMES])
-    return fanned_out(df, fresh.unionByName(old)), routes
+    return fanned_out(with_templates(events), fresh.unionByName(cached(routes))), routes
+
+
+def routed_templates(events: DataFrame, cache: DataFrame, now: Column, **routing) -> DataFrame:
+    own = extract_templates(events).join(cache.select("pattern_hash", "last_scored_at", "score_count", "avg_max_score", *[F.col(n).alias(f"cached_{n}") for n in NAMES]), "pattern_hash", "left")
+    return own.withColumn("route", route_of(now, **routing))
+
+
+def cached(routes: DataFrame) -> DataFrame:
+    return routes.filter("route = 'cached'").select("pattern_hash", "system_id", *[F.col(f"cached_{n}").alias(n) for n in NAMES])
+
+
+def cache_of(table: KeyedTable) -> DataFrame:
+    """The score cache as ``score_events`` reads it."""
+    kept = F.from_json("cached_scores", ", ".join(f"{n} double" for n in NAMES))
+    return table.read().select("pattern_hash", "last_scored_at", "score_count", "avg_max_score", *[kept[n].alias(n) for n in NAMES])
+
+
+def score_in_chunks(events: DataFrame, table: KeyedTable, scorer: Scorer, now: Column, size: int = 5000, **routing) -> Iterator[DataFrame]:
+    """``score_events`` of all unscored events, newest first, ``size`` at a time; gives each chunk's event scores.
+
+    Between chunks the template table takes the chunk's counts and fresh scores, so that a template that
+    one chunk scored is cached for the next. A chunk is one pass over its own rows; what a run has written
+    stays if a later chunk fails.
+    """
+    places = numbered(events.withColumn("_newest", -F.unix_micros("timestamp")), ["_newest", "id"]).drop("_newest")
+    parts = stored(places.withColumn("_chunk", F.floor(F.col("place") / size)).drop("place"), "chunks")
+    for k in range((parts.agg(F.max("_chunk")).head()[0] or 0) + 1 if not parts.isEmpty() else 0):
+        own = parts.filter(F.col("_chunk") == k).drop("_chunk")
+        routes = stored(routed_templates(own, cache_of(table), now, **routing), "routes")
+        fresh = stored(scored(routes.filter("route = 'score'"), scorer), "fresh")
+        scores = stored(fanned_out(with_templates(own), fresh.unionByName(cached(routes))), "scores")
+        accumulate_into(table, routes, now)
+        refresh_cache_in(table, fresh, now)
+        yield scores
 
 
 def cost(tokens_in: Column, tokens_out: Column, model: Column, prices: dict[str, tuple[float, float]]) -> Column:

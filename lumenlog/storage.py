@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 
@@ -29,6 +29,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, order: Sequence[str], name: str = "place") -> DataFrame:
+    """Stored rows with their place (from 0) in an order of all of them: dealt into ranges, ranked range by range, moved on by the ranges before."""
+    ranged = stored(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "numbered")
+    offsets, start = [], 0
+    for r in sorted(ranged.groupBy("_range").count().collect()):  # a row a partition
+        offsets.append((r["_range"], start))
+        start += r["count"]
+    before = rows.sparkSession.createDataFrame(offsets, "_range int, _before long")
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.withColumn(name, rank.cast("long")).join(before, "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+
+
 class Folder:
     """A folder of whichever file system its path names."""
 

@@ -110,3 +110,52 @@ def test_settings(spark):
     rows = [('{"scoring_limit_per_run":50}',), ('{"scoring_limit_per_run":50,"scoring_chunk_size":70}',), (None,), ("[]",), ('{"normalize_sql_statements":true}',)]
     got = [(r["scoring_chunk_size"], r["normalize_sql_statements"]) for r in dispatch.settings(spark.createDataFrame(rows, "value string")).collect()]
     assert got == [(1000, False), (70, False), (5000, False), (5000, False), (5000, True)]
+
+
+def test_fetchers_and_registry():
+    from datetime import UTC
+
+    from lumenlog.sources import connectors as co
+
+    now = lambda: datetime(2024, 1, 1, 0, 10, tzinfo=UTC)
+    asked = []
+
+    def index(url, query):
+        asked.append((url, query["query"]["range"]["@timestamp"]))
+        return {"hits": {"hits": [{"_id": "1", "_source": {"@timestamp": "t1", "log": {"level": "warn"}, "host": {"name": "h"}, "process": {"name": "p"}, "message": "m"}}, {"_id": "2", "_source": {"@timestamp": "t2", "host": "g", "level": "info", "log": "raw line"}}, {"_id": "3", "_source": {"@timestamp": "t3", "a": 1}}]}}
+
+    rows, cursor = co.from_index({"url": "http://es/", "index": "logs-*"}, None, index, now)
+    assert asked == [("http://es/logs-*/_search", {"gt": "2024-01-01T00:05:00.000Z", "lte": "2024-01-01T00:10:00.000Z"})] and cursor == "t3"
+    assert [(r["message"], r["severity"], r["host"], r["program"], r["external_id"]) for r in rows] == [("m", "warn", "h", "p", "1"), ("raw line", "info", "g", None, "2"), ('{"@timestamp": "t3", "a": 1}', None, None, None, "3")]
+    assert co.from_index({"url": "u"}, "c", lambda *_: {"hits": {"hits": []}}, now) == ([], "2024-01-01T00:10:00.000Z")
+    for answer in ([{"time": "t", "msg": "x", "level": "e", "hostname": "h", "_id": 5}], {"logs": [{"time": "t", "msg": "x", "level": "e", "hostname": "h", "_id": 5}]}, {"data": [{"time": "t", "msg": "x", "level": "e", "hostname": "h", "_id": 5}]}):
+        rows, cursor = co.from_http({"url": "u"}, "c", lambda _, a=answer: a, now)
+        assert (rows[0]["message"], rows[0]["severity"], rows[0]["host"], rows[0]["external_id"], cursor) == ("x", "e", "h", 5, "t")
+    assert co.fetcher({"kind": "loki"}) is co.from_streams and co.fetcher({"fetcher": "json:dumps"}) is json.dumps
+    with pytest.raises(ValueError, match="unknown connector"):
+        co.fetcher({"kind": "other"})
+
+
+def test_snapshots_and_feed(spark, tmp_path):
+    from lumenlog.operators import maintenance
+    from lumenlog.streaming import ingest
+
+    table = spark.createDataFrame([(1, NOW), (2, NOW - timedelta(seconds=40))], "window_id long, created_at timestamp")
+    maintenance.snapshot({"a": table, "b": table.limit(0)}, f"{tmp_path}", "2024-01-10")
+    assert spark.read.parquet(f"{tmp_path}/2024-01-10/a").count() == 2 and spark.read.parquet(f"{tmp_path}/2024-01-10/b").count() == 0
+    with pytest.raises(Exception, match="(?i)exists"):
+        maintenance.snapshot({"a": table}, f"{tmp_path}", "2024-01-10")
+    assert maintenance.kept_labels([f"2024-01-{i:02d}" for i in range(1, 12)], 3) == ["2024-01-11", "2024-01-10", "2024-01-09"]
+    feed = lambda s: [(r["kind"], r["window_id"]) for r in ingest.score_feed(table, F.lit(NOW + timedelta(seconds=s)).cast("timestamp")).collect()]
+    assert feed(10) == [("scores", 1)] and feed(31) == [("heartbeat", None)]
+    assert [ingest.next_interval(*x) for x in ((15, True), (15, False), (100, False))] == [15, 30, 120]
+
+
+def test_nested_redaction(spark):
+    from lumenlog.functions import masking
+
+    mark = "***REDACTED***"
+    rows = [({"Password": "x", "a": {"token": [1], "note": "password=abc d"}, "l": ["secret: y", {"z": 1}]}, {"Password": mark, "a": {"token": mark, "note": f"password={mark} d"}, "l": [f"secret: {mark}", {"z": 1}]})]
+    df = spark.createDataFrame([(json.dumps(a),) for a, _ in rows] + [("[1]",), ("no json",), (None,)], "v string")
+    got = [r["v"] for r in df.select(masking.redact_json(F.col("v")).alias("v")).collect()]
+    assert [json.loads(got[0])] == [b for _, b in rows] and got[1:] == ["[1]", "no json", None]

@@ -100,3 +100,19 @@ def test_credentials(spark):
     rows = [("x postgres://u:pw@h/db and http://a http://b", "x postgres://u:***REDACTED***@h/db and http://a http://b"), ("http://a:b c@d ://q:r", "http://a:***REDACTED***@d ://q:r"), ("a@b ://u:v", "a@b ://u:v"), (None, None)]
     df = spark.createDataFrame(rows, "t string, want string")
     assert [r["got"] for r in df.select(masking.redact(F.col("t")).alias("got")).collect()] == [w for _, w in rows]
+
+
+def test_chunks_give_the_scores_of_one_pass(spark, tmp_path, sf_dir):
+    from lumenlog.plans.views import Views
+
+    events = Views(spark, sf_dir).log_events.select("id", "system_id", "message", "severity", "timestamp", "host", "program")
+    now = F.lit(NOW).cast("timestamp")
+    table = scoring.template_table(spark, f"{tmp_path}/t", 8)
+    one, _ = scoring.score_events(events, scoring.cache_of(table), scoring.RuleScorer(), now)
+    chunks = [df.collect() for df in scoring.score_in_chunks(events, table, scoring.RuleScorer(), now, 400)]
+    key = lambda rows: sorted((r["event_id"], r["criterion_id"], round(r["score"], 9)) for r in rows)
+    assert len(chunks) == 3 and key(r for c in chunks for r in c) == key(one.collect())
+    rows = table.read().collect()
+    # Every template was scored once, by the first chunk that held it, and counted by all.
+    assert sum(r["occurrence_count"] for r in rows) == events.count() and {r["score_count"] for r in rows if r["score_count"]} == {1}
+    assert list(scoring.score_in_chunks(events.limit(0), table, scoring.RuleScorer(), now)) == []
