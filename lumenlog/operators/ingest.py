@@ -34,19 +34,26 @@ def kind_of(v: Column, path: str) -> Column:
 
 
 def text_field(v: Column, *keys: str) -> Column:
-    """The first of the keys that holds a non-empty string."""
-    return F.coalesce(*[F.when((kind_of(v, k) == "STRING") & (at(v, k) != ""), at(v, k)) for k in keys])
+    """The first of the keys that holds a non-empty string. Most keys are absent, so their kind is asked for last."""
+    return F.coalesce(*[F.when(at(v, k).isNotNull() & (at(v, k) != "") & (kind_of(v, k) == "STRING"), at(v, k)) for k in keys])
 
 
-def number_field(v: Column, key: str) -> Column:
-    return F.when(kind_of(v, key).rlike(r"^(BIGINT|DOUBLE|DECIMAL)"), at(v, key, "double"))
+def number_field(v: Column, key: str, kind: str = "double") -> Column:
+    return F.when(at(v, key).isNotNull() & kind_of(v, key).rlike(r"^(BIGINT|DOUBLE|DECIMAL)"), at(v, key, kind))
 
 
-def flat_field(v: Column, name: str, objects_count: bool = False) -> Column:
+#: What a record's text must hold for one of its keys to hold an object, wherever that is.
+OBJECT_INSIDE = r"\"\s*:\s*\{"
+
+
+def flat_field(v: Column, name: str, objects_count: bool = False, nested_any: Column | None = None) -> Column:
     """A flat field, or the first nested path for it that holds something; explicit values win.
 
     ``objects_count``: an object under the flat key counts as set, so that nothing is flattened into it.
+    ``nested_any``: whether the record may hold objects at all; where not, no path is walked.
     """
+    if nested_any is not None:
+        return F.when(nested_any, flat_field(v, name, objects_count)).otherwise(F.nullif(at(v, name), F.lit("")))
     kind = kind_of(v, name)
     own = F.when(kind.startswith("OBJECT"), F.lit(None)).otherwise(F.nullif(at(v, name), F.lit("")))
     nested = [F.nullif(F.coalesce(at(v, p), F.to_json(at(v, p, "variant"))), F.lit("")) for p, flat in NESTED if flat == name and p != name]
@@ -60,15 +67,15 @@ def parsed(records: DataFrame, column: str = "record") -> DataFrame:
     return records.withColumn("v", F.when(F.monotonically_increasing_id() >= 0, F.try_parse_json(column)))
 
 
-def message_of(v: Column) -> Column:
+def message_of(v: Column, nested_any: Column | None = None) -> Column:
     """message, short_message, msg or body: the first that is there; it must be a non-blank string."""
-    first = F.coalesce(flat_field(v, "message"), *[F.when(kind_of(v, key) == "STRING", at(v, key)) for key in ("short_message", "msg", "body")])
+    first = F.coalesce(flat_field(v, "message", nested_any=nested_any), *[F.when(kind_of(v, key) == "STRING", at(v, key)) for key in ("short_message", "msg", "body")])
     return bound(strip(first), lambda text: F.when(text != "", text))
 
 
-def severity_of(v: Column, inner: Column) -> Column:
+def severity_of(v: Column, inner: Column, nested_any: Column | None = None) -> Column:
     """Text fields, then syslog numbers, OpenTelemetry numbers, PRI, and the level in ``inner``, a JSON message as VARIANT."""
-    text = F.coalesce(F.nullif(strip(flat_field(v, "severity")), F.lit("")), *[F.when(kind_of(v, k) == "STRING", F.nullif(strip(at(v, k)), F.lit(""))) for k in ("level", "syslog_severity", "severity_text")])
+    text = F.coalesce(F.nullif(strip(flat_field(v, "severity", nested_any=nested_any)), F.lit("")), *[F.when(kind_of(v, k) == "STRING", F.nullif(strip(at(v, k)), F.lit(""))) for k in ("level", "syslog_severity", "severity_text")])
     number = F.coalesce(number_field(v, "severity"), number_field(v, "level"))
     otel = at(v, "severity_number", "double")
     pri = at(v, "pri", "double")
@@ -92,23 +99,24 @@ def normalized(records: DataFrame, now: Column, column: str = "record", enrich:
 
     Records without a message are dropped. Other columns of ``records`` stay.
     """
-    v, message = F.col("v"), F.col("_full")
+    v, message, some = F.col("v"), F.col("_full"), F.col("_nested")
+    flat = lambda name, objects=False: flat_field(v, name, objects, some)
     # Columns of their own are worked out once, though many fields read them.
-    df = parsed(records, column).withColumn("_full", message_of(v)).filter("_full is not null").withColumn("_json", bound(message, templates.json_object))
+    df = parsed(records, column).withColumn("_nested", F.coalesce(F.col(column).rlike(OBJECT_INSIDE), F.lit(True))).withColumn("_full", message_of(v, some)).filter("_full is not null").withColumn("_json", bound(message, templates.json_object))
     inner = templates.text_at(F.col("_json"), "msg", "message", "text")
-    when = F.coalesce(flat_field(v, "timestamp"), at(v, "time"))
-    number = F.coalesce(number_field(v, "timestamp"), number_field(v, "time"), number_field(v, "@timestamp"))
+    when = F.coalesce(flat("timestamp"), at(v, "time"))
+    number = F.coalesce(*[number_field(v, k, "decimal(38,9)") for k in ("timestamp", "time", "@timestamp")])
     pri = at(v, "pri", "double")
-    address = addresses.clean_transport_address(F.coalesce(flat_field(v, "source_ip"), text_field(v, "fromhost_ip", "fromhost-ip", "client_ip", "src_ip", "ip")))
-    host = F.coalesce(flat_field(v, "host", objects_count), text_field(v, "hostname", "source"))
+    address = addresses.clean_transport_address(F.coalesce(flat("source_ip"), text_field(v, "fromhost_ip", "fromhost-ip", "client_ip", "src_ip", "ip")))
+    host = F.coalesce(flat("host", objects_count), text_field(v, "hostname", "source"))
     df = df.select(
         *[c for c in records.columns if c != column],
         timefix.resolved(F.when(number.isNull(), when), number, now).alias("timestamp"),
-        message.alias("_full"), F.coalesce(inner, message).alias("message"), severity_of(v, F.col("_json")).alias("_header"),
-        host.alias("_host"), address.alias("source_ip"), F.coalesce(flat_field(v, "service", objects_count), text_field(v, "service_name", "application")).alias("service"),
-        F.coalesce(flat_field(v, "facility"), text_field(v, "syslog_facility"), F.when(pri >= 0, sev.pri_facility(pri))).alias("facility"),
-        F.coalesce(flat_field(v, "program"), text_field(v, "app_name", "appname", "ident", "mnemonic")).alias("program"),
-        F.coalesce(flat_field(v, "trace_id"), text_field(v, "traceId")).alias("trace_id"), F.coalesce(flat_field(v, "span_id"), text_field(v, "spanId")).alias("span_id"),
+        message.alias("_full"), F.coalesce(inner, message).alias("message"), severity_of(v, F.col("_json"), some).alias("_header"),
+        host.alias("_host"), address.alias("source_ip"), F.coalesce(flat("service", objects_count), text_field(v, "service_name", "application")).alias("service"),
+        F.coalesce(flat("facility"), text_field(v, "syslog_facility"), F.when(pri >= 0, sev.pri_facility(pri))).alias("facility"),
+        F.coalesce(flat("program"), text_field(v, "app_name", "appname", "ident", "mnemonic")).alias("program"),
+        F.coalesce(flat("trace_id"), text_field(v, "traceId")).alias("trace_id"), F.coalesce(flat("span_id"), text_field(v, "spanId")).alias("span_id"),
         text_field(v, "external_id").alias("external_id"), extras(v).alias("raw"),
     )
     header = F.col("_header")
