@@ -13,7 +13,7 @@ from lumenlog.plans import catalog
 from lumenlog.session import session
 
 HEADLINE = (
-    "event_search_page", "event_facets", "template_dedup", "effective_scores_hourly", "dashboard_overview", "grouped_event_scores", "source_routing_first_match", "normal_behavior_kept", "json_unpack", "redact_secrets", "top_events_by_criterion",
+    "event_search_page", "event_facets", "template_dedup", "effective_scores_hourly", "dashboard_overview", "grouped_event_scores", "source_routing_first_match", "normal_behavior_kept", "json_unpack", "redact_secrets", "redact_secrets_whole", "top_events_by_criterion",
 )
 
 
