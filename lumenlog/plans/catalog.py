@@ -1139,8 +1139,8 @@ CONTAINER_LINES = """lines AS (SELECT host, id * 4 AS seq, us, upper(program[1])
     UNION ALL SELECT host, id * 4 + 2, us + 2500000, ')' FROM log_events WHERE id % 5 <> 0 UNION ALL SELECT host, id * 4 + 3, us + 4600000, 'after ' || id FROM log_events WHERE id % 7 = 0)"""
 
 
-@query(with_views("""SELECT host, min(seq) AS seq, array_to_string(list(line ORDER BY us, seq), chr(10)) AS message FROM (SELECT *, sum(b) OVER (PARTITION BY host ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS entry
-    FROM (SELECT *, CASE WHEN regexp_matches(line, '^[A-Z]') OR us // 1000 - lag(us) OVER (PARTITION BY host ORDER BY us, seq) // 1000 > 2000 THEN 1 ELSE 0 END AS b FROM lines)) GROUP BY host, entry""", "log_events").replace("\nSELECT host, min", f",\n{CONTAINER_LINES}\nSELECT host, min", 1))
+@query(with_views("""SELECT host, first(seq ORDER BY us, seq) AS seq, array_to_string(list(line ORDER BY us, seq), chr(10)) AS message FROM (SELECT *, sum(b) OVER (PARTITION BY host ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS entry
+    FROM (SELECT *, CASE WHEN regexp_matches(line, '^[A-Z]') OR us // 1000 - lag(us) OVER (PARTITION BY host ORDER BY us, seq) // 1000 > 2000 THEN 1 ELSE 0 END AS b FROM lines)) GROUP BY host, entry""", "log_events").replace("\nSELECT host, first", f",\n{CONTAINER_LINES}\nSELECT host, first", 1))
 def container_multiline(v: Views) -> DataFrame:
     """Lines of many events of one host, between each other in time, as entries: by how they begin and by the time between them."""
     i, us_at = F.col("id"), US("timestamp")
