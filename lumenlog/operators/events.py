@@ -142,12 +142,17 @@ def facets(events: DataFrame, fields: Iterable[str] = ("severity", "host", "sour
     return distinct.withColumn("at", rank).filter(F.col("at") <= most).drop("at")
 
 
-def trace(events: DataFrame, value: str, field: str = "all", limit: int = 1000) -> DataFrame:
-    """Events that carry an id as trace, span or in their message, oldest first."""
+def traced(events: DataFrame, value: str, field: str = "all") -> DataFrame:
+    """All events that carry an id as trace, span or in their message."""
     within = F.lower("message").contains(value.lower())
     tests = {"trace_id": F.col("trace_id") == value, "message": within}
     tests["all"] = tests["trace_id"] | within | (F.col("span_id") == value if "span_id" in events.columns else F.lit(False))
-    return events.filter(tests[field]).orderBy("timestamp", "id").limit(min(max(limit, 1), 1000))
+    return events.filter(tests[field])
+
+
+def trace(events: DataFrame, value: str, field: str = "all", limit: int = 1000) -> DataFrame:
+    """The page of ``traced``, oldest first."""
+    return traced(events, value, field).orderBy("timestamp", "id").limit(min(max(limit, 1), 1000))
 
 
 def around(events: DataFrame, anchor: Column, hours: int) -> DataFrame:
@@ -156,10 +161,10 @@ def around(events: DataFrame, anchor: Column, hours: int) -> DataFrame:
     return events.filter(F.unix_micros("timestamp").between(F.unix_micros(anchor) - micros, F.unix_micros(anchor) + micros))
 
 
-def by_system(traced: DataFrame) -> DataFrame:
-    """system_id, n, first and last time, ids in time order. ``traced`` is a page, so groups are bounded by its limit."""
+def by_system(found: DataFrame) -> DataFrame:
+    """system_id, n, first and last time, ids in time order, of a page or a whole trace: a group holds what its row returns."""
     ordered = F.array_sort(F.collect_list(F.struct("timestamp", "id")))
-    return traced.groupBy("system_id").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"), ordered.alias("rows")).withColumn("ids", F.col("rows.id")).drop("rows")
+    return found.groupBy("system_id").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"), ordered.alias("rows")).withColumn("ids", F.col("rows.id")).drop("rows")
 
 
 def unscored(events: DataFrame, system_id: int, now: Column, hours: int = 48, limit: int = 5000) -> DataFrame:

@@ -63,3 +63,14 @@ def test_other_windows_of_the_system_alone_are_forgotten(spark):
     rows = spark.createDataFrame([(1, 1, 0.5, 1.0, 0.65), (2, 1, 0.5, 1.0, 0.65), (3, 2, 0.5, 1.0, 0.65)], "window_id long, system_id long, meta_score double, highest double, effective double")
     kept = {r.window_id: (r.meta_score, round(r.effective, 9)) for r in wi.forgotten(rows, 1, 2).collect()}
     assert kept == {1: (0.0, 0.3), 2: (0.5, 0.65), 3: (0.5, 0.65)}
+
+
+def test_whole_traces_by_system(spark, tmp_path):
+    from lumenlog.plans import catalog
+    from lumenlog.plans.views import Views
+
+    # 1,500 events of one trace and system: more than a page.
+    spark.range(1500).select((F.col("id") * 500 + 77).alias("event_id"), F.lit(AT).alias("ts"), F.lit(0).cast("long").alias("user_id"), F.lit("view").alias("event_type"), F.lit("{}").alias("props")).write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(0, 2)], "n_nationkey long, n_regionkey long").write.parquet(f"{tmp_path}/nation.parquet")
+    (row,) = catalog.CATALOG["trace_by_system"].run(Views(spark, str(tmp_path))).collect()
+    assert (row["system_id"], row["n"]) == (2, 1500) and row["ids"] == ",".join(str(i * 500 + 77) for i in range(1500))
