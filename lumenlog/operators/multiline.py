@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.timefix import second_key
 
 MOST_LINES = 20
+#: Lines that one task sorts, on average.
+TASK_LINES = 200_000
 HEADER = r"^\[(\d+)-(\d+)\]\s*"
 #: The prefix of a database log line, its levels, and the order in which details follow a head.
 PREFIX = r"^(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2})\.\d+\s+\w+\s+\[(\d+)\]\s+\S+\s+(ERROR|WARNING|LOG|FATAL|PANIC|DETAIL|HINT|CONTEXT|STATEMENT|QUERY):\s"
@@ -51,6 +53,12 @@ def merged(df: DataFrame, keys: list[str], head: Column, order: str) -> DataFram
     return df.groupBy(*keys).agg(first.alias("_h"), lines.alias("message")).select("_h.*", "message")
 
 
+def dealt(df: DataFrame, group: list[str]) -> DataFrame:
+    """Rows shuffled once by their group, into more tasks where there are more rows: the windows and sums by group after it need no other shuffle, and what a task sorts does not grow with the table."""
+    n = -(-df.count() // TASK_LINES)
+    return df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism), *group)
+
+
 def by_header(rows: DataFrame, time: str = "timestamp", reach_s: int = 60) -> tuple[DataFrame, DataFrame]:
     """(merged, other rows): lines headed ``[N-M]`` of one host, program and N, that came together.
 
@@ -64,6 +72,7 @@ def by_header(rows: DataFrame, time: str = "timestamp", reach_s: int = 60) -> tu
     names = rows.columns
     group = ["_host", "_program", "_n", *(["batch"] if "batch" in names else [])]
     df = own.withColumns({"_host": some("host"), "_program": some("program"), "_n": F.regexp_extract("message", HEADER, 1), "_m": F.regexp_extract("message", HEADER, 2).cast("int"), "line": decoded(F.regexp_replace("message", HEADER, ""))})
+    df = dealt(df, group)
     if dict(rows.dtypes).get(time, "").startswith("timestamp"):
         came = W.partitionBy(*group).orderBy(time, "seq")
         late = F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lag(time).over(came).cast("timestamp")) > reach_s * 1_000_000
@@ -86,6 +95,7 @@ def by_prefix(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     has = F.coalesce(F.col("message").rlike(PREFIX), F.lit(False))
     group = ["_host", "_program", "_pid", "_second"]
     df = rows.filter(has).withColumns({"_host": some("host"), "_program": some("program"), "_pid": F.regexp_extract("message", PREFIX, 2), "_second": F.regexp_extract("message", PREFIX, 1), "_level": F.regexp_extract("message", PREFIX, 3)})
+    df = dealt(df, group)
     rank = F.array_position(F.array(*[F.lit(d) for d in DETAILS]), F.col("_level")).cast("int")
     first = F.min(F.when(F.col("_level").isin(*HEADS), F.col("seq"))).over(W.partitionBy(*group))
     df = df.withColumns({"_first": first, "_rank": rank})
@@ -104,6 +114,7 @@ def by_second(rows: DataFrame, time: str = "timestamp") -> DataFrame:
     names = rows.columns
     group = ["_host", "_program", "_second"]
     df = rows.withColumns({"_host": some("host"), "_program": some("program"), "_second": second_key(F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss") if dict(rows.dtypes)[time].startswith("timestamp") else F.col(time)), "_head": ~is_fragment(F.col("message"))})
+    df = dealt(df, group)
     df = df.withColumn("_segment", F.sum(F.col("_head").cast("int")).over(W.partitionBy(*group).orderBy("seq")))
     df = df.withColumn("_heads", F.max("_segment").over(W.partitionBy(*group)))
     inside = F.row_number().over(W.partitionBy(*group, "_segment").orderBy("seq"))
