@@ -10,15 +10,18 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.stemming import ENGLISH_STOP_WORDS, stem
+from ..storage import stored
 
 #: A word is a run of letters and digits: an address or a hyphenated word is its parts.
 BREAK = r"[^\p{L}\p{N}]+"
+#: Words whose stems a task remembers.
+KNOWN_WORDS = 100_000
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -105,15 +108,34 @@ def matching(texts: DataFrame, query: str, column: str = "message") -> DataFrame
 
 
 def postings(texts: DataFrame, key: str = "id", column: str = "message") -> DataFrame:
-    """The index of a table: lexeme, key, positions (from 0, stop words counted). Distinct words are stemmed once and joined back."""
-    places = texts.select(key, F.posexplode(words(F.col(column))).alias("position", "word"))
-    return places.join(stemmed(places.select("word").distinct()), "word").groupBy("lexeme", key).agg(F.array_sort(F.collect_list("position")).alias("positions"))
+    """The index of a table: lexeme, key, positions (from 0, stop words counted), a narrow step; a task stems a word once while it is known."""
+    kind = texts.select(key).schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexeme = lru_cache(KNOWN_WORDS)(lambda w: None if w in ENGLISH_STOP_WORDS else stem(w))
+        for batch in batches:
+            found, row, positions = [], [], []
+            for i, held in enumerate(batch.column("words").to_pylist()):
+                places: dict[str, list[int]] = {}
+                for at, w in enumerate(held):
+                    if (x := lexeme(w)) is not None:
+                        places.setdefault(x, []).append(at)
+                found.extend(places)
+                positions.extend(places.values())
+                row.extend([i] * len(places))
+            keys = batch.column(key).take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), keys, pa.array(positions, pa.list_(pa.int32()))], names=["lexeme", key, "positions"])
+
+    return texts.select(key, words(F.col(column)).alias("words")).mapInArrow(run, f"lexeme string, `{key}` {kind}, positions array<int>")
 
 
 def indexed(index: DataFrame, query: str, key: str = "id") -> DataFrame:
     """The keys that satisfy a query by the index alone; an alternative of absent terms only needs ``matching``."""
     found = []
-    for a in parsed(query):
+    alternatives = parsed(query)
+    # The index is read once, for the query's lexemes.
+    index = stored(index.filter(F.col("lexeme").isin(sorted({x for a in alternatives for t in a for x, _ in t.lexemes}))), "postings") if alternatives else index
+    for a in alternatives:
         if all(t.absent for t in a):
             raise ValueError("an index has no rows for what is only absent")
         terms = sorted(a, key=lambda t: t.absent)

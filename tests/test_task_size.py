@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lumenlog.operators import multiline
+from lumenlog.operators import fulltext, multiline
 
 
 def test_numbered_lines_are_dealt_by_their_number(spark, monkeypatch):
@@ -12,3 +12,9 @@ def test_numbered_lines_are_dealt_by_their_number(spark, monkeypatch):
     found = multiline.by_header(lines.drop("timestamp"))[0]
     assert found.rdd.getNumPartitions() >= 40
     assert {(r["batch"], r["message"]) for r in found.collect()} == {(k, f"x{k}\nx{k + 1000}") for k in range(1000)}
+
+def test_an_index_needs_no_shuffle(spark):
+    texts = spark.createDataFrame([(1, "Errors, the error at user 7"), (2, None), (3, "!"), (4, "The users errored")], "id long, message string")
+    index = fulltext.postings(texts)
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["lexeme"], r["id"], r["positions"]) for r in index.collect()) == [("7", 1, [5]), ("error", 1, [0, 2]), ("error", 4, [2]), ("user", 1, [4]), ("user", 4, [1])]
