@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lumenlog.functions import similarity as sim
 from lumenlog.operators import fulltext, multiline
 
 
@@ -18,3 +19,12 @@ def test_an_index_needs_no_shuffle(spark):
     index = fulltext.postings(texts)
     assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["lexeme"], r["id"], r["positions"]) for r in index.collect()) == [("7", 1, [5]), ("error", 1, [0, 2]), ("error", 4, [2]), ("user", 1, [4]), ("user", 4, [1])]
+
+
+def test_tokens_without_their_normal_form(spark):
+    texts = ["", None, "  ", "!a--b [12] (events [1, 2]) 10.0.0.1:80 naïve été x_y <ID>\t-> ab", "deadbeefdeadbeef 550e8400-e29b-41d4-a716-446655440000.", "İstanbul ǅ ſ K 12a the THE"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = df.select(sim.tokens(sim.normal_form(F.col("text"))).alias("old"), sim.tokens_of(F.col("text")).alias("new")).collect()
+    assert [r["new"] for r in rows] == [r["old"] for r in rows] and rows[3]["new"][0] == "a--b"
+    # Ranges in a class cost Java a call each at every character.
+    assert "a-z" not in sim.BETWEEN
