@@ -33,7 +33,7 @@ SIMILAR, PART = 80, 100
 #: Bits by which a shingle is known once sets are counted: a pair of sets of 1,000 shingles is misjudged with a chance below 1e-8.
 ID_BITS = 48
 #: Shingles that one task counts, and half of which it sends at once; more input makes more ranges.
-COUNT_ROWS = 4_000_000
+COUNT_ROWS = 2_000_000
 #: A shingle is common if it stands in this part of all documents. Common ones, at most MOST_COMMON, are broadcast, so that no task counts their places.
 COMMON_PART, MOST_COMMON = 1024, 1 << 16
 #: Counts above this are one level of the order.
@@ -43,7 +43,8 @@ BLOCK_SETS = 1024
 #: Rows of ids up to which they are broadcast to the sets; more are joined by shuffling.
 BROADCAST_ROWS = 1_000_000
 STEP = 64
-CHUNK = 2 << 20
+#: Text bytes of a piece in which common shingles are looked for, and of a piece hashed at once, which takes some fifty times as much.
+CHUNK, HASHED = 2 << 20, 256 << 10
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -110,10 +111,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def sets_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    column = pc.fill_null(batch.column("text").cast(pa.large_binary()), b"")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    return shingle_sets(data, offsets - offsets[0])
+    for part in chunks(batch, most=HASHED):
+        column = pc.fill_null(part.column("text").cast(pa.large_binary()), b"")
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        yield from shingle_sets(data, offsets - offsets[0])
+
 
 def first_of_runs(values: np.ndarray) -> np.ndarray:
     """Where each run of equal values begins."""
@@ -199,6 +202,35 @@ def packed_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(PACKED_TYPES)], names=PACKED)
 
 
+def counted(key: int, group: pa.Table, ranges: int) -> pa.Table:
+    """The places of one range (or, below 0, of one bucket's common shingles) as keys, packed by their sets' buckets; those of one set only go."""
+    token, vertex, n = unpack(group)
+    del group
+    if key < 0:
+        bucket = np.full(len(token), -1 - key, np.int32)
+        ordered = (np.uint64(MOST_LEVEL + 1) << np.uint64(ID_BITS)) | token
+    else:
+        n = None
+        order = np.lexsort((vertex, token))
+        token, vertex = token[order], vertex[order]
+        other = np.concatenate([[True], (token[1:] != token[:-1]) | (vertex[1:] != vertex[:-1])])
+        token, vertex = token[other], vertex[other]
+        first = first_of_runs(token)
+        counts = np.diff(np.append(first, len(token)))
+        counts = np.repeat(np.minimum(counts, MOST_LEVEL).astype(np.uint16), counts)
+        token, vertex, counts = token[counts > 1], vertex[counts > 1], counts[counts > 1]
+        ordered = (counts.astype(np.uint64) << np.uint64(ID_BITS)) | token
+        bucket = (mixed(vertex) & np.uint64(ranges - 1)).astype(np.int32)
+    del token
+    order = np.lexsort((ordered, bucket))
+    ordered, bucket = ordered[order], bucket[order]
+    names, first_at, who = np.unique(vertex[order], return_index=True, return_inverse=True)
+    n = None if n is None else n[order][first_at]
+    first = first_of_runs(bucket)
+    rows = [pack(int(bucket[a]), ordered[a:b], who[a:b], names, n) for a, b in zip(first, np.append(first[1:], len(bucket)), strict=True)] if len(first) else []
+    return pa.Table.from_batches([packed_batch(rows)])
+
+
 def ordered_sets(docs: DataFrame, total: int, common: np.ndarray) -> DataFrame:
     """vertex, n, keys: the sets that can link at all, with their shared shingles in the global order.
 
@@ -221,21 +253,24 @@ def ordered_sets(docs: DataFrame, total: int, common: np.ndarray) -> DataFrame:
         size = 0
 
         def flush():
-            tokens = np.concatenate([s for s, _ in held])
-            who = np.repeat(np.arange(len(held)), [len(s) for s, _ in held])
             vertex, n = np.array([v for _, v in held], np.uint64), np.array([len(s) for s, _ in held], np.uint32)
+            tokens = np.concatenate([s for s, _ in held])
+            held.clear()
+            who = np.repeat(np.arange(len(n), dtype=np.int32), n)
             # Common shingles need no counting: they go to their sets' bucket, numbered from -1 down, and so does an end mark for each set.
-            key, own = np.full(len(held), len(tokens_of), np.uint64), np.arange(len(held))
+            key, own = np.full(len(n), len(tokens_of), np.uint64), np.arange(len(n), dtype=np.int32)
             if len(tokens_of):
                 at = np.minimum(np.searchsorted(tokens_of, tokens), len(tokens_of) - 1)
                 hot = tokens_of[at] == tokens
-                key, own = np.concatenate([key, place_of[at[hot]]]), np.concatenate([own, who[hot]])
+                at = at[hot]
+                key, own = np.concatenate([key, place_of[at]]), np.concatenate([own, who[hot]])
                 tokens, who = tokens[~hot], who[~hot]
             bucket = (mixed(vertex)[own] & np.uint64(ranges - 1)).astype(np.int64)
             order = np.lexsort((own, key, bucket))
             key, own, bucket = key[order], own[order], bucket[order]
             first = first_of_runs(bucket)
             yield packed_batch([pack(-1 - int(bucket[a]), key[a:b], own[a:b], vertex, n) for a, b in zip(first, np.append(first[1:], len(bucket)), strict=True)])
+            del key, own, bucket
             tokens = tokens >> np.uint64(63 - ID_BITS)
             order = np.argsort(tokens)
             tokens, who = tokens[order], who[order]
@@ -251,33 +286,10 @@ def ordered_sets(docs: DataFrame, total: int, common: np.ndarray) -> DataFrame:
                         size += len(s)
                 if size > COUNT_ROWS // 2:
                     yield from flush()
-                    held, size, seen = [], 0, set()
+                    size, seen = 0, set()
         if held:
             yield from flush()
 
-    def count(key, group):
-        token, vertex, n = unpack(group)
-        if (r := key[0].as_py()) < 0:
-            bucket = np.full(len(token), -1 - r)
-            ordered = (np.uint64(MOST_LEVEL + 1) << np.uint64(ID_BITS)) | token
-        else:
-            order = np.lexsort((vertex, token))
-            token, vertex = token[order], vertex[order]
-            other = np.concatenate([[True], (token[1:] != token[:-1]) | (vertex[1:] != vertex[:-1])])
-            token, vertex = token[other], vertex[other]
-            first = first_of_runs(token)
-            counts = np.repeat(np.diff(np.append(first, len(token))), np.diff(np.append(first, len(token))))
-            token, vertex, counts, n = token[counts > 1], vertex[counts > 1], counts[counts > 1], None
-            ordered = (np.minimum(counts, MOST_LEVEL).astype(np.uint64) << np.uint64(ID_BITS)) | token
-            bucket = (mixed(vertex) & np.uint64(ranges - 1)).astype(np.int64)
-        order = np.lexsort((ordered, bucket))
-        ordered, bucket = ordered[order], bucket[order]
-        names, first_at, who = np.unique(vertex[order], return_index=True, return_inverse=True)
-        n = None if n is None else n[order][first_at]
-        first = first_of_runs(bucket)
-        rows = [pack(int(bucket[a]), ordered[a:b], who[a:b], names, n) for a, b in zip(first, np.append(first[1:], len(bucket)), strict=True)] if len(first) else []
-        return pa.Table.from_batches([packed_batch(rows)])
-
     def gather(key, group):
         ordered, vertex, n = unpack(group)
         order = np.lexsort((ordered, vertex))
@@ -292,7 +304,7 @@ def ordered_sets(docs: DataFrame, total: int, common: np.ndarray) -> DataFrame:
         keys = [data[a:b].tobytes() for a, b in zip(first[able], last[able], strict=True)]
         return pa.table({"vertex": pa.array(vertex[first[able]].astype(np.int64)), "n": pa.array(n[able].astype(np.int32)), "keys": pa.array(keys, pa.binary())})
 
-    places = docs.mapInArrow(send, PACKED_SCHEMA).groupBy("key").applyInArrow(count, PACKED_SCHEMA)
+    places = docs.mapInArrow(send, PACKED_SCHEMA).groupBy("key").applyInArrow(lambda key, group: counted(key[0].as_py(), group, ranges), PACKED_SCHEMA)
     return places.groupBy("key").applyInArrow(gather, "vertex long, n int, keys binary")
 
 
